@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from wattgrid.plans import summaries, tables  # noqa: F401
+from wattgrid.plans import combining, formulas, measures, summaries, tables  # noqa: F401
 from wattgrid.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
