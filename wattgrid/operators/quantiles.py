@@ -17,16 +17,14 @@ from pyspark.sql import functions as F
 GRID = 500
 ACCURACY = 10_000
 MARGIN = 2
+SMALL_INPUT_BYTES = 64 << 20
 BIG_INPUT_BYTES = 64 << 30
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the frame, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _rounds(df: DataFrame) -> int:
-    return 1 if plan_bytes(df) < BIG_INPUT_BYTES else 2
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size of everything the frame reads, in bytes."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def _wanted(n, p):
@@ -37,8 +35,9 @@ def _wanted(n, p):
 
 def _sketch(value: Column) -> Column:
     """Approximate values at GRID + 1 evenly spaced ranks, in bounded memory."""
-    grid = ",".join(f"{i}D/{GRID}D" for i in range(GRID + 1))
-    return F.call_function("percentile_approx", value, F.expr(f"array({grid})"), F.lit(ACCURACY))
+    # One text constant: five hundred separate literals would slow down planning.
+    ranks = F.split(F.lit(" ".join(str(i / GRID) for i in range(GRID + 1))), " ").cast("array<double>")
+    return F.call_function("percentile_approx", value, ranks, F.lit(ACCURACY))
 
 
 def exact_percentiles(
@@ -51,9 +50,16 @@ def exact_percentiles(
     """One row per key with a column per ``names`` entry (name -> fraction).
 
     Linear interpolation between neighbouring ranks; nulls and NaN are left out.
-    Without keys the result is one row, null-valued for empty input.
+    Input of at most 64 MB is left to Spark's own ``percentile``, whose buffers
+    then are small; larger input is bracketed, in two rounds from 64 GB on.
+    Giving ``rounds`` brackets whatever the size.
     """
     keys = list(keys)
+    if rounds is None:
+        size = input_bytes(df)
+        if size <= SMALL_INPUT_BYTES:
+            return _direct(df, value, names, keys)
+        rounds = 1 if size < BIG_INPUT_BYTES else 2
     group = keys or ["_all"]
     base = df.select(
         *[F.col(k) for k in keys],
@@ -68,7 +74,7 @@ def exact_percentiles(
     state = first.select(*group, "_n", "_grid", F.posexplode(fractions).alias("_i", "_p"))
     state = state.withColumns({"_below": F.lit(0), "_m": F.col("_n")})
     state = _narrow(state, group)
-    for _ in range((rounds or _rounds(df)) - 1):
+    for _ in range(rounds - 1):
         inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
         again = (
             _attach(base, state, group, ["_lo", "_hi", "_n", "_p"])
@@ -111,6 +117,13 @@ def exact_percentiles(
     return wide
 
 
+def _direct(df: DataFrame, value: str, names: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    got = df.groupBy(*keys).agg(F.percentile(v, [float(p) for p in names.values()]).alias("_p"))
+    out = got.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return out.dropna(subset=list(names)) if keys else out
+
+
 def _narrow(state: DataFrame, group: Sequence[str]) -> DataFrame:
     low, high, _ = _wanted(F.col("_n"), F.col("_p"))
     cell = lambda rank: (rank - F.col("_below")) * GRID / F.col("_m")

@@ -366,7 +366,7 @@ def _advice_sql(kind, priority, pct, effort, cond):
 @query("f44_optimisation_advice", f"with {_DAILY} " + " union all ".join([
     _advice_sql("cpu", "high", 15, "medium", "avg_cpu > 90"), _advice_sql("memory", "high", 10, "medium", "avg_memory > 80"),
     _advice_sql("energy_efficiency", "medium", 20, "easy", "efficiency_score < 70"),
-    _advice_sql("io", "medium", 12, "medium", "disk_total_mb > 1000")]), r4="savings_wh", r8="savings_usd")
+    _advice_sql("io", "medium", 12, "medium", "disk_total_mb > 1000")]), r3="savings_wh", r6="savings_usd")
 def _(t):
     return V.optimisations(_daily(t), ["node_id", "day"])
 

@@ -70,6 +70,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{v} as (\n{duckdb_view(v)}\n)" for v in needed)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
