@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from wattgrid.plans import combining, formulas, measures, preparing, summaries, tables, timelines  # noqa: F401
+from wattgrid.plans import combining, formulas, measures, models, preparing, summaries, tables, timelines  # noqa: F401
 from wattgrid.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -175,7 +175,7 @@ with recursive o as (select sample_id, node_id, power_consumption_watts as p,
 f as (select sample_id, node_id, i, greatest(22.0E0, 25.0E0 + (0.8E0 * p - 3.0E0 * 50) / 1000 * 10) as temp from o where i = 1
   union all select o.sample_id, o.node_id, o.i, greatest(22.0E0, f.temp + (0.8E0 * o.p - (f.temp - 22) * 50) / 1000 * 10)
   from f join o on o.node_id = f.node_id and o.i = f.i + 1)
-select sample_id, node_id, temp as model_temp, temp > 0.9E0 * 85 as is_throttling from f""", r9="model_temp")
+select sample_id, node_id, temp as model_temp, temp > 0.9E0 * 85 as is_throttling from f""", r11="model_temp")
 def _(t):
     n = t.node_metrics.select("sample_id", "time", "node_id", "power_consumption_watts")
     out = W.thermal_filter(n, "power_consumption_watts", ["node_id"], "time", ["sample_id"], dt=10.0)
