@@ -1,6 +1,17 @@
 """Imports every module that registers queries."""
 
-from wattgrid.plans import combining, formulas, measures, models, preparing, summaries, tables, timelines  # noqa: F401
+from wattgrid.plans import (  # noqa: F401
+    combining,
+    documents,
+    formulas,
+    measures,
+    models,
+    preparing,
+    streams,
+    summaries,
+    tables,
+    timelines,
+)
 from wattgrid.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

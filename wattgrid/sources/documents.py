@@ -32,19 +32,10 @@ def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_benchmarks(texts: DataFrame, column: str = "value") -> DataFrame:
     """The same from a column of JSON texts, keeping the other columns."""
-    schema = f"struct<{_compact(BENCHMARK)}>"
-    parsed = texts.withColumn("_b", F.from_json(column, schema))
+    parsed = texts.withColumn("_b", F.from_json(column, BENCHMARK))
     return parsed.select(*[c for c in texts.columns if c != column], "_b.*")
 
 
-def _compact(ddl: str) -> str:
-    out, depth = [], 0
-    for part in " ".join(ddl.split()).split(", "):
-        out.append(part if depth else part.replace(" ", ":", 1))
-        depth += part.count("<") - part.count(">")
-    return ", ".join(out)
-
-
 def benchmark_jobs(docs: DataFrame) -> DataFrame:
     info, perf, system = F.col("benchmark_info"), F.col("performance_metrics"), F.col("system_metrics")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -89,7 +80,7 @@ def worker_totals(docs: DataFrame) -> DataFrame:
 
 def accounting_jobs(texts: DataFrame, column: str = "value") -> DataFrame:
     """Scheduler job records as job rows; missing fields take their defaults."""
-    j = texts.select(F.from_json(column, f"struct<{_compact(ACCOUNTING)}>").alias("j")).select("j.*")
+    j = texts.select(F.from_json(column, ACCOUNTING).alias("j")).select("j.*")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     running = F.col("state.current") == "RUNNING"
     text = lambda c: F.coalesce(F.col(c), F.lit("0"))
