@@ -71,11 +71,13 @@ def rate(samples: DataFrame, counter: str, keys: Sequence[str], time: str, ties:
         raise ValueError("the window must be a whole number of steps")
     risen = increments(samples, counter, keys, time, ties, **chunking)
     step_us = step_seconds * 1_000_000
-    step = F.ceil(epoch_us(time) / F.lit(step_us)).cast("bigint")
-    at = F.struct(time, *ties)
+    step_of = lambda c: F.ceil(epoch_us(c) / F.lit(step_us)).cast("bigint")
+    step = step_of(time)
+    # The first sample of a step brings its rise from an earlier step.
+    enters = F.coalesce(step_of("prev_time") != step, F.lit(False))
     cells = risen.groupBy(*keys, step.alias("_step")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("increase").alias("_sum"),
-        F.min_by(F.coalesce(F.col("increase"), F.lit(0)), at).alias("_entering"),
+        F.coalesce(F.sum(F.when(enters, F.col("increase"))), F.lit(0)).alias("_entering"),
         F.min(epoch_us(time)).alias("_first"), F.max(epoch_us(time)).alias("_last"),
     )
     w = Window.partitionBy(*keys).orderBy("_step").rangeBetween(-(window_seconds // step_seconds - 1), 0)

@@ -55,7 +55,9 @@ def benchmark_samples(docs: DataFrame) -> DataFrame:
     """History samples without error, bytes as MB."""
     s = F.col("s")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return docs.select("job_id", F.explode("metrics_history").alias("s")).filter(s["error"].isNull()).select(
+    # The outer form keeps the planner from parsing the document once more in a filter.
+    rows = docs.select("job_id", F.explode_outer("metrics_history").alias("s"))
+    return rows.filter(s.isNotNull() & s["error"].isNull()).select(
         s["timestamp"].try_cast("timestamp").alias("timestamp"), zero(s["cpu_percent"]).alias("cpu_percent"),
         zero(s["memory_percent"]).alias("memory_percent"), (zero(s["disk_read_bytes"]) / 1048576).alias("disk_read_mbps"),
         (zero(s["disk_write_bytes"]) / 1048576).alias("disk_write_mbps"), "job_id")
@@ -64,7 +66,8 @@ def benchmark_samples(docs: DataFrame) -> DataFrame:
 def worker_totals(docs: DataFrame) -> DataFrame:
     """Operations of workers without error: totals, per second and per worker."""
     w = F.col("w")
-    rows = docs.select("job_id", F.col("benchmark_info.duration_actual").alias("_t"), F.explode("worker_results").alias("w"))
+    rows = docs.select("job_id", F.col("benchmark_info.duration_actual").alias("_t"), F.explode_outer("worker_results").alias("w"))
+    rows = rows.filter(w.isNotNull())
     good = w["error"].isNull()
     total = lambda c: F.coalesce(F.sum(F.when(good, w[c])), F.lit(0.0))
     out = rows.groupBy("job_id", "_t").agg(
