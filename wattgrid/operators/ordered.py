@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from wattgrid.session import checkpointed
 
-ROWS_PER_CHUNK = 500_000
+ROWS_PER_CHUNK = 20_000
 GRAIN_SECONDS = 60
 
 CHUNK, HALO, SLICE = "_chunk", "_halo", "_slice"
@@ -163,8 +163,9 @@ def running_sum(
     """Sum of ``value`` over the series up to and including each row."""
     cut = chunked(df, keys, order, carries=[Carry("sum", F.sum(value))], **chunking)
     rows = chunk_window(keys, order, ties).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.coalesce(F.col("_carry_sum"), F.lit(0)) + F.sum(value).over(rows)
-    return cut.withColumn(name, total).drop(CHUNK, HALO, "_carry_sum")
+    before, here = F.col("_carry_sum"), F.sum(value).over(rows)
+    total = F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+    return cut.withColumn(name, F.when(before.isNotNull() | here.isNotNull(), total)).drop(CHUNK, HALO, "_carry_sum")
 
 
 def fill_gaps(
