@@ -23,7 +23,7 @@ def test_published_score(spark):
             ("performance", -2.440051879578541, 0.040000000000000036, 0.0)]
     df = spark.createDataFrame(rows, "component string, r2 double, distribution_similarity double, correlation double")
     assert A.validation_score(df).first()[0] == pytest.approx(0.4183399204808661)
-    gap = df.withColumn("r2", F.when(F.col("component") != "thermal", F.col("r2")))
+    gap = df.withColumn("r2", F.when(F.col("component") == "thermal", F.col("r2")))
     only_thermal = 0.005 * (0.85 + 0.007 * (10 - 4.975393522216179)) + 0.99 * 0.460952380952381 + 0.005 * (1 - 0.013261425651613661) / 2
     assert A.validation_score(gap).first()[0] == pytest.approx(only_thermal)
     assert A.validation_score(df.filter("false")).first()[0] == 0.0
@@ -158,3 +158,14 @@ def test_permutation_importance_finds_duration(run):
 def test_temperature_model_drops_its_target(tables):
     run = M.train_temperature(jobs(tables), KEYS, chosen=["linear_regression"])
     assert not set(M.HEAT) & set(run.names)
+
+
+def test_correlations_with_and_without_nulls(spark):
+    rows = [(float(i), float(i * i), 3.0, None if i % 4 == 0 else float(-i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    plain = {(r.i, r.j): r.r for r in A.correlations(df, ["a", "b", "c"]).collect()}
+    assert plain["a", "b"] == plain["b", "a"] == pytest.approx(df.agg(F.corr("a", "b")).first()[0])
+    assert plain["a", "c"] is None and plain["c", "c"] == 1.0
+    gaps = {(r.i, r.j): r.r for r in A.correlations(df, ["a", "b", "c", "d"]).collect()}
+    assert gaps["a", "d"] == pytest.approx(-1.0) and gaps["a", "b"] == pytest.approx(plain["a", "b"]) and gaps["d", "c"] is None
+    assert C.varied_features(df, ["a", "b", "c", "d"], max_correlation=0.99) == ["a", "b"]

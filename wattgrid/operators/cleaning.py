@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from wattgrid.operators.ordered import fill_gaps, position_in_order
 from wattgrid.operators.quantiles import exact_percentiles
 from wattgrid.operators.scans import drop_infinite, hash_order, numeric_columns
+from wattgrid.operators.stats import correlations, safe_corr
 from wattgrid.session import checkpointed
 
 
@@ -117,7 +117,7 @@ def label_encode(df: DataFrame, columns: Sequence[str], codes: dict[str, DataFra
 
 def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Univariate F score of each feature: r2 / (1 - r2) * (n - 2)."""
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(c, target).alias(c) for c in columns])
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[safe_corr(c, target).alias(c) for c in columns])
     cells = [F.struct(F.lit(c).alias("feature"),
                       F.try_divide(F.col(c) * F.col(c) * (F.col("_n") - 2), 1 - F.col(c) * F.col(c)).alias("f_score"))
              for c in columns]
@@ -132,11 +132,9 @@ def best_features(df: DataFrame, columns: Sequence[str], target: str, k: int = 5
 
 def varied_features(df: DataFrame, columns: Sequence[str], min_variance: float = 0.01, max_correlation: float = 0.95) -> list[str]:
     """Features that vary, without those nearly equal to an earlier one."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)],
-                 *[F.abs(F.corr(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     kept = [c for i, c in enumerate(columns) if (row[f"v{i}"] or 0) > min_variance]
-    close = {p for i, p in enumerate(pairs) if (row[f"r{i}"] or 0) > max_correlation}
+    close = {(r.i, r.j) for r in correlations(df, kept).filter(F.abs("r") > max_correlation).collect()}
     chosen: list[str] = []
     for c in kept:
         if not any((o, c) in close for o in chosen):
