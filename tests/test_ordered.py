@@ -11,6 +11,7 @@ from wattgrid.operators import series as W
 from wattgrid.operators.alerts import sustained
 from wattgrid.operators.joins import change_since
 from wattgrid.operators.ordered import fill_gaps, over_rows, position_in_order, running_sum
+from wattgrid.operators import quantiles as K
 from wattgrid.operators.quantiles import exact_percentiles
 from wattgrid.operators.stats import ks_statistic
 
@@ -136,3 +137,11 @@ def test_positions_and_ks(hot):
         share = lambda xs, v: sum(x <= v for x in xs) / len(xs)
         assert r.ks_statistic == pytest.approx(max(abs(share(a, v) - share(b, v)) for v in {*a, *b}))
         assert 0 <= r.ks_pvalue <= 1
+
+
+def test_column_percentiles_both_ways(hot, monkeypatch):
+    df = hot.select(F.col("id").cast("double").alias("a"), F.col("v").alias("b"), F.lit(None).cast("int").alias("c"))
+    small = K.column_percentiles(df, ["a", "b", "c"], {"lo": 0.15, "hi": 0.85})
+    monkeypatch.setattr(K, "SMALL_INPUT_BYTES", -1)
+    large = K.column_percentiles(df, ["a", "b", "c"], {"lo": 0.15, "hi": 0.85})
+    assert small == large and small["c"].lo is None and small["b"].hi == 5

@@ -169,3 +169,17 @@ def test_correlations_with_and_without_nulls(spark):
     gaps = {(r.i, r.j): r.r for r in A.correlations(df, ["a", "b", "c", "d"]).collect()}
     assert gaps["a", "d"] == pytest.approx(-1.0) and gaps["a", "b"] == pytest.approx(plain["a", "b"]) and gaps["d", "c"] is None
     assert C.varied_features(df, ["a", "b", "c", "d"], max_correlation=0.99) == ["a", "b"]
+
+
+def test_large_samples_are_exact_and_repeatable(spark, monkeypatch):
+    df = spark.range(500)
+    small = sorted(S.sample_exact(df, 120, ["id"]).collect())
+    monkeypatch.setattr(S, "LIMIT_ROWS", 10)
+    assert sorted(S.sample_exact(df.repartition(6), 120, ["id"]).collect()) == small and len(small) == 120
+
+
+def test_keys_are_cut_before_the_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    plan = S.one_per_key(df, ["k"], [F.desc("id")])
+    assert sorted(r.id for r in plan.collect()) == [97, 98, 99]
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattgrid.operators.ordered import epoch_us, fill_gaps, with_previous
+from wattgrid.operators.joins import change_since, missing_intervals, ratio_by
+from wattgrid.operators.ordered import epoch_us, fill_gaps, running_sum, with_previous
+from wattgrid.operators.rollups import bucket
 
 # (rule, metric, comparison, threshold, hold seconds, severity, component): fixed values.
 RULES = [
@@ -77,3 +79,39 @@ def alerts(series: DataFrame, rules: DataFrame, **chunking) -> DataFrame:
     fired = sustained(judged, ["rule", "series"], "ts", "holds", F.col("hold_seconds"), **chunking)
     about = rules.select("rule", "severity", "component")
     return fired.join(F.broadcast(about), "rule")
+
+
+def _series(df: DataFrame, metric: str, series: Column, ts: str, value: Column) -> DataFrame:
+    return df.select(F.col(ts).alias("ts"), series.alias("series"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+
+def derived_series(samples: DataFrame, runs: DataFrame, jobs: DataFrame, **chunking) -> DataFrame:
+    """Series of the rules that test a computed value.
+
+    Power change over five minutes, presence of each node and of any thermal
+    sample per hour, waiting jobs after each submit or start, and the share of
+    failed among all jobs per queue and hour.
+    """
+    kind = samples.schema["time"].dataType
+    power = change_since(samples, "power_consumption_watts", ["node_id"], ties=["sample_id"], **chunking)
+    parts = [_series(power, "power_change_5m_watts", F.col("node_id"), "time", F.col("power_consumption_watts_change"))]
+    hours = samples.select("node_id", F.window("time", "1 hour").start.alias("at")).distinct()
+    gone = missing_intervals(samples.select("node_id", "time"), ["node_id"])
+    for df, up in ((hours, 1.0), (gone, 0.0)):
+        parts.append(_series(df.withColumn("at", F.col("at").cast(kind)), "node_up", F.col("node_id"), "at", F.lit(up)))
+    cluster = samples.select(F.lit("cluster").alias("all"), "time")
+    seen = cluster.select("all", F.window("time", "1 hour").start.alias("at")).distinct()
+    for df, absent in ((seen, 0.0), (missing_intervals(cluster, ["all"]), 1.0)):
+        parts.append(_series(df.withColumn("at", F.col("at").cast(kind)), "thermal_metrics_absent", F.col("all"), "at", F.lit(absent)))
+    moves = runs.select("run_id", F.inline(F.array(
+        F.struct(F.col("submit_time").alias("at"), F.lit(1).alias("step")),
+        F.struct(F.col("start_time").alias("at"), F.lit(-1).alias("step")))))
+    waiting = running_sum(moves, "step", "level", [], "at", ["step", "run_id"], **chunking)
+    waiting = waiting.groupBy("at").agg(F.max(F.struct("step", "run_id", "level"))["level"].alias("level"))
+    parts.append(_series(waiting, "pending_jobs", F.lit("cluster"), "at", F.col("level")))
+    failed = ratio_by(jobs.select("queue", bucket(jobs, "hour").alias("at"), "job_state"), ["queue", "at"], F.col("job_state") == "FAILED")
+    parts.append(_series(failed, "job_failure_rate", F.col("queue"), "at", F.col("ratio")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

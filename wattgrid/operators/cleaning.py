@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattgrid.operators.ordered import fill_gaps, position_in_order
-from wattgrid.operators.quantiles import exact_percentiles
+from wattgrid.operators.quantiles import column_percentiles, exact_percentiles
 from wattgrid.operators.scans import drop_infinite, hash_order, numeric_columns
 from wattgrid.operators.stats import correlations, safe_corr
 from wattgrid.session import checkpointed
@@ -21,8 +21,8 @@ def to_number(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill nulls with the column's exact median."""
-    medians = {c: exact_percentiles(df, c, {"median": 0.5}).scalar() for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), m) for c, m in medians.items()})
+    medians = column_percentiles(df, columns, {"median": 0.5})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m.median)) for c, m in medians.items()})
 
 
 def known_category(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,9 +39,10 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], low: float = 0.15, high: f
     ``one_pass`` takes all bounds from the unfiltered rows instead.  Rows with a
     null in a treated column are dropped.
     """
-    source = df
+    names = {"lo": low, "hi": high}
+    fixed = column_percentiles(df, columns, names) if one_pass else {}
     for c in columns:
-        got = exact_percentiles(source if one_pass else df, c, {"lo": low, "hi": high}).first()
+        got = fixed.get(c) or exact_percentiles(df, c, names).first()
         if got.lo is None:
             return df.filter(F.lit(False))
         margin = reach * (got.hi - got.lo)
@@ -81,10 +82,9 @@ def clip_deviations(df: DataFrame, columns: Sequence[str], reach: float = 3.0) -
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / IQR from exact percentiles; a zero IQR divides by 1."""
     out = {}
-    for c in columns:
-        q = exact_percentiles(df, c, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.struct("q1", "q2", "q3")).scalar()
-        spread = q["q3"] - q["q1"]
-        out[c] = (F.col(c) - q["q2"]) / F.when(spread == 0, 1.0).otherwise(spread)
+    for c, q in column_percentiles(df, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).items():
+        if q.q2 is not None:
+            out[c] = (F.col(c) - q.q2) / ((q.q3 - q.q1) or 1.0)
     return df.withColumns(out)
 
 

@@ -114,6 +114,11 @@ class Trained:
         order = F.desc("r2") if by == "r2" else F.asc(by)
         return self.scores.orderBy(order, "model_name").first().model_name
 
+    def release(self) -> None:
+        """Give up the cached training and test rows."""
+        self.train.unpersist()
+        self.test.unpersist()
+
     def pipeline(self, name: str) -> PipelineModel:
         """Feature stages and model together: what is saved, loaded and applied."""
         return PipelineModel(stages=[self.features, self.models[name]])

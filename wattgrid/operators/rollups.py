@@ -161,3 +161,13 @@ def energy_cube(jobs: DataFrame, dims: Sequence[str] = ("job_type", "node_id"))
         F.sum("estimated_energy_wh").alias("total_energy"),
         F.avg("estimated_energy_wh").alias("avg_energy"),
     )
+
+
+def distinct_counts(jobs: DataFrame, columns: dict[str, str], approximate: bool = False) -> DataFrame:
+    """Distinct values per column (new name -> column).
+
+    The exact form shuffles every distinct value; ``approximate`` keeps a small
+    sketch per column, within about 5 percent.
+    """
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return jobs.agg(*[count(c).alias(n) for n, c in columns.items()])

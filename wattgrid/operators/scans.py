@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattgrid.operators.ordered import position_in_order
+
+LIMIT_ROWS = 10_000
+
 JOB_COLUMNS = ["time", "job_id", "job_state", "job_type", "cpu_usage", "memory_usage",
                "duration_seconds", "estimated_energy_wh", "node_id"]
 
@@ -113,7 +117,11 @@ def drop_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], prefer: Sequence[Column | str]) -> DataFrame:
-    """One row per key: the first by ``prefer``, so a rerun picks the same row."""
+    """One row per key: the first by ``prefer``, so a rerun picks the same row.
+
+    Spark keeps one row per key in each task before the shuffle, so a key with
+    very many copies does not reach one task whole.
+    """
     window = Window.partitionBy(*keys).orderBy(*prefer)
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
@@ -194,8 +202,15 @@ def hash_order(keys: Sequence[str], seed: int) -> Column:
 
 
 def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the same ones whatever the partitioning."""
-    return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+    """Exactly ``min(n, rows)`` rows, the same ones whatever the partitioning.
+
+    A sorted limit gathers its rows in one task, so a large sample numbers the
+    rows in hash order over range partitions instead.
+    """
+    if n <= LIMIT_ROWS:
+        return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+    numbered = position_in_order(df.withColumn("_h", hash_order(keys, seed)), ["_h", *keys], "_position")
+    return numbered.filter(F.col("_position") <= n).drop("_h", "_position")
 
 
 def weighted_union(internal: DataFrame, public: DataFrame, weight: float, keys: Sequence[str],

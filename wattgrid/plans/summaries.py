@@ -143,8 +143,7 @@ def _(t):
 @query("a46_distinct_counts", """
 select count(distinct job_id) as jobs, count(distinct node_id) as nodes, count(distinct user_id) as users from job_metrics""")
 def _(t):
-    return t.job_metrics.agg(F.count_distinct("job_id").alias("jobs"), F.count_distinct("node_id").alias("nodes"),
-                             F.count_distinct("user_id").alias("users"))
+    return R.distinct_counts(t.job_metrics, {"jobs": "job_id", "nodes": "node_id", "users": "user_id"})
 
 
 @query("a15_job_type_counts", "select job_type, count(*) as count from job_metrics group by 1")

@@ -119,26 +119,52 @@ def node_series(t):
 _RULE_ROWS = ", ".join(f"('{r}', '{m}', '{op}', {x}E0, {d}, '{s}', '{c}')" for r, m, op, x, d, s, c in L.RULES)
 
 
-@query("w11_alerts", f"""
-with rules(rule, metric, comparison, threshold, hold_seconds, severity, component) as (values {_RULE_ROWS}),
+def _alert_sql(series: str) -> str:
+    """Fired alerts over the rows of CTE ``m`` that the text ``series`` defines."""
+    return f"""
+with rules(rule, metric, comparison, threshold, hold_seconds, severity, component) as (values {_RULE_ROWS}), {series},
+j as (select rule, series, ts, hold_seconds, severity, component,
+  coalesce(case when comparison = '>' then value > threshold else value = threshold end, false) as holds from m join rules using (metric)),
+g as (select *, sum(case when holds then 0 else 1 end) over (partition by rule, series order by ts) as island from j),
+s as (select *, min(ts) over (partition by rule, series, island) as since from g where holds)
+select rule, series, since, max(ts) as until, count(*) as samples,
+  min(case when epoch_us(ts) - epoch_us(since) >= hold_seconds * 1000000 then ts end) as fired_at, severity, component
+from s group by rule, series, island, since, severity, component
+having max(epoch_us(ts) - epoch_us(since) - hold_seconds * 1000000) >= 0"""
+
+
+@query("w11_alerts", _alert_sql("""
 h as (select node_id as series, date_trunc('hour', time) as ts, round(avg(cpu_temp), 6) as heat, round(avg(cpu_usage), 6) as cpu,
   round(avg(memory_usage) / 100, 6) as memory, round(avg(power_consumption_watts), 6) as power,
   max(case when cpu_temp > 76.5 then 1.0E0 else 0 end) as throttled from node_metrics group by 1, 2),
 m as (select ts, series, 'cpu_temperature_celsius' as metric, heat as value from h union all select ts, series, 'thermal_throttling_active', throttled from h
   union all select ts, series, 'cpu_usage_percent', cpu from h union all select ts, series, 'memory_used_ratio', memory from h
-  union all select ts, series, 'cpu_power_watts', power from h),
-j as (select rule, series, ts, hold_seconds, severity, component,
-  case when comparison = '>' then value > threshold else value = threshold end as holds from m join rules using (metric)),
-g as (select *, sum(case when holds then 0 else 1 end) over (partition by rule, series order by ts) as island from j),
-r as (select rule, series, severity, component, any_value(hold_seconds) as d, island, min(ts) as since, max(ts) as until, count(*) as samples
-  from g where holds group by rule, series, severity, component, island)
-select r.rule, r.series, since, until, samples, (select min(g.ts) from g where g.rule = r.rule and g.series = r.series and g.island = r.island
-  and g.holds and epoch(g.ts) - epoch(r.since) >= r.d) as fired_at, severity, component
-from r where epoch(until) - epoch(since) >= d""")
+  union all select ts, series, 'cpu_power_watts', power from h)"""))
 def _(t):
     return L.alerts(node_series(t), L.rule_table(t.spark))
 
 
+@query("w11_derived_alerts", _alert_sql("""
+ask as (select sample_id, node_id, time, time - interval 5 minute as asked, power_consumption_watts as p from node_metrics),
+pc as (select a.time as ts, a.node_id as series, 'power_change_5m_watts' as metric,
+  a.p - case when a.asked - n.time < interval 300 second then n.power_consumption_watts end as value
+  from ask a asof left join node_metrics n on a.node_id = n.node_id and a.asked >= n.time),
+sh as (select distinct node_id, date_trunc('hour', time) as h from node_metrics),
+grid as (select node_id, unnest(generate_series(lo, hi, interval 1 hour)) as h from (select node_id, min(h) as lo, max(h) as hi from sh group by 1)),
+allgrid as (select unnest(generate_series(lo, hi, interval 1 hour)) as h from (select min(h) as lo, max(h) as hi from sh)),
+mv as (select run_id, submit_time as moment, 1 as step from job_runs union all select run_id, start_time, -1 from job_runs),
+lv as (select moment, arg_max(level, (step, run_id)) as level from (select *, sum(step) over (order by moment, step, run_id
+  rows between unbounded preceding and current row) as level from mv) group by 1),
+m as (select * from pc
+  union all select g.h, g.node_id, 'node_up', case when s.h is null then 0 else 1 end from grid g left join sh s on g.node_id = s.node_id and g.h = s.h
+  union all select g.h, 'cluster', 'thermal_metrics_absent', case when s.h is null then 1 else 0 end from allgrid g left join (select distinct h from sh) s on g.h = s.h
+  union all select moment, 'cluster', 'pending_jobs', level from lv
+  union all select date_trunc('hour', time), queue, 'job_failure_rate', count(case when job_state = 'FAILED' then 1 end) / count(*) from job_metrics group by 1, 2)"""))
+def _(t):
+    n = t.node_metrics.select("sample_id", "time", "node_id", "power_consumption_watts")
+    return L.alerts(L.derived_series(n, t.job_runs, t.job_metrics), L.rule_table(t.spark))
+
+
 @query("w13_queue_length", """
 with e as (select run_id, submit_time as moment, 1 as step from job_runs union all select run_id, start_time, -1 from job_runs)
 select run_id, moment as start_time, cast(level as bigint) as queue_length from (

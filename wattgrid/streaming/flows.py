@@ -1,4 +1,9 @@
-"""Streaming rollups, joins, deduplication and stateful alerts."""
+"""Streaming rollups, joins, deduplication and stateful alerts.
+
+The stateful operators here see the rows one series has in one batch together,
+so the source should bound its batches (``maxFilesPerTrigger``,
+``maxOffsetsPerTrigger``); state itself is two values per series.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wattgrid.functions.advice import heat_events
 from wattgrid.operators.alerts import evaluate_rules
 
-METRICS = {"total_energy": ("sum", "energy"), "avg_energy": ("avg", "energy")}
-
-
 def hourly_load(samples: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Hourly mean and maximum per node; rows later than ``lateness`` are not counted."""
     return _tumbling(samples, "1 hour", lateness)
