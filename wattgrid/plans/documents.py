@@ -117,7 +117,7 @@ def _(t):
 
 @query("f37_f38_thermal_messages", """
 select sample_id, case when cpu_temp > 80 then 'critical' else 'warning' end as event_type, round(cpu_temp, 3) as temperature,
-  concat('core', cast(sample_id % 8 as varchar)) as sensor_name, 'production' as environment, 'hpc-energy' as cluster_name, 'thermal' as log_type,
+  concat('core', cast(sample_id % 8 as varchar)) as sensor_name, 'production' as environment, 'cluster' as cluster_name, 'thermal' as log_type,
   epoch_us(time) / 1000000.0E0 as parsed_time from node_metrics""", r2="temperature", r6="parsed_time")
 def _(t):
     text = F.concat(F.lit("Thermal event: "), F.when(F.col("cpu_temp") > 80, "critical").otherwise("warning"), F.lit(", Temperature: "),

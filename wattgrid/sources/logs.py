@@ -9,8 +9,8 @@ from wattgrid.functions import parse as Q
 
 RECORD_START = r"^\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\]"
 RECORD = r"(?s)^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3})\] \[(\w+)\] (.*)"
-# Constant fields added to each record (fixed values).
-DEPLOYMENT = {"environment": "production", "hypervisor_type": "unknown", "cluster_name": "hpc-energy"}
+# Defaults of the constant fields added to each record.
+DEPLOYMENT = {"environment": "production", "hypervisor_type": "unknown", "cluster_name": "cluster"}
 
 
 def read_json_log(spark: SparkSession, path: str, schema: str, time_key: str = "timestamp",
@@ -84,8 +84,9 @@ def unwrap_json(df: DataFrame, schema: str, column: str = "log") -> DataFrame:
     return df.withColumn("_j", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_j.*")
 
 
-def enrich(df: DataFrame, log_type: str, hostname: str = "unknown", time: str = "time") -> DataFrame:
-    fixed = {"hostname": hostname, **DEPLOYMENT, "log_type": log_type}
+def enrich(df: DataFrame, log_type: str, hostname: str = "unknown", time: str = "time", **deployment: str) -> DataFrame:
+    """Add the constant fields and the record's time as epoch seconds."""
+    fixed = {"hostname": hostname, **DEPLOYMENT, **deployment, "log_type": log_type}
     epoch = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000.0
     return df.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"parsed_time": epoch})
 
