@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattgrid.llm import exact_dedup, mixing, quality_rules, secret_scan
+from wattgrid.llm import chat, exact_dedup, html_text, langid, mixing, pieces, quality_rules, secret_scan, url_rules
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -119,3 +119,68 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda n: F.size(F.filter(spans, lambda s: s["number"] == n)).cast("long")
     return rows.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
                        F.sha2(secret_scan.described(base).cast("binary"), 256).alias("base_sha256"), secret_scan.described(spans).alias("spans"))
+
+
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+URL_SQL = rf"""
+with rules(rhost, rpath, said) as (values {', '.join(str(r) for r in URL_RULES)}),
+cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_rules.UPPER}', '{url_rules.LOWER}') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+fits as (
+  select page_id, first(rhost || rpath order by length(rhost || rpath) desc) as rule, first(said order by length(rhost || rpath) desc) as verdict
+  from parts join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fits using (page_id)"""
+
+
+@query("op6_url_filter", URL_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _quoted_controls() -> str:
+    return chat.ANY.replace("'", "''")
+
+
+CHAT_SQL = rf"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+formed as (
+  select *, length(regexp_replace(text, '({_quoted_controls()})', '\\\1', 'g')) + length(regexp_replace(role, '({_quoted_controls()})', '\\\1', 'g'))
+            + {len(chat.START + chat.SEP + chat.END) + 1} as n from rows)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256, sum(n)::bigint as formatted_chars
+from formed group by conv_id"""
+
+
+@query("op4_chat_format", CHAT_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_chats(chat.turn_log(turns)))
+
+
+@query("op5_html_extract")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = coded.withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.col("lang_rejected").alias("rejected"))
