@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattgrid.llm import chat, exact_dedup, html_text, langid, mixing, pieces, quality_rules, secret_scan, url_rules
+from wattgrid.llm import chat, exact_dedup, html_text, langid, mixing, ngram_join, pieces, quality_rules, secret_scan, url_rules
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -184,3 +184,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.col("lang_rejected").alias("rejected"))
+
+
+NGRAM_SQL = r"""
+with recursive words as (
+  select doc_id, [w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w <> ''] as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as s from words),
+items as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as n, any_value(b.n) as m, count(*) as k
+           from items a join items b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select x, y from common where 100 * k >= 85 * (n + m - k)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on r.y = l.x),
+least_of as (select x, min(y) as component_id from reach group by x)
+select doc_id, len(s) as n_shingles, component_id from sets join least_of on x = doc_id"""
+
+
+@query("op8_ngram_join", NGRAM_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
