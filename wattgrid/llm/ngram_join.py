@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wattgrid.llm.common import quoted, text_of, word_count
 from wattgrid.llm.components import components
-from wattgrid.llm.shingles import Powers, mixed, shingle_sets
+from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
 from wattgrid.session import checkpointed
 
 SHORT_LIST = 32
@@ -111,12 +111,12 @@ def digest_of(s: np.ndarray) -> tuple[int, int]:
 FEATURES = "struct<n:bigint,d1:bigint,d2:bigint,sketch:binary,keys:array<bigint>>"
 
 
-def features(text: Column, boundary: int, percent: int, last: np.ndarray) -> Column:
+def features(text: Column, boundary: int, percent: int, last: np.ndarray, words: int) -> Column:
     """Size, digest, sketch and keys of each text's set."""
     @F.arrow_udf(FEATURES)
     def of(texts: pa.Array) -> pa.Array:
         powers, n, one, two, sketches, keys = Powers(), [], [], [], [], []
-        for s in shingle_sets(texts.to_pylist(), powers):
+        for s in shingle_sets(texts.to_pylist(), powers, words):
             d = digest_of(s) if len(s) else (0, 0)
             n.append(len(s))
             one.append(d[0])
@@ -130,12 +130,12 @@ def features(text: Column, boundary: int, percent: int, last: np.ndarray) -> Col
     return of(text)
 
 
-def first_keys(text: Column, percent: int) -> Column:
+def first_keys(text: Column, percent: int, words: int) -> Column:
     """The shingles that each text's set puts first in plain order."""
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         none = np.zeros(0, np.uint64)
-        keys = [signed(s[:prefix_length(len(s), percent)]) if len(s) else signed(none) for s in shingle_sets(texts.to_pylist(), Powers())]
+        keys = [signed(s[:prefix_length(len(s), percent)]) if len(s) else signed(none) for s in shingle_sets(texts.to_pylist(), Powers(), words)]
         offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else signed(none)))
 
@@ -145,10 +145,10 @@ def first_keys(text: Column, percent: int) -> Column:
 SETS = "struct<d1:bigint,d2:bigint,items:array<bigint>>"
 
 
-def whole_sets(text: Column) -> Column:
+def whole_sets(text: Column, words: int) -> Column:
     @F.arrow_udf(SETS)
     def of(texts: pa.Array) -> pa.Array:
-        sets = list(shingle_sets(texts.to_pylist(), Powers()))
+        sets = list(shingle_sets(texts.to_pylist(), Powers(), words))
         digests = [digest_of(s) if len(s) else (0, 0) for s in sets]
         offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)))
@@ -185,26 +185,26 @@ def sizes_fit(n: Column, m: Column, percent: int) -> Column:
 # ---------------------------------------------------------------- the join
 
 
-def _frequent(docs: DataFrame, text: str, percent: int) -> tuple[np.ndarray, int]:
+def _frequent(docs: DataFrame, text: str, percent: int, words: int) -> tuple[np.ndarray, int]:
     """Shingles for the end of the order, and the boundary. Both steer the work only, never a result."""
-    found = docs.select(F.explode(first_keys(text_of(text), percent)).alias("key"))
+    found = docs.select(F.explode(first_keys(text_of(text), percent, words)).alias("key"))
     counts = checkpointed(found.groupBy("key").count().where("count > 1"))
     many = counts.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
     last = np.sort(many.column("key").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if len(many) else np.zeros(0, np.uint64)
     usual = counts.where(F.col("count") <= FREQUENT).agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
-    short = docs.select(F.greatest(word_count(text_of(text)) - 3, F.lit(1)).alias("n")).where(F.col("n") <= LARGEST_SMALL * 100 // percent + 2)
+    short = docs.select(F.greatest(word_count(text_of(text)) - (words - 1), F.lit(1)).alias("n")).where(F.col("n") <= LARGEST_SMALL * 100 // percent + 2)
     sizes = {r["n"]: r["count"] for r in short.groupBy("n").count().collect()}
     return last, best_boundary(sizes, (usual[0] or 0) / (usual[1] or 1) + 1, percent)
 
 
-def _sets_of(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame, words: int) -> DataFrame:
     """``node``, ``items`` of the classes ``wanted`` (node, d1, d2, id), from their texts."""
     ids = checkpointed(wanted.select("id").distinct())
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(quoted(doc_id).alias("id"), text_of(text).alias("text"))
     texts = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-    found = texts.select(whole_sets(F.col("text")).alias("s")).select("s.*")
+    found = texts.select(whole_sets(F.col("text"), words).alias("s")).select("s.*")
     joined = found.join(wanted.select("node", "d1", "d2"), ["d1", "d2"])
     return checkpointed(joined.groupBy("node").agg(F.first("items").alias("items")))
 
@@ -260,11 +260,11 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str) -> DataFrame:
     """``id``, ``mark`` (a hash of the text), ``n`` and ``component_id`` of every row."""
     rows = docs.select(quoted(doc_id).alias("id"), text_of(text).alias("text"))
-    last, boundary = _frequent(rows, "text", percent)
-    found = rows.select("id", F.xxhash64("text").alias("mark"), features(F.col("text"), boundary, percent, last).alias("f"))
+    last, boundary = _frequent(rows, "text", percent, words)
+    found = rows.select("id", F.xxhash64("text").alias("mark"), features(F.col("text"), boundary, percent, last, words).alias("f"))
     staged = checkpointed(found.select("id", "mark", "f.*", F.monotonically_increasing_id().alias("row")))
     classes = checkpointed(staged.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("id")))
     nodes = staged.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
@@ -288,7 +288,7 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame
     likely = checkpointed(pairs.join(one, "a").join(two, "b").where(may_be_similar(percent)(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"))).select("a", "b"))
 
     needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
-    sets = _sets_of(rows, "text", "id", classes.join(needed, "node", "left_semi"))
+    sets = _sets_of(rows, "text", "id", classes.join(needed, "node", "left_semi"), words)
     links = checkpointed(_verified(likely, sets, percent))
     labels = checkpointed(components(links))
     apart = long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -305,23 +305,23 @@ def _grouped(docs: DataFrame, percent: int, text: str, doc_id: str) -> DataFrame
     return joined.join(names, "component", "left").select("id", "mark", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def similar_texts(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_texts(docs: DataFrame, percent: int = 85, words: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row.
 
     Null, empty and blank texts have no shingles and link with nothing: their component is their own
     id. Texts with the same set link, whatever their number. Rows of one id stay rows of their own, and
     a null id is nobody's smallest. Only id and text are looked at.
     """
-    found = _grouped(docs, percent, text, doc_id)
+    found = _grouped(docs, percent, words, text, doc_id)
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of every group of linked documents the one with the smallest id, with its own columns.
 
     Documents without shingles are no group and stay. Rows alike in id and text stay or go together.
     """
-    found = _grouped(docs, percent, text, doc_id)
+    found = _grouped(docs, percent, words, text, doc_id)
     gone = checkpointed(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)

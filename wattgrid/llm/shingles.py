@@ -15,7 +15,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,10 +64,10 @@ def pieces_of(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def shingle_sets(texts: list[str | None], powers: Powers) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], powers: Powers, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
-    Words are runs without white space, A-Z lower-cased. A text of fewer than ``WIDTH`` words has one shingle, all
+    Words are runs without white space, A-Z lower-cased. A text of fewer than ``width`` words has one shingle, all
     of them; null, empty and blank texts have none.
     """
     waiting: list[bytes] = []
@@ -75,30 +75,31 @@ def shingle_sets(texts: list[str | None], powers: Powers) -> Iterator[np.ndarray
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
         if len(data) > PIECE:
-            yield from _together(waiting, powers)
+            yield from _together(waiting, powers, width)
             waiting, size = [], 0
-            yield _set(np.concatenate([powers.words(p)[0] for p in pieces_of(data)]))
+            yield _set(np.concatenate([powers.words(p)[0] for p in pieces_of(data)]), width)
             continue
         waiting.append(data)
         size += len(data) + 1
         if size > PIECE:
-            yield from _together(waiting, powers)
+            yield from _together(waiting, powers, width)
             waiting, size = [], 0
-    yield from _together(waiting, powers)
+    yield from _together(waiting, powers, width)
 
 
-def _set(words: np.ndarray) -> np.ndarray:
-    if len(words) < WIDTH:
+def _set(words: np.ndarray, width: int) -> np.ndarray:
+    if len(words) < width:
         if not len(words):
             return words
         return mixed(np.array([int(np.bitwise_xor.reduce(mixed(words + np.arange(1, len(words) + 1, dtype=np.uint64)))) ^ len(words)], np.uint64))
-    n = len(words) - WIDTH + 1
-    return np.unique(mixed(sum((words[k:k + n] * MIX[k] for k in range(1, WIDTH)), words[:n] * MIX[0])))
+    n = len(words) - width + 1
+    by = mixed(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    return np.unique(mixed(sum((words[k:k + n] * by[k] for k in range(1, width)), words[:n] * by[0])))
 
 
-def _together(waiting: list[bytes], powers: Powers) -> Iterator[np.ndarray]:
+def _together(waiting: list[bytes], powers: Powers, width: int) -> Iterator[np.ndarray]:
     words, begin = powers.words(b" ".join(waiting))
     ends = np.cumsum([len(d) + 1 for d in waiting])
     cuts = np.r_[0, np.searchsorted(begin, ends)] if len(waiting) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield _set(words[a:b])
+        yield _set(words[a:b], width)
