@@ -29,6 +29,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in replaced])
 
 
+def packed(df: DataFrame, **columns: str) -> DataFrame:
+    """Whole rows as one column ``row`` beside the named ones, so that no name can clash; ``row.*`` unpacks them."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *[quoted(c).alias(name) for name, c in columns.items()])
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, squeezed, text_of, without
+from wattgrid.llm.common import fresh, packed, quoted, squeezed, text_of, without
 from wattgrid.session import checkpointed
 
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
@@ -51,5 +51,5 @@ def mark_copies(rows: DataFrame, doc_id: str = "doc_id", heavy_slots: int = 1024
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, with their own columns."""
-    marked = mark_copies(digests(docs, text), doc_id)
-    return marked.where("kept").select(*[quoted(c) for c in docs.columns])
+    marked = mark_copies(digests(packed(docs, text=text, doc_id=doc_id)).drop("text"))
+    return marked.where("kept").select("row.*")

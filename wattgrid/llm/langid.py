@@ -169,14 +169,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return calibrate(train(counts[taught], marks[taught], languages), counts[held], marks[held])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and lang_rejected; other columns are kept.
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_rejected")) -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1) and lang_rejected (``names``); other columns are kept.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Else lang_pred is
     the likeliest language learned, rejected if its score is below the calibrated threshold. A
     model without languages says ``und`` and rejects only texts without letters.
     """
-    docs = without(docs, "lang_pred", "score", "lang_rejected")
+    docs = without(docs, *names)
     (found,) = fresh(docs, "language_found")
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
@@ -197,13 +197,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     kept = [quoted(c) for c in docs.columns]
     return docs.withColumn(found, judged(text_of(text))).select(
-        *kept, F.col(f"{found}.lang").alias("lang_pred"), F.col(f"{found}.score").alias("score"), F.col(f"{found}.rejected").alias("lang_rejected"))
+        *kept, *[F.col(f"{found}.{field}").alias(name) for field, name in zip(("lang", "score", "rejected"), names)])
 
 
 def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The documents whose language is not rejected, with their own columns."""
-    marked = predict(docs, fit(docs, text, lang, doc_id), text)
-    names = {c.lower() for c in ("lang_pred", "score", "lang_rejected")}
-    if any(c.lower() in names for c in docs.columns):
-        raise ValueError("lang_pred, score and lang_rejected are results; rename such columns first")
-    return marked.where(~F.col("lang_rejected")).select(*[quoted(c) for c in docs.columns])
+    names = fresh(docs, "lang_pred", "score", "lang_rejected")
+    marked = predict(docs, fit(docs, text, lang, doc_id), text, tuple(names))
+    return marked.where(~F.col(names[2])).select(*[quoted(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, text_of, without, word_count
+from wattgrid.llm.common import fresh, packed, quoted, text_of, without, word_count
 from wattgrid.session import checkpointed
 
 #: Hash bits decided by one histogram, histograms to a threshold, thresholds to a budget.
@@ -131,10 +131,7 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), seed: int = 1, text:
     once per whole copy of their source. Repeated ids share a hash and are taken together. Columns
     of any name are kept. Reruns take the same rows.
     """
-    rows = sized(docs, seed, text, doc_id)
-    slim = checkpointed(rows.select(quoted(source).alias("source"), "size", "hash"))
-    copies, number = fresh(docs, "copies", "number")
-    taken = apply_plan(rows, mix_plan(slim, list(weights)), source)
-    taken = taken.withColumnRenamed("copies", copies) if copies != "copies" else taken
-    repeated = taken.where(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*[quoted(c) for c in docs.columns])
+    rows = sized(packed(docs, text=text, doc_id=doc_id, source=source), seed)
+    slim = checkpointed(rows.select("source", "size", "hash"))
+    taken = apply_plan(rows, mix_plan(slim, list(weights)))
+    return taken.where("copies > 0").withColumn("number", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

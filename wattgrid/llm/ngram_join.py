@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import quoted, text_of, word_count
+from wattgrid.llm.common import fresh, quoted, text_of, word_count
 from wattgrid.llm.components import components
 from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
 from wattgrid.session import checkpointed
@@ -322,7 +322,8 @@ def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, text: str =
     Documents without shingles are no group and stay. Rows alike in id and text stay or go together.
     """
     found = _grouped(docs, percent, words, text, doc_id)
-    gone = checkpointed(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
+    one, two = fresh(docs, "gone_id", "gone_mark")
+    gone = checkpointed(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("id").alias(one), F.col("mark").alias(two)).distinct())
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, quoted(doc_id).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of(text)) == F.col("gone_mark")), "left_anti")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone[one]) & (F.xxhash64(text_of(text)) == gone[two]), "left_anti")

@@ -148,6 +148,8 @@ def learn(rows: DataFrame, names: list[str]) -> list[Rule]:
     asked = [F.percentile_approx(F.when(kind, F.col(n)), F.lit(quantiles), 1000).alias(f"{n}_{k}")
              for n in names for k, kind in enumerate((F.lit(True), F.col("bad")))]
     found = rows.where("part < 2").agg(*asked).first()
+    if all(x is None for x in found):
+        return []
     bounds = [sorted({*(found[f"{n}_0"] or []), *(found[f"{n}_1"] or [])}) for n in names]
 
     def bin_of(value: Column, cuts: list[float]) -> Column:
