@@ -23,12 +23,12 @@ from wattgrid.llm.common import quoted, text_of, without
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = re.compile(r" *[^ \n]+|\n| +")
 #: Units of up to so many characters are solved together in grids of these widths, longer ones each by a heap.
 WIDTHS = (6, 10, 16, 32)
 ROWS_AT_ONCE = 65_536
-#: Units of texts that are gone through at once.
-AT_ONCE = 500_000
+#: Bytes of texts whose units are gone through at once, and texts that are decoded at once.
+BYTES_AT_ONCE = 4_000_000
+TEXTS_AT_ONCE = 500
 NONE = -(1 << 31)
 MASK = (1 << 64) - 1
 
@@ -92,10 +92,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unit_keys(codes: np.ndarray, start: np.ndarray, heads: np.ndarray, ways: np.ndarray, seed: int) -> np.ndarray:
-    """A key for each unit (its code points lie from ``heads`` on), its variant and the seed."""
-    spread = np.add.reduceat(mixed(codes.astype(np.uint64) + (start.astype(np.uint64) << np.uint64(32))), heads)
-    return mixed(spread ^ np.uint64(seed * 0x9E3779B97F4A7C15 & MASK) ^ mixed(ways.astype(np.uint64) + np.uint64(1)))
+def unit_keys(codes: np.ndarray, heads: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """A key for each unit; its code points lie from ``heads`` on, one unit after another."""
+    start = np.arange(len(codes), dtype=np.uint64) - np.repeat(heads, lengths).astype(np.uint64)
+    return np.add.reduceat(mixed(codes.astype(np.uint64) + (start << np.uint64(32))), heads) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & MASK)
+
+
+def drawn_keys(keys: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    return mixed(keys ^ mixed(ways.astype(np.uint64) + np.uint64(1)))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -213,15 +217,10 @@ def segment_grid(v: Vocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np
     return symbol, inside
 
 
-def segment(v: Vocabulary, units: list[str], ways: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the units, one after another, and the number of ids of each."""
-    codes = code_points("".join(units))
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    heads = np.cumsum(lengths) - lengths
-    start = np.arange(len(codes)) - np.repeat(heads, lengths)
-    keys = unit_keys(codes, start, heads, ways, seed)
-    counts = np.zeros(len(units), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []  # units, their ids
+def segment(v: Vocabulary, codes: np.ndarray, heads: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the units (code points from ``heads`` on), one after another, and the number of ids of each."""
+    counts = np.zeros(len(heads), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, their counts of ids, the ids
     alone: dict[int, list[int]] = {}
     low = 0
     for width in WIDTHS:
@@ -233,20 +232,20 @@ def segment(v: Vocabulary, units: list[str], ways: np.ndarray, seed: int, rate:
             symbol, used = segment_grid(v, codes[place], lengths[rows], keys[rows], rate)
             odd = (used & (symbol < 0)).any(1)
             for r in np.flatnonzero(odd):
-                unit, places = units[rows[r]], np.flatnonzero(used[r])
-                alone[int(rows[r])] = [x for c, s in zip(places, symbol[r, places].tolist()) for x in ([s] if s >= 0 else v.spelled(unit[c]))]
+                places = np.flatnonzero(used[r])
+                alone[int(rows[r])] = [x for c, s in zip(places, symbol[r, places].tolist()) for x in ([s] if s >= 0 else v.spelled(chr(codes[heads[rows[r]] + c])))]
             used[odd] = False
             counts[rows] = used.sum(1)
-            found.append((rows, symbol[used]))
+            found.append((rows, counts[rows], symbol[used]))
     for u in np.flatnonzero(lengths > WIDTHS[-1]):
-        alone[int(u)] = segment_one(v, units[u], keys[u], rate)
+        unit = codes[heads[u]:heads[u] + lengths[u]].tobytes().decode("utf-32-le", "surrogatepass")
+        alone[int(u)] = segment_one(v, unit, keys[u], rate)
     for u, ids in alone.items():
         counts[u] = len(ids)
     begins = np.cumsum(counts) - counts
     out = np.empty(counts.sum(), np.int32)
-    for rows, ids in found:
-        n = counts[rows] * np.isin(rows, list(alone), invert=True) if alone else counts[rows]
-        out[np.repeat(begins[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = ids
+    for rows, n, ids in found:
+        out[np.repeat(begins[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
     for u, ids in alone.items():
         out[begins[u]:begins[u] + len(ids)] = ids
     return out, counts
@@ -259,42 +258,71 @@ class Encoder:
         self.v, self.rate, self.seed = v, rate, seed
         self.variants = variants if rate > 0 else 1
 
-    def drawn(self, document: int, n: int) -> np.ndarray:
-        """The variant of each unit of a document."""
-        base = np.uint64((document ^ self.seed * 0x9E3779B97F4A7C15) & MASK)
-        return (mixed(base + np.arange(n, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.variants)).astype(np.int64)
-
     def encode(self, texts: Iterable[str], documents: Iterable[int]) -> Iterator[pa.ListArray]:
         """Ids of the texts in order, some texts at a time; an empty text has none."""
-        units: list[str] = []
-        ways: list[np.ndarray] = []
-        ends = [0]
+        waiting: list[bytes] = []
+        keys: list[int] = []
+        size = 0
         for text, document in zip(texts, documents):
-            units += UNIT.findall(" " + text) if text else []
-            ways.append(self.drawn(document, len(units) - ends[-1]))
-            ends.append(len(units))
-            if len(units) >= AT_ONCE:
-                yield self.finished(units, ways, ends)
-                units, ways, ends = [], [], [0]
-        if len(ends) > 1:
-            yield self.finished(units, ways, ends)
-
-    def finished(self, units: list[str], ways: list[np.ndarray], ends: list[int]) -> pa.ListArray:
-        if not units:
-            return pa.array([[]] * (len(ends) - 1), pa.list_(pa.int32()))
-        coded = pa.array(units, pa.string()).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        wanted, which = np.unique(coded.indices.to_numpy() * self.variants + np.concatenate(ways), return_inverse=True)
-        values, lengths = segment(self.v, [names[k] for k in (wanted // self.variants).tolist()], wanted % self.variants, self.seed, self.rate)
-        each = lengths[which]
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(lengths) - lengths)[which], each)
-        offsets = np.concatenate([[0], np.cumsum(each)])[ends].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[place]))
-
-
-def decoded(v: Vocabulary, ids: Iterable[int]) -> str:
-    data = b"".join(map(v.text.__getitem__, ids))
-    return data[1:].decode("utf-8", "surrogatepass") if data[:1] == b" " else data.decode("utf-8", "surrogatepass")
+            waiting.append(b" " + text.encode("utf-8", "replace") if text else b"")
+            keys.append(document & MASK)
+            size += len(waiting[-1])
+            if size >= BYTES_AT_ONCE:
+                yield self.together(waiting, np.array(keys, np.uint64))
+                waiting, keys, size = [], [], 0
+        if waiting:
+            yield self.together(waiting, np.array(keys, np.uint64))
+
+    def together(self, texts: list[bytes], documents: np.ndarray) -> pa.ListArray:
+        data = b"".join(texts)
+        if not data:
+            return pa.array([[]] * len(texts), pa.list_(pa.int32()))
+        b = np.frombuffer(data, np.uint8)
+        blank, line = b == 32, b == 10
+        first = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+        opens = np.zeros(len(b) + 1, bool)
+        opens[1:-1] = blank[1:] & ~blank[:-1] | line[1:] | line[:-1]
+        opens[first] = True
+        starts = np.flatnonzero(opens[:-1])
+        units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(b)].astype(np.int32)), pa.py_buffer(data))
+        coded = units.dictionary_encode()
+        ends = np.r_[np.searchsorted(starts, first), len(starts)]
+        number = np.diff(ends)
+        within = np.arange(len(starts), dtype=np.uint64) - np.repeat(ends[:-1], number).astype(np.uint64)
+        base = documents ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & MASK)
+        ways = mixed(np.repeat(base, number) + within * np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.variants)
+        wanted, which = np.unique(coded.indices.to_numpy().astype(np.int64) * self.variants + ways.astype(np.int64), return_inverse=True)
+
+        _, offsets, letters = coded.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[:len(coded.dictionary) + 1].astype(np.int64)
+        letters = letters.to_pybytes()[:offsets[-1]]
+        codes = code_points(letters.decode("utf-8"))
+        before = np.r_[0, np.cumsum((np.frombuffer(letters, np.uint8) & 0xC0) != 0x80)]
+        heads, lengths = before[offsets[:-1]], np.diff(before[offsets])
+        unit = wanted // self.variants
+        keys = drawn_keys(unit_keys(codes, heads, lengths, self.seed)[unit], wanted % self.variants)
+        values, counts = segment(self.v, codes, heads[unit], lengths[unit], keys, self.rate)
+
+        each = counts[which]
+        upto = np.r_[0, np.cumsum(each)]
+        place = np.repeat((np.cumsum(counts) - counts)[which] - upto[:-1], each) + np.arange(upto[-1])
+        return pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(values[place]))
+
+
+def decoded(v: Vocabulary, ids: pa.ListArray) -> list[str]:
+    """The text of each list of ids. Bytes that are no UTF-8 become replacement characters."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.array([len(t) for t in v.text])
+    begins = np.cumsum(lengths) - lengths
+    each = lengths[flat]
+    ends = np.r_[0, np.cumsum(each)]
+    data = np.frombuffer(b"".join(v.text), np.uint8)[np.repeat(begins[flat] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+    counts = np.diff(ids.offsets.to_numpy() - ids.offsets[0].as_py())
+    places = ends[np.r_[0, np.cumsum(counts)]]
+    out = []
+    for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
+        out.append(data[a + (data[a:a + 1] == b" " and b > a):b].decode("utf-8", "replace"))
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int = 1, variants: int = 4, text: str = "text", doc_id: str = "doc_id", out: str = "ids") -> DataFrame:
@@ -305,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int
     """
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        parts = list(Encoder(vocabulary, rate, seed, variants).encode((t.as_py() for t in texts), (k.as_py() & MASK for k in keys)))
+        parts = list(Encoder(vocabulary, rate, seed, variants).encode((t.as_py() for t in texts), (k.as_py() for k in keys)))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return without(docs, out).withColumn(out, ids_of(text_of(text), F.xxhash64(quoted(doc_id))))
@@ -315,6 +343,9 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of an array of ids. Null gives null; an id that the model lacks is an error."""
     @F.arrow_udf("string")
     def text_of_ids(values: pa.Array) -> pa.Array:
-        return pa.array([None if x.as_py() is None else decoded(vocabulary, x.as_py()) for x in values], pa.string())
+        out: list[str] = []
+        for k in range(0, len(values), TEXTS_AT_ONCE):
+            out += decoded(vocabulary, values.slice(k, TEXTS_AT_ONCE).fill_null([]))
+        return pa.array(out, pa.string())
 
-    return text_of_ids(ids)
+    return F.when(ids.isNotNull(), text_of_ids(ids))
