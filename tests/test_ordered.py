@@ -113,17 +113,17 @@ def test_thermal_filter_matches_a_loop(hot):
         W.thermal_filter(samples, "p", ["node"], "t", dt=60.0)
 
 
-@pytest.mark.parametrize("rounds", [None, 1, 2])
-def test_percentiles(hot, spark, rounds):
+@pytest.mark.parametrize("rows", [1_000_000, 5])
+def test_percentiles(hot, spark, rows):
     df = hot.withColumn("x", F.when(F.col("id") % 3 == 0, F.lit(4.0)).otherwise(F.pow(F.col("id") * 1.0, 3)))
     asked = {"p15": 0.15, "p50": 0.5, "p99": 0.99}
     want = df.groupBy("node").agg(F.percentile("x", list(asked.values())).alias("p")).collect()
-    got = {r.node: [r.p15, r.p50, r.p99] for r in exact_percentiles(df, "x", asked, ["node"], rounds).collect()}
+    got = {r.node: [r.p15, r.p50, r.p99] for r in exact_percentiles(df, "x", asked, ["node"], rows).collect()}
     for r in want:
         assert got[r.node] == pytest.approx(list(r.p))
-    every = exact_percentiles(df, "x", asked, rounds=rounds).first()
+    every = exact_percentiles(df, "x", asked, bracket_rows=rows).first()
     assert list(every) == pytest.approx(list(df.agg(F.percentile("x", list(asked.values()))).first()[0]))
-    assert exact_percentiles(df.filter("id < 0"), "x", asked, rounds=rounds).first().p50 is None
+    assert exact_percentiles(df.filter("id < 0"), "x", asked, bracket_rows=rows).first().p50 is None
 
 
 def test_positions_and_ks(hot):
@@ -139,9 +139,17 @@ def test_positions_and_ks(hot):
         assert 0 <= r.ks_pvalue <= 1
 
 
-def test_column_percentiles_both_ways(hot, monkeypatch):
+def test_column_percentiles(hot):
     df = hot.select(F.col("id").cast("double").alias("a"), F.col("v").alias("b"), F.lit(None).cast("int").alias("c"))
-    small = K.column_percentiles(df, ["a", "b", "c"], {"lo": 0.15, "hi": 0.85})
-    monkeypatch.setattr(K, "SMALL_INPUT_BYTES", -1)
-    large = K.column_percentiles(df, ["a", "b", "c"], {"lo": 0.15, "hi": 0.85})
-    assert small == large and small["c"].lo is None and small["b"].hi == 5
+    found = K.column_percentiles(df, ["a", "b", "c"], {"lo": 0.15, "hi": 0.85})
+    want = df.agg(*[F.percentile(c, [0.15, 0.85]).alias(c) for c in "ab"]).first()
+    assert list(found["a"]) == pytest.approx(want["a"]) and list(found["b"]) == pytest.approx(want["b"])
+    assert found["c"].lo is None
+
+
+def test_backward_fill_is_linear(spark):
+    rows = spark.range(120_000).select(F.lit("n").alias("node"), F.timestamp_seconds(F.col("id") * 60).alias("t"), "id",
+                                       F.when(F.col("id") % 50_000 == 49_999, F.col("id")).alias("v"))
+    filled = fill_gaps(rows, ["v"], ["node"], "t")
+    # Forward first: only what lies before the first value is filled from behind.
+    assert filled.where("v is null or v <> case when id < 49999 then 49999 when id < 99999 then 49999 else 99999 end").count() == 0

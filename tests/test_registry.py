@@ -35,3 +35,18 @@ def test_entry(spark):
 
 def test_names_are_registered_once_and_checked():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 150
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The tables as folders of three files."""
+    folder = tmp_path_factory.mktemp("parts")
+    for path in Path(SF).glob("*.parquet"):
+        spark.read.parquet(str(path)).repartition(3).write.parquet(f"{folder}/{path.name}")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n.startswith(("r", "s22")) and n[1].isdigit()))
+def test_streams_read_folders(spark, duck, parts, name):
+    note, good = check.compare(spark, duck, name, queries()[name], oracle_sql()[name], parts)
+    assert good, note

@@ -102,13 +102,6 @@ def test_interval_join_crosses_buckets(spark):
     assert got == [(1, i) for i in range(1, 7)] + [(2, 4)]
 
 
-def test_broadcast_is_size_checked(spark):
-    small = J.checked_broadcast(spark.range(5), 10)
-    large = J.checked_broadcast(spark.range(50), 10)
-    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(small) and not hinted(large)
-
-
 def test_formulas_guard_zero(spark):
     df = spark.createDataFrame([(0.0,)], "z double")
     row = df.select(P.efficiency_score("z", "z", "z").alias("e"), P.performance_per_watt("z", "z", "z").alias("p"),
@@ -171,10 +164,9 @@ def test_correlations_with_and_without_nulls(spark):
     assert C.varied_features(df, ["a", "b", "c", "d"], max_correlation=0.99) == ["a", "b"]
 
 
-def test_large_samples_are_exact_and_repeatable(spark, monkeypatch):
+def test_samples_are_exact_and_repeatable(spark):
     df = spark.range(500)
-    small = sorted(S.sample_exact(df, 120, ["id"]).collect())
-    monkeypatch.setattr(S, "LIMIT_ROWS", 10)
+    small = sorted(df.orderBy(S.hash_order(["id"], 42), "id").limit(120).collect())
     assert sorted(S.sample_exact(df.repartition(6), 120, ["id"]).collect()) == small and len(small) == 120
 
 

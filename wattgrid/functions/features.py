@@ -120,18 +120,18 @@ def workload(df: DataFrame) -> Added:
     return _add(df, new)
 
 
-def interactions(df: DataFrame, columns: Sequence[str], limit: int = 10) -> Added:
-    """Products and ratios of column pairs, at most ``limit`` new columns."""
+def interactions(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> Added:
+    """Products and ratios of column pairs; with ``limit``, about so many new columns."""
     known = [c for c in columns if c in df.columns]
     new = {}
-    for a, b in list(combinations(known, 2))[: (limit + 1) // 2]:
+    for a, b in list(combinations(known, 2))[: limit and (limit + 1) // 2]:
         new |= {f"{a}_x_{b}": F.col(a) * F.col(b), f"{a}_div_{b}": F.col(a) / (F.col(b) + 1e-8)}
     return _add(df, new)
 
 
-def polynomials(df: DataFrame, columns: Sequence[str], limit: int = 5) -> Added:
-    """Squares and pairwise products of up to ``limit`` columns."""
-    known = [c for c in columns if c in df.columns][:limit]
+def polynomials(df: DataFrame, columns: Sequence[str]) -> Added:
+    """Squares and pairwise products of the columns."""
+    known = [c for c in columns if c in df.columns]
     new = {}
     for i, a in enumerate(known):
         new[f"poly_{a}^2"] = F.col(a) * F.col(a)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattgrid.operators.ordered import fill_gaps, position_in_order
 from wattgrid.operators.quantiles import column_percentiles, exact_percentiles
-from wattgrid.operators.scans import drop_infinite, hash_order, numeric_columns
+from wattgrid.operators.scans import drop_infinite, hash_order, numeric_columns, sample_exact
 from wattgrid.operators.stats import correlations, safe_corr
 from wattgrid.session import checkpointed
 
@@ -124,7 +124,7 @@ def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def best_features(df: DataFrame, columns: Sequence[str], target: str, k: int = 50) -> list[str]:
+def best_features(df: DataFrame, columns: Sequence[str], target: str, k: int) -> list[str]:
     """Names of the ``k`` features with the highest F score (one row per feature comes back)."""
     top = f_scores(df, columns, target).orderBy(F.desc_nulls_last("f_score"), "feature").limit(k)
     return [r.feature for r in top.collect()]
@@ -154,15 +154,14 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_percent: int = 20, seed:
     return df.filter(side), df.filter(~side)
 
 
-def with_noise(df: DataFrame, columns: Sequence[str], keys: Sequence[str], level: float = 0.05, limit: int = 1000,
+def with_noise(df: DataFrame, columns: Sequence[str], keys: Sequence[str], level: float = 0.05, share: float = 0.25,
                seed: int = 42) -> DataFrame:
-    """A quarter as many rows (at most ``limit``), values shifted by N(0, level x value), none below 0.
+    """A ``share`` as many rows, values shifted by N(0, level x value), none below 0.
 
     Base rows are drawn by hash order and noise comes from hashes too, so a lost
     task recomputes the same rows.
     """
-    wanted = min(df.count() // 4, limit)
-    base = df.orderBy(hash_order(keys, seed), *keys).limit(wanted)
+    base = sample_exact(df, int(df.count() * share), keys, seed)
     noisy = {c: F.greatest(F.lit(0.0), F.col(c) * (1 + level * _normal(keys, seed + 1 + i))) for i, c in enumerate(columns)}
     return base.withColumns(noisy)
 
@@ -177,10 +176,10 @@ def _normal(keys: Sequence[str], seed: int) -> Column:
     return radius * F.cos(2 * F.pi() * _uniform(keys, seed * 2 + 1))
 
 
-def interpolated(df: DataFrame, columns: Sequence[str], keys: Sequence[str], limit: int = 500, seed: int = 42) -> DataFrame:
-    """An eighth as many rows (at most ``limit``), each between two different rows."""
-    wanted = min(df.count() // 8, limit)
-    drawn = position_in_order(df.withColumn("_h", hash_order(keys, seed)).orderBy("_h", *keys).limit(2 * wanted), ["_h", *keys])
+def interpolated(df: DataFrame, columns: Sequence[str], keys: Sequence[str], share: float = 0.125, seed: int = 42) -> DataFrame:
+    """A ``share`` as many rows, each between two different rows."""
+    wanted = int(df.count() * share)
+    drawn = position_in_order(df.withColumn("_h", hash_order(keys, seed)), ["_h", *keys]).filter(F.col("position") <= 2 * wanted)
     drawn = drawn.withColumn("_pair", F.floor((F.col("position") - 1) / 2))
     first = drawn.filter(F.col("position") % 2 == 1)
     second = drawn.filter(F.col("position") % 2 == 0).select("_pair", *[F.col(c).alias(f"_o_{c}") for c in columns])

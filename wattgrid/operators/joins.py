@@ -9,19 +9,6 @@ from pyspark.sql import functions as F
 
 from wattgrid.operators.ordered import epoch_us, fill_gaps, position_in_order
 from wattgrid.operators.rollups import bucket
-from wattgrid.session import checkpointed
-
-SMALL_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger frames join by shuffle.
-
-    The frame is checkpointed first, so that counting does not compute it twice.
-    """
-    kept = checkpointed(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
 
 def during_runs(samples: DataFrame, runs: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Samples taken on a run's node between its start and end, both included.
@@ -64,7 +51,7 @@ def combine_jobs(jobs: DataFrame, usage: DataFrame | None = None, thermals: Data
     if usage is not None:
         jobs = jobs.join(usage, usage_key, "left")
     if thermals is not None:
-        jobs = jobs.join(checked_broadcast(thermals), "node_id", "left")
+        jobs = jobs.join(thermals, "node_id", "left")
     return jobs
 
 

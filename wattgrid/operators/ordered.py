@@ -26,7 +26,10 @@ from pyspark.sql import types as T
 from wattgrid.session import checkpointed
 
 ROWS_PER_CHUNK = 20_000
-GRAIN_SECONDS = 60
+# A slice of one series is an hour, so that the slice table is a small part of the rows; a slice of
+# all rows together is a minute.
+GRAIN_SECONDS = 3600
+GRAIN_SECONDS_OF_ALL = 60
 
 CHUNK, HALO, SLICE = "_chunk", "_halo", "_slice"
 
@@ -69,9 +72,10 @@ def chunked(
     lookback_rows: int = 0,
     carries: Sequence[Carry] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
-    grain: float = GRAIN_SECONDS,
+    grain: float | None = None,
 ) -> DataFrame:
     """Add ``_chunk``, ``_halo`` and one ``_carry_<name>`` column per carry."""
+    grain = grain or (GRAIN_SECONDS if keys else GRAIN_SECONDS_OF_ALL)
     if lookback_rows and carries:
         raise ValueError("a carry counts each row once, so it cannot be used with halo rows")
     sliced = df.withColumn(SLICE, _slice_of(df, order, grain))
@@ -80,7 +84,8 @@ def chunked(
     )
     series = Window.partitionBy(*keys)
     earlier = series.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    later = series.orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    # Later slices are the earlier ones of the reversed order: a growing frame, where one up to the end starts anew for each row.
+    later = series.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     size = F.lit(int(rows_per_chunk))
     table = table.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     for c in carries:
@@ -183,17 +188,17 @@ def fill_gaps(
                      lambda x: F.last(x, ignorenulls=True)) for i, c in enumerate(columns)]
     if backward:
         carries += [Carry(f"b{i}", F.min_by(c, F.when(F.col(c).isNotNull(), at)),
-                          lambda x: F.first(x, ignorenulls=True), backward=True)
+                          lambda x: F.last(x, ignorenulls=True), backward=True)
                     for i, c in enumerate(columns)]
     cut = chunked(df, keys, order, carries=carries, **chunking)
     window = chunk_window(keys, order, ties)
     seen = window.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = window.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, CHUNK).orderBy(*[F.desc(c) for c in (order, *ties)]).rowsBetween(Window.unboundedPreceding, 0)
     filled = {}
     for i, c in enumerate(columns):
         choices = [F.last(c, ignorenulls=True).over(seen), F.col(f"_carry_f{i}")]
         if backward:
-            choices += [F.first(c, ignorenulls=True).over(ahead), F.col(f"_carry_b{i}")]
+            choices += [F.last(c, ignorenulls=True).over(ahead), F.col(f"_carry_b{i}")]
         filled[c] = F.coalesce(*choices)
     return cut.withColumns(filled).drop(CHUNK, HALO, *[f"_carry_{c.name}" for c in carries])
 

@@ -14,18 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from wattgrid.session import checkpointed
+
 GRID = 500
 ACCURACY = 10_000
 MARGIN = 2
-SMALL_INPUT_BYTES = 64 << 20
-# From each of these input sizes on, one more round narrows the brackets about eightyfold.
-ROUND_BYTES = (4 << 30, 1 << 40)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of everything the frame reads, in bytes."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+# A bracket with more rows than this is narrowed once more before its rows are ordered.
+BRACKET_ROWS = 1_000_000
 
 
 def _wanted(n, p):
@@ -46,21 +41,15 @@ def exact_percentiles(
     value: str,
     names: dict[str, float],
     keys: Sequence[str] = (),
-    rounds: int | None = None,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """One row per key with a column per ``names`` entry (name -> fraction).
 
     Linear interpolation between neighbouring ranks; nulls and NaN are left out.
-    Input of at most 64 MB is left to Spark's own ``percentile``, whose buffers
-    then are small; larger input is bracketed, in more rounds the larger it is.
-    Giving ``rounds`` brackets whatever the size.
+    Every input goes the same way: brackets are narrowed until the rows counted in
+    the largest are few enough to order.
     """
     keys = list(keys)
-    if rounds is None:
-        size = input_bytes(df)
-        if size <= SMALL_INPUT_BYTES:
-            return _direct(df, value, names, keys)
-        rounds = 1 + sum(size >= b for b in ROUND_BYTES)
     group = keys or ["_all"]
     base = df.select(
         *[F.col(k) for k in keys],
@@ -74,8 +63,13 @@ def exact_percentiles(
     )
     state = first.select(*group, "_n", "_grid", F.posexplode(fractions).alias("_i", "_p"))
     state = state.withColumns({"_below": F.lit(0), "_m": F.col("_n")})
-    state = _narrow(state, group)
-    for _ in range(rounds - 1):
+    state = checkpointed(_narrow(state, group))
+    before = None
+    while True:
+        widest = state.agg(F.max("_inside")).first()[0] or 0
+        if widest <= bracket_rows or widest == before:
+            break
+        before = widest
         inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
         again = (
             _attach(base, state, group, ["_lo", "_hi", "_n", "_p"])
@@ -86,7 +80,7 @@ def exact_percentiles(
                 _sketch(F.when(inside, F.col("_v"))).alias("_grid"),
             )
         )
-        state = _narrow(again, group)
+        state = checkpointed(_narrow(again, group))
 
     # Everything below the bracket collapses to one null-valued group per map task.
     kept = (
@@ -118,13 +112,6 @@ def exact_percentiles(
     return wide
 
 
-def _direct(df: DataFrame, value: str, names: dict[str, float], keys: Sequence[str]) -> DataFrame:
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    got = df.groupBy(*keys).agg(F.percentile(v, [float(p) for p in names.values()]).alias("_p"))
-    out = got.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return out.dropna(subset=list(names)) if keys else out
-
-
 def _narrow(state: DataFrame, group: Sequence[str]) -> DataFrame:
     low, high, _ = _wanted(F.col("_n"), F.col("_p"))
     cell = lambda rank: (rank - F.col("_below")) * GRID / F.col("_m")
@@ -133,6 +120,7 @@ def _narrow(state: DataFrame, group: Sequence[str]) -> DataFrame:
     return state.select(
         *group, "_i", "_n", "_p",
         F.get("_grid", left).alias("_lo"), F.get("_grid", right).alias("_hi"),
+        F.ceil((right - left) * F.col("_m") / GRID).alias("_inside"),
     )
 
 
@@ -152,14 +140,8 @@ def _attach(base: DataFrame, state: DataFrame, group: Sequence[str], fields: Seq
 def column_percentiles(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> dict[str, Row]:
     """Exact percentiles of several columns in one go, as one small row per column.
 
-    Large input is turned into (column, value) rows, so that all columns share
-    the same few passes.
+    The columns become (column, value) rows, so that all share the same few passes.
     """
-    ps = [float(p) for p in names.values()]
-    if input_bytes(df) <= SMALL_INPUT_BYTES:
-        clean = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
-        got = df.agg(*[F.percentile(v, ps).alias(c) for c, v in clean.items()]).first()
-        return {c: Row(*names)(*(got[c] or [None] * len(ps))) for c in columns}
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     long = df.select(F.inline(F.array(*cells)))
     found = {r["column"]: r for r in exact_percentiles(long, "value", names, ["column"]).collect()}

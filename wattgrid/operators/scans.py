@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from wattgrid.operators.ordered import position_in_order
 
-LIMIT_ROWS = 10_000
 
 JOB_COLUMNS = ["time", "job_id", "job_state", "job_type", "cpu_usage", "memory_usage",
                "duration_seconds", "estimated_energy_wh", "node_id"]
@@ -204,11 +203,8 @@ def hash_order(keys: Sequence[str], seed: int) -> Column:
 def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones whatever the partitioning.
 
-    A sorted limit gathers its rows in one task, so a large sample numbers the
-    rows in hash order over range partitions instead.
+    The rows are numbered in hash order over range partitions; no task gathers the sample.
     """
-    if n <= LIMIT_ROWS:
-        return df.orderBy(hash_order(keys, seed), *keys).limit(n)
     numbered = position_in_order(df.withColumn("_h", hash_order(keys, seed)), ["_h", *keys], "_position")
     return numbered.filter(F.col("_position") <= n).drop("_h", "_position")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattgrid.functions import advice as V
@@ -10,7 +10,7 @@ from wattgrid.functions import features as X
 from wattgrid.functions import parse as Q
 from wattgrid.functions import power as P
 from wattgrid.operators import stats as A
-from wattgrid.operators.ordered import seconds_between
+from wattgrid.operators.ordered import position_in_order, seconds_between
 from wattgrid.plans.measures import _METRICS, _pairs, benchmark_totals
 from wattgrid.plans.registry import query
 
@@ -263,7 +263,7 @@ _PAIRS5 = [("cpu_usage", "memory_usage"), ("cpu_usage", "avg_cpu_temp"), ("cpu_u
     f"{a} * {b} as {a}_x_{b}, {a} / ({b} + 1e-8) as {a}_div_{b}" for a, b in _PAIRS5) + " from job_metrics",
        r4=" ".join(f"{a}_x_{b} {a}_div_{b}" for a, b in _PAIRS5))
 def _(t):
-    df, added = X.interactions(t.job_metrics, _FIVE)
+    df, added = X.interactions(t.job_metrics, _FIVE, limit=10)
     # Shares of a near-zero divisor reach 1e10, so compare them to four places only.
     return df.select("job_id", *added)
 
@@ -436,10 +436,8 @@ def used_percent(free: Column, total: Column) -> Column:
 @query("t6_ranked_recommendations", """
 select job_id, priority_score, row_number() over (order by round(priority_score, 9) desc, job_id) as position from (
   select job_id, 1 / (1 + estimated_energy_wh / duration_seconds / 100) as priority_score from job_metrics)
-order by 3 limit 500""", r6="priority_score")
+order by 3""", r6="priority_score")
 def _(t):
     j = t.job_metrics.select("job_id", P.priority("estimated_energy_wh", "duration_seconds").alias("priority_score"))
-    top = j.orderBy(F.round("priority_score", 9).desc(), "job_id").limit(500)
-    # The window only numbers the 500 rows of the report.
-    w = Window.orderBy(F.round("priority_score", 9).desc(), "job_id")
-    return top.withColumn("position", F.row_number().over(w).cast("bigint"))
+    numbered = position_in_order(j, [F.round("priority_score", 9).desc(), "job_id"])
+    return numbered.withColumn("position", F.col("position").cast("bigint"))

@@ -104,10 +104,9 @@ def _(t):
 _TEMP = [c for c in NUMERIC if c != "avg_cpu_temp"]
 
 
-@query("a18_temperature_correlations", f"select feature, round(strength, 6) as strength from ({_rank_sql('avg_cpu_temp', _TEMP)}) where rank > 1 and rank <= 5")
+@query("a18_temperature_correlations", f"select feature, round(strength, 6) as strength from ({_rank_sql('avg_cpu_temp', _TEMP)}) where rank <= 5")
 def _(t):
-    # cpu_usage and avg_cpu_temp move together exactly, and tie with the power column at rank one or two.
-    out = A.correlation_ranking(t.job_metrics, "avg_cpu_temp", _TEMP).filter("rank > 1 and rank <= 5")
+    out = A.correlation_ranking(t.job_metrics, "avg_cpu_temp", _TEMP).filter("rank <= 5")
     return out.select("feature", F.round("strength", 6).alias("strength"))
 
 

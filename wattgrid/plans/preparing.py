@@ -194,11 +194,11 @@ def all_features(df, target, numeric):
     keep = df.columns
     df, _ = X.calendar(df)
     df, _ = X.workload(df)
-    df = W.lag_features(df, [target, *numeric[:5]], ["node_id"], "time", ["sample_id"])
-    df = W.rolling_features(df, [target, *numeric[:3]], ["node_id"], "time", ["sample_id"])
-    df, _ = X.interactions(df, numeric[:5])
-    df, _ = X.row_statistics(df, numeric[:10])
-    df, _ = X.polynomials(df, numeric[:3])
+    df = W.lag_features(df, [target, *numeric], ["node_id"], "time", ["sample_id"])
+    df = W.rolling_features(df, [target, *numeric], ["node_id"], "time", ["sample_id"])
+    df, _ = X.interactions(df, numeric)
+    df, _ = X.row_statistics(df, numeric)
+    df, _ = X.polynomials(df, numeric)
     return df.dropna(), [c for c in df.columns if c not in keep]
 
 

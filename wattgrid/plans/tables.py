@@ -358,9 +358,8 @@ def _(t):
 
 @query("t2_recent_jobs_limited", """
 select job_id, job_type, time, estimated_energy_wh from job_metrics order by time desc, job_id limit 1000""")
-def _(t):
-    return t.job_metrics.select("job_id", "job_type", "time", "estimated_energy_wh").orderBy(
-        F.desc("time"), "job_id").limit(min(5000, 1000))
+def _(t, rows=1000):
+    return t.job_metrics.select("job_id", "job_type", "time", "estimated_energy_wh").orderBy(F.desc("time"), "job_id").limit(rows)
 
 
 @query("t4_energy_vs_duration", f"""

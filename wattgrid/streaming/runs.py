@@ -13,27 +13,30 @@ from pyspark.sql.streaming import StreamingQuery
 from wattgrid.session import ensure_checkpoint_dir
 from wattgrid.sources.adapters import Tables
 
-LIMIT_SECONDS = 1800
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def finish(query: StreamingQuery, seconds: int = LIMIT_SECONDS) -> None:
-    """Wait for an ``availableNow`` query; stop it and fail when it takes too long."""
-    if not query.awaitTermination(seconds):
+def finish(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for an ``availableNow`` query; with ``seconds``, stop it and fail when it takes longer."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream {query.name or query.id} was still running after {seconds} s")
 
 
 class StreamTables(Tables):
-    """The driver's tables as file streams, with event times that watermarks accept."""
+    """The driver's tables as file streams, with event times that watermarks accept.
+
+    A table is one file or a folder of parts. The path is a pattern that only the table's name fits,
+    since a stream lists what a pattern finds, file or folder.
+    """
 
     def raw(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
         return stream.withColumns({c: F.col(c).cast("timestamp") for c, k in stream.dtypes if k == "timestamp_ntz"})
 
 
@@ -60,13 +63,21 @@ def write_changes(stream: DataFrame, path: str, mode: str = "update", trigger: d
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def has_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_changes(spark: SparkSession, path: str, schema, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Latest row per key of a change table: the last batch wins, then the last by ``order``.
 
     ``max_by`` keeps one row per key in each task before the shuffle.
     """
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if has_folder(spark, f"{path}/rows"):
+        rows = spark.read.schema(full).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    else:  # a stream without input writes no batch
+        rows = spark.createDataFrame([], full)
     plain = [c for c in rows.columns if c != "batch" and c not in keys]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*plain), F.struct("batch", *order)).alias("_r"))
     return latest.select(*keys, "_r.*")
