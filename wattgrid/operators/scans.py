@@ -197,7 +197,9 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def hash_order(keys: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*keys, F.lit(seed))
+    """52 bits of the MD5 of keys and seed as text, a hash that other engines have as well."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
 
 
 def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

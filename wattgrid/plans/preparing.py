@@ -116,17 +116,39 @@ def _(t):
 _NUM = ["cpu_usage", "memory_usage", "cpu_temp"]
 
 
-@query("c11_noise_augmentation")
+def _hash(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5({key} || '|{seed}'), 1, 13))::bigint"
+
+
+def _uniform(key: str, seed: int) -> str:
+    return f"(({_hash(key, seed)} % (1::bigint << 40)) + 0.5e0) / (1::bigint << 40)::double"
+
+
+def _normal(key: str, seed: int) -> str:
+    return f"sqrt(-2 * ln({_uniform(key, seed * 2)})) * cos(2 * pi() * ({_uniform(key, seed * 2 + 1)}))"
+
+
+_DRAWN = f"""drawn as (
+  select *, row_number() over (order by {_hash('sample_id', 42)}, sample_id) as position, count(*) over () as n from node_metrics)"""
+_NOISE = f"""select sample_id, {', '.join(f"greatest(0.0, {c} * (1 + 0.05e0 * {_normal('sample_id', 43 + i)})) as {c}" for i, c in enumerate(_NUM))}
+from drawn where position <= floor(n * 0.25e0)"""
+_BETWEEN = f"""select a.sample_id, {', '.join(f"({_share}) * a.{c} + (1 - ({_share})) * b.{c} as {c}" for _share in [f"0.2e0 + 0.6e0 * {_uniform('a.sample_id', 49)}"] for c in _NUM)}
+from drawn a join drawn b on a.position % 2 = 1 and b.position = a.position + 1 where b.position <= 2 * floor(b.n * 0.125e0)"""
+
+
+@query("c11_noise_augmentation", f"with {_DRAWN} {_NOISE}", r6=" ".join(_NUM))
 def _(t):
     return C.with_noise(t.node_metrics.select("sample_id", *_NUM), _NUM, ["sample_id"])
 
 
-@query("c12_interpolation_augmentation")
+@query("c12_interpolation_augmentation", f"with {_DRAWN} {_BETWEEN}", r6=" ".join(_NUM))
 def _(t):
     return C.interpolated(t.node_metrics.select("sample_id", *_NUM), _NUM, ["sample_id"])
 
 
-@query("x5_original_and_synthetic")
+@query("x5_original_and_synthetic", f"""with {_DRAWN}
+select sample_id, cpu_usage, memory_usage, cpu_temp, 'measured' as origin from node_metrics
+union all select *, 'noise' from ({_NOISE}) union all select *, 'interpolated' from ({_BETWEEN})""", r6=" ".join(_NUM))
 def _(t):
     n = t.node_metrics.select("sample_id", *_NUM)
     return union_all(n.withColumn("origin", F.lit("measured")),
@@ -134,18 +156,22 @@ def _(t):
                      C.interpolated(n, _NUM, ["sample_id"]).withColumn("origin", F.lit("interpolated")))
 
 
-@query("c13_synthetic_reference")
+_SHIFTED = [f"""greatest(0.0, {c} + case when avg({c}) over () > 0
+  then avg({c}) over () * {0.05 + 0.10 * ((42 * 31 + i * 17) % 100) / 100!r}e0 * {_normal('sample_id', 42 + i)} else 0 end) {'+ 1.5e0' if c == 'cpu_temp' else ''} as {c}"""
+            for i, c in enumerate(_NUM)]
+
+
+@query("c13_synthetic_reference", f"select sample_id, {', '.join(_SHIFTED)} from node_metrics", r6=" ".join(_NUM))
 def _(t):
     return C.synthetic_reference(t.node_metrics.select("sample_id", *_NUM), _NUM, ["sample_id"], bias={"cpu_temp": (1.0, 1.5)})
 
 
-@query("c14_random_sample", "select least(1000, count(*)) as n, least(1000, count(*)) as distinct_jobs from job_metrics")
+@query("c14_random_sample", f"select job_id from job_metrics order by {_hash('job_id', 42)}, job_id limit 1000")
 def _(t):
-    chosen = sample_exact(t.job_metrics.select("job_id"), 1000, ["job_id"])
-    return chosen.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("job_id").alias("distinct_jobs"))
+    return sample_exact(t.job_metrics.select("job_id"), 1000, ["job_id"])
 
 
-@query("c15_train_test_split")
+@query("c15_train_test_split", f"select job_id, estimated_energy_wh, case when {_hash('job_id', 42)} % 100 < 80 then 'train' else 'test' end as part from job_metrics")
 def _(t):
     train, test = C.hash_split(t.job_metrics.select("job_id", "estimated_energy_wh"), ["job_id"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

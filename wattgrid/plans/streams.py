@@ -138,9 +138,12 @@ def _(t):
         F.count(F.lit(1)).alias("records"), F.count("energy_value").alias("parsed"), F.sum("energy_value").alias("energy"))
 
 
-@query("r12_sampled_logs")
+@query("r12_sampled_logs", """
+select ts as time, event_id, case when event_type = 'error' then 'job error on node' || (user_id % 10)
+  else 'Energy: ' || format('{:.2f}', value) || ' Wh, Job: ' || event_id || ', Node: node' || (user_id % 10) end as message
+from events where ('0x' || substr(md5(event_id || '|42'), 1, 13))::bigint % 100 = 0""")
 def _(t):
-    return _ntz(append_table(G.one_in(log_lines(_streams(t).raw("events")), 100, "event_id", "message"), "sampled"))
+    return _ntz(append_table(G.one_in(log_lines(_streams(t).raw("events")), 100, "event_id"), "sampled"))
 
 
 @query("r13_record_counters", """

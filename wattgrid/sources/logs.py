@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattgrid.functions import parse as Q
+from wattgrid.operators.scans import hash_order
 
 RECORD_START = r"^\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\]"
 RECORD = r"(?s)^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3})\] \[(\w+)\] (.*)"
@@ -106,4 +107,4 @@ def route_errors(df: DataFrame, column: str = "message") -> DataFrame:
 
 def one_in(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """A repeatable one-in-n sample of high-volume records."""
-    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(n)) == 0)
+    return df.filter(F.pmod(hash_order(columns, 42), F.lit(n)) == 0)
