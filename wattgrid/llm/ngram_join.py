@@ -42,6 +42,8 @@ FREQUENT = 48
 MOST_FREQUENT = 500_000
 #: Largest boundary considered: beyond, subsets outnumber any list.
 LARGEST_SMALL = 16
+#: Texts worked on at once.
+PART = 256
 #: Ids sent to every executor at most; beyond, the join is left to a shuffle.
 SENT_IDS = 4_000_000
 
@@ -108,36 +110,48 @@ def digest_of(s: np.ndarray) -> tuple[int, int]:
         return int(signed(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0]), int(signed(mixed(s + np.uint64(0x0F0F0F0F0F0F0F0F)).sum(keepdims=True))[0])
 
 
+def lists_of(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)))
+
+
+def in_parts(texts: pa.Array, some) -> pa.Array:
+    """``some`` of a few texts at a time, so that a batch is never held in several forms at once."""
+    return pa.concat_arrays([some(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)])
+
+
 FEATURES = "struct<n:bigint,d1:bigint,d2:bigint,sketch:binary,keys:array<bigint>>"
 
 
 def features(text: Column, boundary: int, percent: int, last: np.ndarray, words: int) -> Column:
     """Size, digest, sketch and keys of each text's set."""
-    @F.arrow_udf(FEATURES)
-    def of(texts: pa.Array) -> pa.Array:
-        powers, n, one, two, sketches, keys = Powers(), [], [], [], [], []
-        for s in shingle_sets(texts.to_pylist(), powers, words):
+    powers = Powers()
+
+    def some(texts: list[str]) -> pa.Array:
+        n, one, two, sketches, keys = [], [], [], [], []
+        for s in shingle_sets(texts, powers, words):
             d = digest_of(s) if len(s) else (0, 0)
             n.append(len(s))
             one.append(d[0])
             two.append(d[1])
             sketches.append(sketch_of(s) if len(s) else b"")
-            keys.append(signed(keys_of(s, boundary, percent, last)) if len(s) else np.zeros(0, np.int64))
-        offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()), lists], ["n", "d1", "d2", "sketch", "keys"])
+            keys.append(keys_of(s, boundary, percent, last) if len(s) else s)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary()), lists_of(keys)], ["n", "d1", "d2", "sketch", "keys"])
+
+    @F.arrow_udf(FEATURES)
+    def of(texts: pa.Array) -> pa.Array:
+        return in_parts(texts, some)
 
     return of(text)
 
 
 def first_keys(text: Column, percent: int, words: int) -> Column:
     """The shingles that each text's set puts first in plain order."""
+    powers = Powers()
+
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        none = np.zeros(0, np.uint64)
-        keys = [signed(s[:prefix_length(len(s), percent)]) if len(s) else signed(none) for s in shingle_sets(texts.to_pylist(), Powers(), words)]
-        offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else signed(none)))
+        return in_parts(texts, lambda some: lists_of([s[:prefix_length(len(s), percent)] if len(s) else s for s in shingle_sets(some, powers, words)]))
 
     return of(text)
 
@@ -146,13 +160,16 @@ SETS = "struct<d1:bigint,d2:bigint,items:array<bigint>>"
 
 
 def whole_sets(text: Column, words: int) -> Column:
+    powers = Powers()
+
+    def some(texts: list[str]) -> pa.Array:
+        sets = list(shingle_sets(texts, powers, words))
+        digests = [digest_of(s) if len(s) else (0, 0) for s in sets]
+        return pa.StructArray.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), lists_of(sets)], ["d1", "d2", "items"])
+
     @F.arrow_udf(SETS)
     def of(texts: pa.Array) -> pa.Array:
-        sets = list(shingle_sets(texts.to_pylist(), Powers(), words))
-        digests = [digest_of(s) if len(s) else (0, 0) for s in sets]
-        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), lists], ["d1", "d2", "items"])
+        return in_parts(texts, some)
 
     return of(text)
 

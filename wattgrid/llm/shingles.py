@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 4
 #: Bytes hashed together; a longer text is cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
