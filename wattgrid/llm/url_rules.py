@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from wattgrid.llm.common import fresh, quoted, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows drawn to place the cuts (they decide how even the ranges are, never a result), and characters of each.
+#: Rows drawn on average to place the cuts (they decide how even the ranges are, never a result), and characters of each.
 SAMPLED = 4096
 SAMPLED_CHARS = 200
 LAST = "\U0010ffff"
@@ -41,8 +41,9 @@ def host_key(host: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, order: str, ranges: int) -> list[str]:
-    drawn = rows.select(F.substring(order, 1, SAMPLED_CHARS).alias("o")).orderBy(F.xxhash64("o"), "o").limit(SAMPLED).collect()
-    drawn = sorted(r["o"] for r in drawn)
+    share = min(1.0, SAMPLED / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)) < int(share * (1 << 40))
+    drawn = sorted(r["o"] for r in rows.select(F.substring(order, 1, SAMPLED_CHARS).alias("o"), draw.alias("d")).where("d").select("o").collect())
     return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
 
 
