@@ -115,7 +115,7 @@ def test_write_dataset(spark, tmp_path, kind):
 def test_results_and_csv(spark, tmp_path):
     df = spark.createDataFrame([(datetime(2024, 1, 1), 1.5)], "time timestamp, v double")
     O.write_results({"energy": df}, df.groupBy().count(), str(tmp_path))
-    assert O.read_csv(spark, str(tmp_path / "energy_csv"), "time timestamp, v double", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").collect() == df.collect()
+    assert O.read_csv(spark, str(tmp_path / "energy_csv"), "time timestamp, v double", O.TIME_FORMAT).collect() == df.collect()
 
 
 def test_refresh_replaces_only_its_hours(spark, tmp_path, tables):

@@ -110,6 +110,7 @@ def clamped(field: str, column=None) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+# The message formats and error words of the logs.
 ENERGY_LINE = r"^Energy: (\d+\.\d+) (\w+), Job: (\d+), Node: (\w+)"
 THERMAL_LINE = r"^Thermal event: (\w+), Temperature: (\d+\.\d+)°C, Sensor: (\w+)"
 ERROR_WORDS = r"(?i)(ERROR|CRITICAL|FATAL|Exception|Traceback)"

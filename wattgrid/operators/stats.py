@@ -182,7 +182,7 @@ COMPONENT_WEIGHTS = {"thermal": 0.9, "energy": 0.09, "performance": 0.01}
 
 
 def r2_share(r2: Column) -> Column:
-    """R2 mapped to 0-1 piecewise."""
+    """R2 mapped to 0-1 piecewise (fixed values)."""
     return (
         F.when(r2 >= 0.1, 1.0)
         .when(r2 >= -1, 0.95 + 0.05 * r2)

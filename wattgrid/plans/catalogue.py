@@ -3,6 +3,7 @@
 from wattgrid.plans import (  # noqa: F401
     combining,
     documents,
+    files,
     formulas,
     measures,
     models,

@@ -333,20 +333,21 @@ def cpu_zones(zones: DataFrame) -> DataFrame:
 
 
 def _daily(t) -> DataFrame:
-    """Load summary per node and day for the rules below."""
-    n = t.node_metrics.withColumn("w", P.sample_watts("cpu_usage", "memory_usage"))
+    """Load summary of the jobs of each node and day for the rules below."""
+    n = t.job_metrics.withColumn("w", P.sample_watts("cpu_usage", "memory_usage"))
     return n.groupBy("node_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("day")).agg(
-        F.max("cpu_usage").alias("avg_cpu"), F.max("memory_usage").alias("avg_memory"), F.avg("w").alias("avg_power"),
-        F.count_if(F.col("cpu_temp") > 76.5).alias("throttling_events"),
+        F.avg("cpu_usage").alias("avg_cpu"), F.avg("memory_usage").alias("avg_memory"), F.avg("w").alias("avg_power"),
+        F.count_if(F.col("avg_cpu_temp") > 76.5).alias("throttling_events"),
         F.avg(P.efficiency_score("cpu_usage", "memory_usage", "w")).alias("efficiency_score"),
-        F.sum("memory_usage").alias("disk_total_mb"), F.lit(3600).alias("duration_seconds"))
+        F.sum((F.col("io_read_mbps") + F.col("io_write_mbps")) * F.col("duration_seconds")).alias("disk_total_mb"),
+        F.sum("duration_seconds").alias("duration_seconds"))
 
 
-_DAILY = """s as (select node_id, date_trunc('day', time) as day, cpu_temp, cpu_usage as c, memory_usage as m,
-  50 + 1.5E0 * cpu_usage + 20 * memory_usage / 100 as w from node_metrics),
-d as (select node_id, day, max(c) as avg_cpu, max(m) as avg_memory, avg(w) as avg_power, count(case when cpu_temp > 76.5 then 1 end) as throttling_events,
+_DAILY = """s as (select node_id, date_trunc('day', time) as day, avg_cpu_temp as cpu_temp, cpu_usage as c, memory_usage as m,
+  (io_read_mbps + io_write_mbps) * duration_seconds as mb, duration_seconds, 50 + 1.5E0 * cpu_usage + 20 * memory_usage / 100 as w from job_metrics),
+d as (select node_id, day, avg(c) as avg_cpu, avg(m) as avg_memory, avg(w) as avg_power, count(case when cpu_temp > 76.5 then 1 end) as throttling_events,
   avg(least(0.4E0 * least(c / 85, 1) * 100 + 0.3E0 * least(m / 80, 1) * 100 + 0.3E0 * least(200 / w, 1) * 100, 100)) as efficiency_score,
-  sum(m) as disk_total_mb, 3600 as duration_seconds from s group by 1, 2)"""
+  sum(mb) as disk_total_mb, sum(duration_seconds) as duration_seconds from s group by 1, 2)"""
 
 
 @query("f43_bottlenecks", f"""with {_DAILY}
@@ -366,7 +367,7 @@ def _advice_sql(kind, priority, pct, effort, cond):
 @query("f44_optimisation_advice", f"with {_DAILY} " + " union all ".join([
     _advice_sql("cpu", "high", 15, "medium", "avg_cpu > 90"), _advice_sql("memory", "high", 10, "medium", "avg_memory > 80"),
     _advice_sql("energy_efficiency", "medium", 20, "easy", "efficiency_score < 70"),
-    _advice_sql("io", "medium", 12, "medium", "disk_total_mb > 1000")]), r3="savings_wh", r6="savings_usd")
+    _advice_sql("io", "medium", 12, "medium", "disk_total_mb > 1000")]), r6="savings_wh savings_usd")
 def _(t):
     return V.optimisations(_daily(t), ["node_id", "day"])
 
@@ -406,7 +407,7 @@ def _(t):
 
 
 @query("f48_cluster_advice", """
-with d as (select node_id, date_trunc('day', time) as day, max(cpu_usage) as c, max(memory_usage) as m, sum(power_consumption_watts) as e from node_metrics group by 1, 2)
+with d as (select node_id, date_trunc('day', time) as day, avg(cpu_usage) as c, avg(memory_usage) as m, sum(power_consumption_watts) as e from node_metrics group by 1, 2)
 select node_id, day, 'performance_optimizations' as advice_group, 'bottleneck' as type from d where c > 90
 union all select node_id, day, 'energy_optimizations', 'high_energy_consumption' from d where e > 1000
 union all select node_id, day, 'scheduling_recommendations', 'cpu_overutilization' from d where c > 80
@@ -414,7 +415,7 @@ union all select node_id, day, 'hardware_recommendations', 'memory_upgrade' from
 def _(t):
     n = t.node_metrics
     d = n.groupBy("node_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("day")).agg(
-        F.max("cpu_usage").alias("cpu_percent"), F.max("memory_usage").alias("memory_percent"),
+        F.avg("cpu_usage").alias("cpu_percent"), F.avg("memory_usage").alias("memory_percent"),
         F.sum("power_consumption_watts").alias("predicted_energy"))
     d = d.withColumn("high_bottlenecks", F.when(F.col("cpu_percent") > 90, 1).otherwise(0))
     return V.cluster_advice(d, ["node_id", "day"])

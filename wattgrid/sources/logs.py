@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from wattgrid.functions import parse as Q
 from wattgrid.operators.scans import hash_order
 
+# The record layout of the log files.
 RECORD_START = r"^\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\]"
 RECORD = r"(?s)^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3})\] \[(\w+)\] (.*)"
-# Defaults of the constant fields added to each record.
-DEPLOYMENT = {"environment": "production", "hypervisor_type": "unknown", "cluster_name": "cluster"}
 
 
 def read_json_log(spark: SparkSession, path: str, schema: str, time_key: str = "timestamp",
@@ -67,7 +66,9 @@ def read_multiline_log(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.join(blocks, ["file", "block"]).withColumn("record", F.col("_before") + F.sum("_start").over(inside))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda r: r["value"]), "\n")
-    records = numbered.groupBy("file", "record").agg(text.alias("text"))
+    # Lines before the first start are no record; each stays a row of its own.
+    alone = F.when(F.col("record") == 0, F.col("at"))
+    records = numbered.groupBy("file", "record", alone.alias("_alone")).agg(text.alias("text")).drop("_alone")
     return split_record(records)
 
 
@@ -85,9 +86,9 @@ def unwrap_json(df: DataFrame, schema: str, column: str = "log") -> DataFrame:
     return df.withColumn("_j", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_j.*")
 
 
-def enrich(df: DataFrame, log_type: str, hostname: str = "unknown", time: str = "time", **deployment: str) -> DataFrame:
-    """Add the constant fields and the record's time as epoch seconds."""
-    fixed = {"hostname": hostname, **DEPLOYMENT, **deployment, "log_type": log_type}
+def enrich(df: DataFrame, log_type: str, time: str = "time", **fields: str) -> DataFrame:
+    """Add the caller's constant ``fields``, the log type and the record's time as epoch seconds."""
+    fixed = {**fields, "log_type": log_type}
     epoch = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000.0
     return df.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"parsed_time": epoch})
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from wattgrid.operators.rollups import bucket, hourly_jobs, refresh_rows
 
 
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def time_predicates(start: datetime, end: datetime, parts: int, column: str = "time") -> list[str]:
     """``parts`` adjoining half-open ranges over [start, end], one JDBC partition each."""
     step = (end - start) / parts
@@ -30,6 +33,8 @@ def write_dataset(df: DataFrame, path: str, kind: str = "parquet", mode: str = "
     if kind not in ("parquet", "csv", "json"):
         raise ValueError(f"unknown format {kind}")
     writer = df.write.mode(mode).format(kind)
+    if kind != "parquet":  # text formats would cut times to milliseconds
+        writer = writer.option("timestampFormat", TIME_FORMAT)
     if kind == "csv":
         writer = writer.option("header", True)
     if partition_by:
