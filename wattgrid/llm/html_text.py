@@ -28,7 +28,7 @@ HOLDERS = frozenset("div section ul ol dl table tbody thead tfoot figure blockqu
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that name furniture.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|widget|comments?|commentlist|"
+    r"(?:^|(?<!has)(?<!with)(?<!no)[\s_-])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side|widget|comments?|commentlist|"
     r"respond|reply|replies|disqus|discussion|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|toolbar|share|sharing|social|related|"
     r"recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|disclaimer|copyright|legal|pagination|pager|tags|skip|hidden|"
     r"contentinfo|complementary|search|dialog)(?:$|[\s_-])", re.I)
