@@ -29,6 +29,10 @@ def build_session(app: str = "wattgrid", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Folders written in place of lineage by this process.
+_WRITTEN: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taking it from ``spark.checkpoint.dir``.
 
@@ -52,6 +56,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Unlike a plain checkpoint the table is read by column and has a known size.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "tables", uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def own_folder(spark: SparkSession, *names: str) -> str:
+    """A folder below the checkpoint folder that ``release`` deletes."""
+    path = "/".join((ensure_checkpoint_dir(spark), *names))
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what earlier queries wrote to the checkpoint folder, once their results are no longer read."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return count

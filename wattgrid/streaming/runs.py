@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wattgrid.session import ensure_checkpoint_dir
+from wattgrid.session import own_folder
 from wattgrid.sources.adapters import Tables
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return own_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
 
 
 def finish(query: StreamingQuery, seconds: int | None = None) -> None:
