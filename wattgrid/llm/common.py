@@ -34,6 +34,16 @@ def packed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *[quoted(c).alias(name) for name, c in columns.items()])
 
 
+def text_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Give Python fewer texts at a time than Spark's default of 10,000 rows, which suits short values.
+
+    A session that has set a number of its own keeps it.
+    """
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(key) == usual:
+        df.sparkSession.conf.set(key, rows)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

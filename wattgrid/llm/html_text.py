@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import text_of, without
+from wattgrid.llm.common import text_batches, text_of, without
 
 # Element names by what they mean for text.
 DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video", "map")
@@ -223,6 +223,7 @@ def extract_text(pages: DataFrame, page: str = "html", out: str = "text") -> Dat
     Every page is read whole, on its own; no shuffle. Broken and unclosed markup is read as far as
     it goes: an unclosed script, style or comment hides the rest of the page.
     """
+    text_batches(pages)
     tree = block_tree()
 
     @F.arrow_udf("string")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, text_of, without
+from wattgrid.llm.common import fresh, quoted, text_batches, text_of, without
 
 BUCKETS = 8192
 SIZES = (2, 3, 4)
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     by hash of id and text, as many rows for each language, ``SAMPLE_ROWS`` in all; each row drawn
     is counted whole.
     """
+    text_batches(docs)
     usable = docs.select(quoted(lang).cast("string").alias("lang"), text_of(text).alias("text"), quoted(doc_id).alias("id"),
                          remainder(quoted(doc_id)).alias("part")).where("lang is not null and part > 0 and text != ''")
     per = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     the likeliest language learned, rejected if its score is below the calibrated threshold. A
     model without languages says ``und`` and rejects only texts without letters.
     """
+    text_batches(docs)
     docs = without(docs, *names)
     (found,) = fresh(docs, "language_found")
 

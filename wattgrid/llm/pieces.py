@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import quoted, text_of, without
+from wattgrid.llm.common import quoted, text_batches, text_of, without
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units of up to so many characters are solved together in grids of these widths, longer ones each by a heap.
 WIDTHS = (6, 10, 16, 32)
-ROWS_AT_ONCE = 65_536
+ROWS_AT_ONCE = 16_384
 #: Bytes of texts whose units are gone through at once, and texts that are decoded at once.
 BYTES_AT_ONCE = 4_000_000
 TEXTS_AT_ONCE = 500
@@ -331,6 +331,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int
     Null and empty texts have no ids. Rows alike in id and text get the same ids, in any run and
     partitioning; rate 0 gives the model's own segmentation. No shuffle.
     """
+    text_batches(docs)
+
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array, keys: pa.Array) -> pa.Array:
         parts = list(Encoder(vocabulary, rate, seed, variants).encode((t.as_py() for t in texts), (k.as_py() for k in keys)))
