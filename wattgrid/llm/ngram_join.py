@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, text_of, word_count
+from wattgrid.llm.common import fresh, quoted, text_batches, text_of, word_count
 from wattgrid.llm.components import components
 from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
 from wattgrid.session import checkpointed
 
 SHORT_LIST = 32
 #: Pivots of a long list, and long lists in which a class meets them.
-PIVOTS = 64
+PIVOTS = 52
 PIVOT_LISTS = 4
 #: Classes of a long list that are compared at once with as many.
 BLOCK = 2048
@@ -206,7 +206,14 @@ def _frequent(docs: DataFrame, text: str, percent: int, words: int) -> tuple[np.
     """Shingles for the end of the order, and the boundary. Both steer the work only, never a result."""
     found = docs.select(F.explode(first_keys(text_of(text), percent, words)).alias("key"))
     counts = checkpointed(found.groupBy("key").count().where("count > 1"))
-    many = counts.where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
+    grades = counts.where(F.col("count") > FREQUENT).groupBy(F.floor(F.log2("count")).alias("g")).count().orderBy(F.desc("g")).collect()
+    least, sent = 64, 0  # of the power of two from which on the shingles are few enough to be sent
+    for r in grades:
+        sent += r["count"]
+        if sent > MOST_FREQUENT:
+            break
+        least = r["g"]
+    many = counts.where((F.col("count") > FREQUENT) & (F.floor(F.log2("count")) >= least)).select("key").toArrow()
     last = np.sort(many.column("key").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if len(many) else np.zeros(0, np.uint64)
     usual = counts.where(F.col("count") <= FREQUENT).agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
     short = docs.select(F.greatest(word_count(text_of(text)) - (words - 1), F.lit(1)).alias("n")).where(F.col("n") <= LARGEST_SMALL * 100 // percent + 2)
@@ -279,6 +286,7 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str) -> DataFrame:
     """``id``, ``mark`` (a hash of the text), ``n`` and ``component_id`` of every row."""
+    text_batches(docs)
     rows = docs.select(quoted(doc_id).alias("id"), text_of(text).alias("text"))
     last, boundary = _frequent(rows, "text", percent, words)
     found = rows.select("id", F.xxhash64("text").alias("mark"), features(F.col("text"), boundary, percent, last, words).alias("f"))
