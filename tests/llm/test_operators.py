@@ -85,6 +85,31 @@ def test_dropout_varies_repeats_and_decodes(spark, odd, none, vocabulary):
     assert null.select(pieces.decode(F.col("ids"), vocabulary).alias("t")).first()["t"] is None
 
 
+def test_each_occurrence_draws(vocabulary):
+    """Far more than a handful of segmentations of one word, as often plain as the rate says, in one document and over many."""
+    word, rate, n = "international", 0.1, 4000
+    seen = {}
+    for texts, documents in (([" ".join([word] * n)], [5]), ([word] * n, range(n))):
+        (coded,) = pieces.Encoder(vocabulary, rate, 1).encode(texts, documents)
+        ids = coded.flatten().to_pylist()
+        text = "".join(vocabulary.text[i].decode() for i in ids)
+        assert text == f" {word}" * n
+        out, part = Counter(), []
+        for i in ids:
+            if vocabulary.text[i].startswith(b" ") and part:
+                out[tuple(part)] += 1
+                part = []
+            part.append(i)
+        out[tuple(part)] += 1
+        seen[len(texts)] = out
+        assert len(out) > 30
+    plain = tuple(next(pieces.Encoder(vocabulary, 0, 1).encode([word], [5])).to_pylist()[0])
+    assert abs(seen[1][plain] - seen[n][plain]) < 0.05 * n
+    # A word of one merge stays whole but for its own draw.
+    (coded,) = pieces.Encoder(vocabulary, rate, 1).encode([" ".join(["a"] * n)], [5])
+    assert abs(len(coded.flatten()) - n - rate * n) < 5 * math.sqrt(n * rate * (1 - rate))
+
+
 # ---------------------------------------------------------------- 2
 
 

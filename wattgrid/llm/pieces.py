@@ -1,10 +1,10 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 A merge-type (BPE) model joins neighbouring symbols, best score first. With dropout, a candidate
-merge is skipped if a hash keyed by seed, variant, unit, place and piece falls below the rate, so the same text
-has many segmentations, each repeatable and each decoding to the text again. A unit is a run of
+merge is skipped if a hash keyed by seed, document, occurrence, unit, place and piece falls below the rate, so
+the same text has many segmentations, each repeatable and each decoding to the text again. A unit is a run of
 spaces with what follows up to the next space; no piece reaches over its edge. Each occurrence of a
-unit draws one of ``variants`` keys by document and place, so equal draws are segmented once.
+unit makes its own draws and is segmented on its own.
 """
 
 from __future__ import annotations
@@ -252,11 +252,10 @@ def segment(v: Vocabulary, codes: np.ndarray, heads: np.ndarray, lengths: np.nda
 
 
 class Encoder:
-    """Encodes texts some at a time; equal draws of a unit are segmented once."""
+    """Encodes texts some at a time. Each occurrence of a unit has its own draws, or one of ``variants`` if that is a number; at rate 0 units are segmented once."""
 
-    def __init__(self, v: Vocabulary, rate: float, seed: int, variants: int) -> None:
-        self.v, self.rate, self.seed = v, rate, seed
-        self.variants = variants if rate > 0 else 1
+    def __init__(self, v: Vocabulary, rate: float, seed: int, variants: int | None = None) -> None:
+        self.v, self.rate, self.seed, self.variants = v, rate, seed, variants
 
     def encode(self, texts: Iterable[str], documents: Iterable[int]) -> Iterator[pa.ListArray]:
         """Ids of the texts in order, some texts at a time; an empty text has none."""
@@ -290,8 +289,10 @@ class Encoder:
         number = np.diff(ends)
         within = np.arange(len(starts), dtype=np.uint64) - np.repeat(ends[:-1], number).astype(np.uint64)
         base = documents ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 & MASK)
-        ways = mixed(np.repeat(base, number) + within * np.uint64(0xD1B54A32D192ED03)) % np.uint64(self.variants)
-        wanted, which = np.unique(coded.indices.to_numpy().astype(np.int64) * self.variants + ways.astype(np.int64), return_inverse=True)
+        ways = mixed(np.repeat(base, number) + within * np.uint64(0xD1B54A32D192ED03))
+        if self.variants is not None:
+            ways %= np.uint64(self.variants)
+        which = coded.indices.to_numpy().astype(np.int64)
 
         _, offsets, letters = coded.dictionary.buffers()
         offsets = np.frombuffer(offsets, np.int32)[:len(coded.dictionary) + 1].astype(np.int64)
@@ -299,8 +300,9 @@ class Encoder:
         codes = code_points(letters.decode("utf-8"))
         before = np.r_[0, np.cumsum((np.frombuffer(letters, np.uint8) & 0xC0) != 0x80)]
         heads, lengths = before[offsets[:-1]], np.diff(before[offsets])
-        unit = wanted // self.variants
-        keys = drawn_keys(unit_keys(codes, heads, lengths, self.seed)[unit], wanted % self.variants)
+        keys, unit = unit_keys(codes, heads, lengths, self.seed), np.arange(len(heads))
+        if self.rate > 0:
+            keys, unit, which = drawn_keys(keys[which], ways), which, np.arange(len(which))
         values, counts = segment(self.v, codes, heads[unit], lengths[unit], keys, self.rate)
 
         each = counts[which]
@@ -325,7 +327,7 @@ def decoded(v: Vocabulary, ids: pa.ListArray) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int = 1, variants: int = 4, text: str = "text", doc_id: str = "doc_id", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int = 1, variants: int | None = None, text: str = "text", doc_id: str = "doc_id", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text in ``out``; other columns are kept, a former ``out`` is replaced.
 
     Null and empty texts have no ids. Rows alike in id and text get the same ids, in any run and
