@@ -227,6 +227,31 @@ def test_page_text(spark):
     assert html_text.extract_text(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("tag", ["head", "select", "button", "svg", "noscript", "template", "iframe", "object", "map", "video", "audio", "canvas", "math"])
+def test_open_elements_hide_no_article(tag):
+    article = "<article><p>one text of some words</p><p>more of the text</p></article>"
+    for page in (f"<html><{tag}>{article}", f"<html><{tag}><title>T</title><body>{article}</html>", f"<html>{article}<{tag}>"):
+        assert html_text.main_text(page) == "one text of some words\n\nmore of the text"
+
+
+def test_left_out_and_kept_elements():
+    inside = lambda x: html_text.main_text(f"<article><p>one text {x} of some words</p></article>")
+    for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button"):
+        assert inside(f"<{tag}>gone</{tag}>") == "one text of some words"
+    assert inside("<template>a<template>b</template>c</template>") == "one text of some words"
+    assert inside("<select><option>a<option>b</select>") == "one text of some words"
+    for tag in ("math", "object", "canvas", "video", "audio", "map"):
+        assert inside(f"<{tag}>kept</{tag}>") == "one text kept of some words"
+
+
+def test_hinted_wrapper_holds_the_text():
+    body = "<h1>A title</h1>" + "<p>A paragraph of the main text with quite a few words in it.</p>" * 6
+    for page in (f'<div class="page header-small">{body}</div>', f'<div id="share"><article>{body}</article></div>', f'<section class="comments-open">{body}</section><nav><a>x</a></nav>'):
+        assert html_text.main_text(page).count("paragraph") == 6
+    beside = html_text.main_text(f'<div class="menu"><a>a b c</a></div><article>{body}</article><div class="comments"><p>some remark of a reader here</p></div>')
+    assert beside.count("paragraph") == 6 and "remark" not in beside and "a b c" not in beside
+
+
 def test_tree_fits_its_table():
     rows, marks = html_text.labelled_table()
     assert ((html_text.shares(html_text.block_tree(), rows) >= 0.5) == marks).all()

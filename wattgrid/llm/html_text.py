@@ -2,7 +2,7 @@
 
 A page is cut into flat text blocks at every block-level tag. A block is described by its words and
 the share of them inside links, by the same of the blocks before and after it, and by what it
-stands in. A small tree, grown here from a labelled table of blocks, tells text from furniture.
+stands in; a class that names furniture is one such sign among others, not a verdict. A small tree, grown here from a labelled table of blocks, tells text from furniture.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from wattgrid.llm.common import text_batches, text_of, without
 
 # Element names by what they mean for text.
-DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button", "audio", "video", "map")
+DROPPED = ("script", "style", "textarea", "title")
+# Left out if closed. The second kind holds no flow content, so it ends where that begins.
+MUTED = frozenset("noscript template iframe".split())
+ENDED = frozenset("head svg select button".split())
 FURNITURE = frozenset("nav aside footer header form menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption summary legend option hr pre address".split())
@@ -39,24 +42,54 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'(
 CLOAKED = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-Block = tuple[str, int, int, bool, bool, bool]
+Block = tuple[str, int, int, bool, bool, bool, bool]
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names furniture, and whether the element is hidden."""
     if not attributes or attributes.isspace():
-        return False
+        return False, False
     named = " ".join(CAMEL.sub("-", a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
-    return bool(HINTS.search(named)) or bool(CLOAKED.search(attributes))
+    return bool(HINTS.search(named)), bool(CLOAKED.search(attributes))
+
+
+def muted(tags: list[re.Match[str]]) -> dict[int, int]:
+    """First and last tag of each outermost element that is left out."""
+    found: dict[int, int] = {}
+    open_: list[tuple[int, str]] = []
+    for k, m in enumerate(tags):
+        name = (m[3] or "").lower()
+        if name in MUTED or name in ENDED:
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    open_.append((k, name))
+            elif any(n == name for _, n in open_):
+                while open_:
+                    first, n = open_.pop()
+                    if n == name:
+                        break
+                found[first] = k
+        elif open_ and (name in LEAVES or name in HOLDERS) and not m[2] and name not in ("legend", "option"):
+            while open_ and open_[-1][1] in ENDED:
+                first, n = open_.pop()
+                if n == "head":
+                    found[first] = k - 1
+    out: dict[int, int] = {}
+    end = -1
+    for first in sorted(found):
+        if first > end:
+            end = out[first] = found[first]
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
-    """(text, words, words in links, in furniture, in an article, a heading) of each block with text."""
+    """(text, words, words in links, in furniture, in an article, a heading, hinted at as furniture) of each block with text."""
     out: list[Block] = []
-    held: list[tuple[str, bool]] = []
+    held: list[tuple[str, bool, bool]] = []
     linked: list[tuple[str, bool]] = []
     in_link = False
-    leaf, leaf_bad = "", False
-    bad_depth = article_depth = 0
+    leaf, leaf_bad, leaf_hint = "", False, False
+    bad_depth = hint_depth = article_depth = 0
 
     def flush() -> None:
         nonlocal linked
@@ -65,16 +98,20 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 inside = sum(len(html.unescape(t).split()) for t, a in linked if a)
-                out.append((text, words, min(inside, words), bad_depth > 0 or leaf_bad, article_depth > 0, leaf in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                out.append((text, words, min(inside, words), bad_depth > 0 or leaf_bad, article_depth > 0, leaf in ("h1", "h2", "h3", "h4", "h5", "h6"), hint_depth > 0 or leaf_hint))
             linked = []
 
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
+    tags = list(TAG.finditer(page))
+    silent = muted(tags)
+    until = -1
+    for k, m in enumerate(tags):
+        if m.start() > at and k > until:
             linked.append((page[at:m.start()], in_link))
         at = m.end()
+        until = silent.get(k, until)
         name = m[3]
-        if not name:
+        if not name or k <= until:
             continue
         name = name.lower()
         closing = m[2] == "/"
@@ -85,20 +122,23 @@ def blocks_of(page: str) -> list[Block]:
         elif name in LEAVES:
             flush()
             in_link = False
-            leaf, leaf_bad = ("", False) if closing else (name, _hinted(m[4]))
+            leaf, (leaf_hint, leaf_bad) = ("", (False, False)) if closing else (name, _hinted(m[4]))
         elif name in HOLDERS:
             flush()
             in_link = False
-            leaf, leaf_bad = "", False
+            leaf, leaf_bad, leaf_hint = "", False, False
             if not closing:
-                bad = name in FURNITURE or _hinted(m[4]) and name not in ("body", "html", "main")
-                held.append((name, bad))
+                hint, cloaked = (False, False) if name in ("body", "html", "main") else _hinted(m[4])
+                bad = name in FURNITURE or cloaked
+                held.append((name, bad, hint))
                 bad_depth += bad
+                hint_depth += hint
                 article_depth += name in ARTICLE
             elif any(h[0] == name for h in held):
                 while held:
-                    gone, bad = held.pop()
+                    gone, bad, hint = held.pop()
                     bad_depth -= bad
+                    hint_depth -= hint
                     article_depth -= gone in ARTICLE
                     if gone == name:
                         break
@@ -108,7 +148,7 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("furniture", "in_article", "heading", "page_has_article", "words", "links", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("furniture", "in_article", "heading", "page_has_article", "words", "links", "words_before", "links_before", "words_after", "links_after", "hinted", "page_hinted")
 
 
 def described(blocks: list[Block]) -> np.ndarray:
@@ -116,13 +156,17 @@ def described(blocks: list[Block]) -> np.ndarray:
     words = np.array([b[1] for b in blocks], float)
     links = np.array([b[2] for b in blocks], float) / np.maximum(words, 1)
     flags = np.array([b[3:6] for b in blocks], float).reshape(len(blocks), 3)
+    hinted = np.array([b[6] for b in blocks], float)
+    counted = words * (1 - flags[:, 0])
+    share = np.full(len(blocks), (counted * hinted).sum() / max(counted.sum(), 1))  # of the words outside furniture
     has = np.full(len(blocks), float(flags[:, 1].any()))
     edge = lambda x: (np.concatenate([[0.0], x[:-1]]), np.concatenate([x[1:], [0.0]]))
     (wb, wa), (lb, la) = edge(words), edge(links)
-    return np.column_stack([flags, has, words, links, wb, lb, wa, la])
+    return np.column_stack([flags, has, words, links, wb, lb, wa, la, hinted, share])
 
 
-# The labelled table: pages as blocks ``words/linked words`` with F in furniture, A in an article, H heading, and + for main text.
+# The labelled table: pages as blocks ``words/linked words`` with F in furniture, A in an article, C hinted at as furniture by
+# a class, id or role (of a box beside the text, or of a wrapper around it), H heading, and + for main text.
 LABELLED = """
 F6/6 F12/0 AH8/0+ A40/0+ A3/0+ A120/2+ A1/0+ A60/0+ F9/0
 F5/5 F5/5 AH1/0+ A2/0+ A30/0+ F20/3 F9/0
@@ -157,6 +201,23 @@ F5/5 2/0 AH6/0+ A40/0+ A3/0+ 4/0 12/0
 3/3 2/2 2/0 3/3 H6/0+ 70/0+ 90/2+ 4/0+ 40/0+ 2/2 3/0 2/2
 1/1 4/0 2/2 3/3 80/1+ 3/0+ 120/0+ 4/4 5/0 3/3 2/2
 2/2 1/0 5/5 H3/0+ 30/0+ 45/2+ 3/3 4/0 3/3
+C6/6 C12/0 AH8/0+ A40/0+ A3/0+ A120/2+ A1/0+ A60/0+ C9/0
+C5/5 C5/5 AH1/0+ A2/0+ A30/0+ C20/3 C9/0
+C1/1 C1/1 C30/0 AH6/0+ A80/5+ AC15/0 A70/0+ AC40/2 C14/1
+AH4/0+ A1/0+ A200/0+ A5/5+ A90/1+ C60/0 C80/0 C130/0 C160/0 C90/0
+C8/8 H7/0+ 80/1+ 60/0+ 4/0+ 90/2+ C8/8 C70/0
+C3/3 H4/0+ 18/0+ 90/0+ H3/0+ 70/1+ 40/0+ C5/0 C100/0 C80/0
+H6/0+ 500/2+ 900/0+ 3/0+ 1200/0+ C700/0 C900/0 C400/0
+AC30/0 A30/0+ AC2/0 A2/0+ A50/0+
+C5/0 C9/9 H8/0+ 40/0+ 30/0+
+H4/0+ 12/0+ 13/0+ F5/5
+F6/6 ACH8/0+ AC40/0+ AC3/0+ AC120/2+ AC1/0+ AC60/0+ F9/0
+ACH1/0+ AC2/0+ AC30/0+ F20/3
+ACH6/0+ AC80/5+ AF15/0 AC70/0+ AF40/2
+CH7/0+ C80/1+ C60/0+ C4/0+ C90/2+ F8/8
+C12/0+ C15/0+ C9/0+ C30/0+
+C1/0+ C4/0+
+AC1/0+ AC5/0+
 """
 #: A split leaves at least so many rows on either side.
 LEAST_ROWS = 3
@@ -165,9 +226,9 @@ LEAST_ROWS = 3
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     rows, marks = [], []
     for line in LABELLED.strip().splitlines():
-        found = [re.fullmatch(r"(A?)(F?)(H?)(\d+)/(\d+)(\+?)", x) for x in line.split()]
-        rows.append(described([("", int(m[4]), int(m[5]), bool(m[2]), bool(m[1]), bool(m[3])) for m in found]))
-        marks += [bool(m[6]) for m in found]
+        found = [re.fullmatch(r"(A?)(F?)(C?)(H?)(\d+)/(\d+)(\+?)", x) for x in line.split()]
+        rows.append(described([("", int(m[5]), int(m[6]), bool(m[2]), bool(m[1]), bool(m[4]), bool(m[3])) for m in found]))
+        marks += [bool(m[7]) for m in found]
     return np.vstack(rows), np.array(marks)
 
 
@@ -221,7 +282,9 @@ def extract_text(pages: DataFrame, page: str = "html", out: str = "text") -> Dat
     """``pages`` with the main text in ``out``; other columns are kept, a former ``out`` is replaced.
 
     Every page is read whole, on its own; no shuffle. Broken and unclosed markup is read as far as
-    it goes: an unclosed script, style or comment hides the rest of the page.
+    it goes: an unclosed script, style, textarea, title or comment hides the rest of the page, no other element does.
+    A head ends where flow content begins. Closed noscript, template, iframe, svg, select and button
+    elements are left out; math and what object, canvas, audio, video and map hold is text like any other.
     """
     text_batches(pages)
     tree = block_tree()
