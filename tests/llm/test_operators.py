@@ -1,5 +1,6 @@
 """Each training-data operator against a plain version of it, and on awkward tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -304,6 +305,17 @@ def test_language_held_out(spark, odd, none):
     assert langid.identified(none).collect() == [] and langid.fit(none).languages == []
 
 
+def test_junk_and_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text != '' and lang is not null")
+    model = langid.fit(docs)
+    clean = [r["text"] for r in docs.where(langid.remainder(F.col("doc_id")) == 0).collect() if langid.has_letter(r["text"])]
+    encoded = [base64.b64encode(x.encode()).decode() for x in clean]
+    rows = spark.createDataFrame([(0, x) for x in clean] + [(1, x) for x in encoded] + [(2, "это предложение на русском языке о погоде и зиме")]
+                                 + [(3, langid.shuffled(x)) for x in clean], "kind int, text string")
+    lost = {r["kind"]: r["share"] for r in langid.predict(rows, model).groupBy("kind").agg(F.avg(F.col("lang_rejected").cast("int")).alias("share")).collect()}
+    assert lost[0] <= 0.005 and lost[1] > 0.99 and lost[2] == 1 and lost[3] > 0.3
+
+
 def test_subwords_in_pieces(monkeypatch):
     whole = langid.subword_counts("Höhe und Tiefe, the long and winding road")
     monkeypatch.setattr(langid, "PIECE", 7)

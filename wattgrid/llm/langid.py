@@ -4,7 +4,9 @@ Subwords are byte n-grams of the lower-cased text that do not cross a word; each
 of ``BUCKETS`` embeddings, a text is the average of its subwords' embeddings, and a softmax over it
 gives the language. Numpy trains both layers by stochastic gradient descent on counts that Spark
 gathers from a bounded, hash-drawn sample of labelled rows. A part of the sample that is not trained
-on sets the temperature of the scores and the score below which a text is rejected.
+on sets the temperature of the scores and the score below which a text is rejected. The softmax is sure of
+junk as well, so a text is also rejected if its subwords are too unlike those of all learned rows together;
+that bound is set between the part not trained on and the same texts with their letters shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PIECE = 1 << 20
 #: Rejection: accuracy asked of what is kept, and the share of right answers that may be lost.
 ASKED_ACCURACY = 0.99
 LOST_SHARE = 0.001
+#: Rejection: the share of shuffled texts that should fall. A larger one loses clean texts: at 0.99, one of 200.
+CAUGHT_SHARE = 0.5
 
 
 def subword_counts(text: str) -> np.ndarray:
@@ -61,12 +65,32 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    known: np.ndarray | None = None  # log share of each bucket in the rows learned from
+    least_known: float = -np.inf
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         logits = (counts @ self.table / max(counts.sum(), 1) + self.bias) / self.temperature
         p = np.exp(logits - logits.max())
         return p / p.sum()
 
+    def likeness(self, counts: np.ndarray) -> float:
+        """Mean log share of the text's subwords among those learned from; 0 for a text without any."""
+        return float(counts @ self.known / max(counts.sum(), 1)) if self.known is not None else 0.0
+
+
+def shares_of(counts: np.ndarray) -> np.ndarray:
+    """Log share of each bucket, every row counting the same; buckets never seen get a little."""
+    seen = np.full(BUCKETS, 1e-3)
+    for row in counts:
+        seen += row / max(row.sum(), 1)
+    return np.log(seen / seen.sum())
+
+
+def shuffled(text: str) -> str:
+    """The text with its characters in another order, the same one each time."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
+
 
 def train(counts: np.ndarray, marks: np.ndarray, languages: list[str], seed: int = 1) -> Model:
     """Embeddings and softmax by stochastic gradient descent with a falling rate; ``counts`` is rows x BUCKETS."""
@@ -99,11 +123,12 @@ def train(counts: np.ndarray, marks: np.ndarray, languages: list[str], seed: int
     return Model(languages, (embed @ weight).astype(np.float64), bias.astype(np.float64))
 
 
-def calibrate(model: Model, counts: np.ndarray, marks: np.ndarray) -> Model:
-    """Set the temperature (least log loss) and the threshold.
+def calibrate(model: Model, counts: np.ndarray, marks: np.ndarray, junk: np.ndarray | None = None) -> Model:
+    """Set the temperature (least log loss), the threshold and, with rows of ``junk``, the least likeness.
 
     The threshold is the lowest score above which the asked accuracy holds, but never so high that
-    more than ``LOST_SHARE`` of the right answers fall below it.
+    more than ``LOST_SHARE`` of the right answers fall below it. The least likeness is that which
+    ``CAUGHT_SHARE`` of the junk does not reach, under the same bound.
     """
     if not len(marks):
         return model
@@ -119,6 +144,10 @@ def calibrate(model: Model, counts: np.ndarray, marks: np.ndarray) -> Model:
     risky = float(best[order[good[-1]]]) if len(good) and good[-1] < len(order) - 1 else 0.0 if len(good) else 1.0
     spared = float(np.quantile(best[right], LOST_SHARE)) if right.any() else 0.0
     model.threshold = min(risky, spared)
+    if junk is not None and len(junk) and right.any():
+        clean = np.array([model.likeness(c) for c in counts[right]])
+        bad = np.array([model.likeness(c) for c in junk])
+        model.least_known = min(float(np.quantile(bad, CAUGHT_SHARE)), float(np.quantile(clean, LOST_SHARE, method="lower")))
     return model
 
 
@@ -143,38 +172,50 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     space = 1 << 30
     rate = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int(min(1.0, share / r["count"]) * space)))])
 
+    def pack(text: str) -> bytes:
+        c = subword_counts(text)
+        at = np.flatnonzero(c)
+        return at.astype(np.uint16).tobytes() + np.minimum(c[at], 65535).astype(np.uint16).tobytes()
+
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            c = subword_counts(t.as_py())
-            at = np.flatnonzero(c)
-            out.append(at.astype(np.uint16).tobytes() + np.minimum(c[at], 65535).astype(np.uint16).tobytes())
-        return pa.array(out, pa.binary())
+        return pa.array([pack(t.as_py()) for t in texts], pa.binary())
+
+    @F.arrow_udf("binary")
+    def packed_shuffled(texts: pa.Array) -> pa.Array:
+        return pa.array([pack(shuffled(t.as_py())) if t.is_valid and has_letter(t.as_py()) else None for t in texts], pa.binary())
 
     place = F.pmod(F.xxhash64("id", "text"), F.lit(space))
     drawn = usable.withColumn("place", place).where(F.col("place") < F.element_at(rate, F.col("lang")))
     # Rows alike share a place, so the draw alone is no bound; the limit is.
-    rows = drawn.select("lang", "part", "place", "id", packed("text").alias("counts")).orderBy("place", "id").limit(2 * SAMPLE_ROWS).collect()
+    junk = F.when(F.col("part") == 4, F.col("text"))
+    rows = drawn.select("lang", "part", "place", "id", packed("text").alias("counts"), packed_shuffled(junk).alias("junk")).orderBy("place", "id").limit(2 * SAMPLE_ROWS).collect()
     rows = [r for r in rows if len(r["counts"])]
     languages = sorted({r["lang"] for r in rows})
-    counts = np.zeros((len(rows), BUCKETS), np.uint16)
-    for k, r in enumerate(rows):
-        at, n = np.frombuffer(r["counts"], np.uint16).reshape(2, -1)
-        counts[k, at] = n
+
+    def unpacked(values: list[bytes]) -> np.ndarray:
+        counts = np.zeros((len(values), BUCKETS), np.uint16)
+        for k, value in enumerate(values):
+            at, n = np.frombuffer(value, np.uint16).reshape(2, -1)
+            counts[k, at] = n
+        return counts
+
+    counts = unpacked([r["counts"] for r in rows])
     marks = np.array([languages.index(r["lang"]) for r in rows], int)
     held = np.array([r["part"] == 4 for r in rows], bool)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     taught = ~held if (~held).any() else held
-    return calibrate(train(counts[taught], marks[taught], languages), counts[held], marks[held])
+    model = train(counts[taught], marks[taught], languages)
+    model.known = shares_of(counts[taught])
+    return calibrate(model, counts[held], marks[held], unpacked([r["junk"] for r in rows if r["junk"]]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_rejected")) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and lang_rejected (``names``); other columns are kept.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Else lang_pred is
-    the likeliest language learned, rejected if its score is below the calibrated threshold. A
+    the likeliest language learned, rejected if its score or its likeness to what was learned is below its calibrated bound. A
     model without languages says ``und`` and rejects only texts without letters.
     """
     text_batches(docs)
@@ -191,9 +232,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             elif not model.languages:
                 out.append(("und", 0.0, False))
             else:
-                p = model.scores(subword_counts(t))
+                counts = subword_counts(t)
+                p = model.scores(counts)
                 k = int(p.argmax())
-                out.append((model.languages[k], float(min(1.0, p[k])), bool(p[k] < model.threshold)))
+                out.append((model.languages[k], float(min(1.0, p[k])), bool(p[k] < model.threshold or model.likeness(counts) < model.least_known)))
         names, scores, rejected = zip(*out) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
