@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattgrid.llm import chat, exact_dedup, html_text, langid, mixing, ngram_join, pieces, quality_rules, secret_scan, url_rules
+from wattgrid.llm import (
+    alignment,
+    chat,
+    conversation_repair,
+    exact_dedup,
+    html_text,
+    langid,
+    mixing,
+    ngram_join,
+    pieces,
+    quality_rules,
+    secret_scan,
+    url_rules,
+    vector_search,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -205,3 +219,76 @@ select doc_id, len(s) as n_shingles, component_id from sets join least_of on x =
 @query("op8_ngram_join", NGRAM_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+REPAIR_SQL = r"""
+with recursive crc as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+      lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, k: xor(y >> 1, 3988292384::bigint * (y & 1)))), 4294967295::bigint) % 20 as kind
+  from conversations),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from crc where kind <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged),
+faulty as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+    left(role, 1) as c, lag(left(role, 1)) over (partition by conv_id order by i) as p
+  from placed),
+counts as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (p is not null and p || c not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id),
+walk(conv_id, i, s0, s1, s2, s3) as (
+  select conv_id, 0::bigint, {'c': 0::bigint, 'a': '', 't': ''}, {'c': 1000000000000::bigint, 'a': '', 't': ''}, {'c': 1000000000000::bigint, 'a': '', 't': ''}, {'c': 1000000000000::bigint, 'a': '', 't': ''}
+  from (select distinct conv_id from conversations)
+  union all
+  select conv_id, i, d0,
+    list_min([d1] || case when not gone and c = 's' then [{'c': s0.c + cut, 'a': s0.a || 'K', 't': s0.t || said}] else [] end),
+    list_min([d2] || case when gone then [] else list_transform([s0, q1, q3], lambda s: {'c': s.c + cut + 1, 'a': s.a || 'R', 't': s.t || 'user:' || text || chr(10)}) end
+                  || case when not gone and c = 'u' then list_transform([s0, q1, q3], lambda s: {'c': s.c + cut, 'a': s.a || 'K', 't': s.t || said}) else [] end),
+    list_min([d3] || case when gone then [] else [{'c': q2.c + cut + 1, 'a': q2.a || 'R', 't': q2.t || 'assistant:' || text || chr(10)}] end
+                  || case when not gone and c = 'a' then [{'c': q2.c + cut, 'a': q2.a || 'K', 't': q2.t || said}] else [] end)
+  from (
+    select *, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t} as d0, {'c': q1.c + 2, 'a': q1.a || 'D', 't': q1.t} as d1, {'c': q2.c + 2, 'a': q2.a || 'D', 't': q2.t} as d2,
+      {'c': q3.c + 2, 'a': q3.a || 'D', 't': q3.t} as d3
+    from (
+      select *, s1 as q1, list_min([s2] || list_transform([s0, s1, s3], lambda s: {'c': s.c + 5, 'a': s.a || 'I', 't': s.t || 'user:' || chr(10)})) as q2,
+        list_min([s3] || list_transform([s2], lambda s: {'c': s.c + 5, 'a': s.a || 'I', 't': s.t || 'assistant:' || chr(10)})
+                      || list_transform([s0, s1], lambda s: {'c': s.c + 10, 'a': s.a || 'II', 't': s.t || 'user:' || chr(10) || 'assistant:' || chr(10)})) as q3
+      from (
+        select w.conv_id, w.i + 1 as i, s0, s1, s2, s3, f.text, f.c, fault in ('blank', 'duplicate') as gone, case when fault = 'truncated' then 5 else 0 end as cut,
+          f.role || ':' || f.text || chr(10) as said
+        from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1)))),
+ended as (
+  select w.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    list_min([s0, s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || 'assistant:' || chr(10)}, {'c': s1.c + 10, 'a': s1.a || 'II', 't': s1.t || 'user:' || chr(10) || 'assistant:' || chr(10)}]) as e
+  from walk w left join counts k on k.conv_id is not distinct from w.conv_id where w.i = coalesce(k.n, 0))
+select conv_id, gaps, blank, duplicate, truncated, illegal, e.c as cost, e.a as audit, sha256(left(e.t, greatest(length(e.t) - 1, 0))) as repaired_sha256 from ended"""
+
+
+@query("op11_structure_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damaged(turns), turns)
+
+
+@query("op12_exact_search", r"""
+with v as (
+  select vec_id, row_number() over () as place, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+met as (select q.place, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.place <> c.place),
+best as (select *, row_number() over (partition by place order by score desc, vec_id nulls last) as rank from met)
+select query_id, rank::integer as rank, vec_id, score from best where rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = alignment.ByteLevel(), alignment.Pieces()
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return alignment.weigh_links(found.withColumn("groups_sha256", digest).drop("groups"), len(b.bytes))
