@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +65,9 @@ class ByteLevel:
             self._quick = tiktoken.Encoding("bytes", pat_str=CUT, mergeable_ranks=self.ranks, special_tokens={})
         return [self._quick.encode_ordinary(t) if len(t) <= LONG else self._slowly(t) for t in texts]
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
     def _slowly(self, text: str) -> list[int]:
         if self._patient is None:
             from tokenizers import Tokenizer
@@ -98,15 +100,19 @@ class Pieces:
             self._model = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
         return self._model.encode(texts, num_threads=1)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
+def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """Index after the last token, of either list, at each byte where tokens of both end."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    return [(at_a[e], at_b[e]) for e in sorted(at_a.keys() & at_b.keys())]
+    common = sorted(at_a.keys() & at_b.keys())
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
-def slice_links(ends_a: list[int], ends_b: list[int], i: int, j: int, i2: int, j2: int) -> Iterator[tuple[int, int]]:
-    """Places of the tokens of one slice whose bytes overlap; inside a slice no two tokens end together."""
+def slice_links(ends_a: list[int], ends_b: list[int], i: int, j: int) -> Iterator[tuple[int, int]]:
+    """Places of the tokens whose bytes overlap, in the slice from ``i`` and ``j`` on; it ends where two tokens end together."""
     while True:
         yield i, j
         a, b = ends_a[i], ends_b[j]
@@ -121,7 +127,7 @@ def slice_links(ends_a: list[int], ends_b: list[int], i: int, j: int, i2: int, j
 class Aligner:
     def __init__(self, a: ByteLevel, b: Pieces) -> None:
         self.a, self.b = a, b
-        self.sizes = [len(x) for x in a.bytes], [len(x) for x in b.bytes]
+        self.sizes = [np.array([len(x) for x in v.bytes]) for v in (a, b)]
         self.names = [str(k) for k in range(max(len(a.bytes), len(b.bytes)))]
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
@@ -132,23 +138,21 @@ class Aligner:
 
     def _one(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         plain = text.encode("utf-8", "surrogatepass")
-        if not plain or b"".join(map(self.a.bytes.__getitem__, a)) != plain or b"".join(map(self.b.bytes.__getitem__, b)) != plain:
+        if not plain or self.a.joined(a) != plain or self.b.joined(b) != plain:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends_a, ends_b = (list(accumulate(map(size.__getitem__, ids))) for size, ids in zip(self.sizes, (a, b)))
-        names, width = self.names, len(self.b.bytes)
-        pairs: list[int] = []
-        written: list[str] = []
-        i = j = 0
-        for i2, j2 in common_ends(ends_a, ends_b):
-            if i2 - i == 1 and j2 - j == 1:
-                written.append(names[a[i]] + "|" + names[b[j]])
-                pairs.append(a[i] * width + b[j])
-            else:
-                written.append(",".join([names[x] for x in a[i:i2]]) + "|" + ",".join([names[x] for x in b[j:j2]]))
-                pairs += [a[x] * width + b[y] for x, y in slice_links(ends_a, ends_b, i, j, i2, j2)]
-            i, j = i2, j2
-        distinct, times = np.unique(np.array(pairs, np.int64), return_counts=True)
-        return len(a), len(b), len(written), len(pairs), ";".join(written), distinct, times
+        ids_a, ids_b = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
+        ends_a, ends_b = (np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (ids_a, ids_b)))
+        upto_a, upto_b = common_ends(ends_a, ends_b)
+        from_a, from_b = [0, *upto_a[:-1]], [0, *upto_b[:-1]]
+        said_a, said_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
+        written = [said_a[i] + "|" + said_b[j] if k - i == 1 == m - j else ",".join(said_a[i:k]) + "|" + ",".join(said_b[j:m])
+                   for i, j, k, m in zip(from_a, from_b, upto_a, upto_b)]
+        cuts = np.stack([np.fromiter(x, np.int64, len(x)) for x in (from_a, from_b, upto_a, upto_b)])
+        single = (cuts[2] - cuts[0] == 1) & (cuts[3] - cuts[1] == 1)
+        places = [x for i, j, _, _ in cuts[:, ~single].T.tolist() for x in slice_links(ends_a, ends_b, i, j)]
+        at = np.concatenate([cuts[:2, single], np.array(places, np.int64).reshape(-1, 2).T], axis=1)
+        distinct, times = np.unique(ids_a[at[0]] * len(self.b.bytes) + ids_b[at[1]], return_counts=True)
+        return len(a), len(b), len(written), at.shape[1], ";".join(written), distinct, times
 
 
 FOUND = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups:string,pairs:array<bigint>,times:array<int>>"
