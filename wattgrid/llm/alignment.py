@@ -29,6 +29,8 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 #: Texts worked on at once, and rows of a block.
 PART = 128
 BLOCK_BITS = 12
+#: Groups of one token each that a task keeps written out.
+MOST_SAID = 500_000
 #: Longer texts go through the other library, whose matching needs no stack for long runs.
 LONG = 200_000
 
@@ -66,7 +68,7 @@ class ByteLevel:
         return [self._quick.encode_ordinary(t) if len(t) <= LONG else self._slowly(t) for t in texts]
 
     def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return self._quick.decode_bytes(ids)
 
     def _slowly(self, text: str) -> list[int]:
         if self._patient is None:
@@ -124,11 +126,29 @@ def slice_links(ends_a: list[int], ends_b: list[int], i: int, j: int) -> Iterato
             return
 
 
+class Said(dict):
+    """Groups of one token each, written out, by their pair; begun anew when there are many."""
+
+    def __init__(self, width: int) -> None:
+        super().__init__({-1: ""})
+        self.width = width
+
+    def __missing__(self, pair: int) -> str:
+        if len(self) > MOST_SAID:
+            self.__init__(self.width)
+        self[pair] = said = f"{pair // self.width}|{pair % self.width}"
+        return said
+
+
 class Aligner:
     def __init__(self, a: ByteLevel, b: Pieces) -> None:
         self.a, self.b = a, b
         self.sizes = [np.array([len(x) for x in v.bytes]) for v in (a, b)]
         self.names = [str(k) for k in range(max(len(a.bytes), len(b.bytes)))]
+        self.said = Said(len(b.bytes))
+
+    def __reduce__(self):
+        return Aligner, (self.a, self.b)
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """Of each text: tokens of either, groups, links, the groups written out, distinct pairs and how often each is linked."""
@@ -142,17 +162,19 @@ class Aligner:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         ids_a, ids_b = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
         ends_a, ends_b = (np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (ids_a, ids_b)))
-        upto_a, upto_b = common_ends(ends_a, ends_b)
-        from_a, from_b = [0, *upto_a[:-1]], [0, *upto_b[:-1]]
-        said_a, said_b = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
-        written = [said_a[i] + "|" + said_b[j] if k - i == 1 == m - j else ",".join(said_a[i:k]) + "|" + ",".join(said_b[j:m])
-                   for i, j, k, m in zip(from_a, from_b, upto_a, upto_b)]
-        cuts = np.stack([np.fromiter(x, np.int64, len(x)) for x in (from_a, from_b, upto_a, upto_b)])
-        single = (cuts[2] - cuts[0] == 1) & (cuts[3] - cuts[1] == 1)
-        places = [x for i, j, _, _ in cuts[:, ~single].T.tolist() for x in slice_links(ends_a, ends_b, i, j)]
-        at = np.concatenate([cuts[:2, single], np.array(places, np.int64).reshape(-1, 2).T], axis=1)
-        distinct, times = np.unique(ids_a[at[0]] * len(self.b.bytes) + ids_b[at[1]], return_counts=True)
-        return len(a), len(b), len(written), at.shape[1], ";".join(written), distinct, times
+        upto = np.stack([np.fromiter(x, np.int64, len(x)) for x in common_ends(ends_a, ends_b)])
+        begin = np.concatenate([np.zeros((2, 1), np.int64), upto[:, :-1]], axis=1)
+        single = (upto - begin == 1).all(0)
+        links = np.where(single, ids_a[begin[0]] * len(self.b.bytes) + ids_b[begin[1]], -1)
+        written = list(map(self.said.__getitem__, links.tolist()))
+        names, places = self.names, []
+        others = np.flatnonzero(~single)
+        for g, i, j, k, m in zip(others.tolist(), *begin[:, others].tolist(), *upto[:, others].tolist()):
+            written[g] = ",".join([names[x] for x in a[i:k]]) + "|" + ",".join([names[x] for x in b[j:m]])
+            places += slice_links(ends_a, ends_b, i, j)
+        at = np.array(places, np.int64).reshape(-1, 2)
+        distinct, times = np.unique(np.r_[links[single], ids_a[at[:, 0]] * len(self.b.bytes) + ids_b[at[:, 1]]], return_counts=True)
+        return len(a), len(b), len(written), int(times.sum()), ";".join(written), distinct, times
 
 
 FOUND = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups:string,pairs:array<bigint>,times:array<int>>"
