@@ -3,11 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wattgrid.operators.alerts import evaluate_rules, rule_table, sustained
-from wattgrid.operators.series import increments
+from wattgrid.operators.series import rate
+from wattgrid.streaming import event_order as E
 from wattgrid.streaming import flows as S
 from wattgrid.streaming import runs as R
 
@@ -44,31 +46,78 @@ def ordered_stream(spark, samples):
     return stream(spark, samples)
 
 
-def test_held_alerts_match_batch(spark, samples):
+@pytest.fixture(scope="module")
+def mixed_up(spark, samples, tmp_path_factory):
+    """The same rows in six files, each with rows up to two hours older than those of the file before."""
+    folder = tmp_path_factory.mktemp("mixed")
+    draw = random.Random(4)
+    data = sorted(samples[0].collect(), key=lambda r: r.time.timestamp() + draw.uniform(0, 7200))
+    for part in range(6):
+        spark.createDataFrame(data[part * 40:(part + 1) * 40], samples[2]).coalesce(1).write.mode("append").parquet(str(folder))
+    times = [r.time for r in data]
+    assert times != sorted(times)
+    return samples[0], str(folder), samples[2]
+
+
+def before_watermark(samples, seconds):
+    return max(r.time for r in samples[0].collect()) - timedelta(seconds=seconds)
+
+
+@pytest.mark.parametrize("idle", [600, 86400])
+def test_held_alerts_match_batch_in_any_order(spark, mixed_up, idle):
     pick = lambda df: df.select(F.col("time").alias("ts"), F.col("node_id").alias("series"), F.lit("cpu_temperature_celsius").alias("metric"), F.col("cpu_temp").alias("value"))
     rules = rule_table(spark)
-    got = R.append_table(S.held_alerts(pick(ordered_stream(spark, samples)), rules), "alerts")
-    judged = evaluate_rules(pick(samples[0]), rules)
-    want = sustained(judged, ["rule", "series"], "ts", "holds", F.col("hold_seconds"))
+    got = R.append_table(S.held_alerts(pick(stream(spark, mixed_up)), rules, "2 hours", idle), "alerts")
+    judged = evaluate_rules(pick(mixed_up[0]), rules)
+    want = sustained(judged, ["rule", "series"], "ts", "holds", F.col("hold_seconds"), idle_seconds=idle).filter(F.col("fired_at") < before_watermark(mixed_up, 7200))
     assert rows(got.select("rule", "series", "since", "fired_at")) == rows(want.select("rule", "series", "since", "fired_at"))
     assert got.count() > 5
 
 
-def test_increments_match_batch(spark, samples):
-    got = R.append_table(S.stream_increments(ordered_stream(spark, samples), "counter", ["node_id"]), "rises")
-    want = increments(samples[0], "counter", ["node_id"], "time").dropna(subset=["increase"])
-    assert rows(got.select("node_id", "time", "increase")) == rows(want.select("node_id", "time", "increase"))
+@pytest.mark.parametrize("window,step", [(300, 15), (7200, 600)])
+def test_counter_rate_matches_batch_in_any_order(spark, mixed_up, window, step):
+    got = R.append_table(S.counter_rate(stream(spark, mixed_up), "counter", ["node_id"], window, step, "2 hours"), "rates")
+    want = rate(mixed_up[0], "counter", ["node_id"], "time", window_seconds=window, step_seconds=step).filter(F.col("at_epoch") < before_watermark(mixed_up, 7200).timestamp())
+    assert got.count() > 20
+    for g, w in zip(rows(got), rows(want), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3])
 
 
-def test_silences_are_told_once(spark, samples):
-    got = R.append_table(S.silent_series(ordered_stream(spark, samples), ["node_id"], 600), "silent")
-    data = sorted(samples[0].collect(), key=lambda r: r.time)
-    end = data[-1].time
+def test_silences_are_told_once_in_any_order(spark, mixed_up):
+    got = R.append_table(S.silent_series(stream(spark, mixed_up), ["node_id"], 600, "2 hours"), "silent")
+    data = sorted(mixed_up[0].collect(), key=lambda r: r.time)
+    mark = before_watermark(mixed_up, 7200)
     want = []
     for node in "ab":
-        times = [r.time for r in data if r.node_id == node] + [end]
-        want += [(node, a) for a, b in zip(times, times[1:]) if (b - a).total_seconds() > 600]
-    assert rows(got) == sorted(want)
+        times = [r.time for r in data if r.node_id == node]
+        want += [(node, a) for a, b in zip(times, [*times[1:], datetime.max]) if b - a > timedelta(seconds=600) and a + timedelta(seconds=600) < mark]
+    assert rows(got) == sorted(want) and want
+
+
+def test_idle_state_is_dropped(spark, mixed_up):
+    """Held alerts keep state only for open runs, silences only for series that are not known to be silent."""
+    us = np.array([0, 10, 20, 100, 110]) * 1_000_000
+    begun, met, since, fired = E.held_runs(us, np.array([True, True, True, True, False]), 15_000_000, 30_000_000, None, False, None)
+    assert begun.tolist() == [0] and met.tolist() == [20_000_000] and since is None and not fired
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in E.silences(us, 50_000_000, 0, None, False)] == [[20_000_000], 110_000_000, False]
+    assert E.silences(np.zeros(0, np.int64), 50_000_000, 161_000_000, 110_000_000, False)[0].tolist() == [110_000_000]
+    _, _, since, fired = E.held_runs(us[:3], np.array([True] * 3), 15_000_000, 30_000_000, None, False, None)
+    assert (since, fired) == (0, True)
+    assert E.held_runs(us[:1] + 25_000_000, np.array([True]), 15_000_000, 30_000_000, since, fired, 20_000_000)[0].tolist() == []
+
+
+def test_long_and_unfinished_jobs_are_told(spark, tmp_path):
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    starts = [(k, "a", at(10 * k)) for k in range(12)]
+    ends = [(0, at(3)), (1, at(95)), (3, at(32)), (11, at(112))]  # 1 runs long, 3 in time, the rest never end
+    for name, data, schema in (("starts", starts, "run_id int, node_id string, start_time timestamp"), ("ends", ends, "run_id int, end_time timestamp")):
+        for k in range(0, len(data), 4):
+            spark.createDataFrame(data[k:k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    parts = R.append_table(S.job_lifecycle(read("starts", "run_id int, node_id string, start_time timestamp"), read("ends", "run_id int, end_time timestamp"), longest="5 minutes", lateness="10 minutes"), "jobs")
+    found = {r.run_id: (r.state, None if r.duration_us is None else r.duration_us / 60e6) for r in S.whole_runs(parts).collect()}
+    assert found[0] == ("ended", 3) and found[1] == ("ended", 85) and found[3] == ("ended", 2) and found[11] == ("ended", 2)
+    assert {k for k, v in found.items() if v[0] == "unfinished"} == {2, 4, 5, 6, 7, 8, 9}  # 10 may still end in time
 
 
 def test_rollup_append_gives_closed_windows(spark, samples):

@@ -55,15 +55,19 @@ def evaluate_rules(series: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sustained(df: DataFrame, keys: Sequence[str], time: str, holds: str, hold_seconds: Column | int,
-              ties: Sequence[str] = (), **chunking) -> DataFrame:
+              ties: Sequence[str] = (), idle_seconds: int | None = None, **chunking) -> DataFrame:
     """Unbroken runs of true samples that last at least ``hold_seconds``.
 
     One row per run: first and last true sample and the sample at which the hold
-    time was reached.  Time between samples is not interpolated.
+    time was reached.  Time between samples is not interpolated; with
+    ``idle_seconds``, a longer gap between two samples ends a run.
     """
     kept = df.withColumn("_hold", hold_seconds if isinstance(hold_seconds, Column) else F.lit(hold_seconds))
-    prev = with_previous(kept, {"_before": holds}, keys, time, ties, **chunking)
-    began = F.when(F.col(holds) & ~F.coalesce(F.col("_before"), F.lit(False)), F.col(time))
+    prev = with_previous(kept, {"_before": holds, "_last": time}, keys, time, ties, **chunking)
+    first = ~F.coalesce(F.col("_before"), F.lit(False))
+    if idle_seconds is not None:
+        first = first | (epoch_us(time) - epoch_us("_last") > idle_seconds * 1_000_000)
+    began = F.when(F.col(holds) & first, F.col(time))
     runs = fill_gaps(prev.withColumn("since", began), ["since"], keys, time, ties, backward=False, **chunking)
     active = runs.filter(F.col(holds)).withColumn(
         "_met", epoch_us(time) - epoch_us("since") >= F.col("_hold").cast("bigint") * 1_000_000)

@@ -122,7 +122,7 @@ select sample_id, case when cpu_temp > 80 then 'critical' else 'warning' end as
 def _(t):
     text = F.concat(F.lit("Thermal event: "), F.when(F.col("cpu_temp") > 80, "critical").otherwise("warning"), F.lit(", Temperature: "),
                     F.format_string("%.3f", "cpu_temp"), F.lit("°C, Sensor: core"), (F.col("sample_id") % 8).cast("string"))
-    out = G.enrich(G.thermal_messages(t.node_metrics.select("sample_id", "time", text.alias("message"))), "thermal")
+    out = G.enrich(G.thermal_messages(t.node_metrics.select("sample_id", "time", text.alias("message"))), "thermal", environment="production", cluster_name="cluster")
     return out.select("sample_id", "event_type", "temperature", "sensor_name", "environment", "cluster_name", "log_type", "parsed_time")
 
 

@@ -10,7 +10,7 @@ from wattgrid.plans.models import LABEL, jobs, trained
 from wattgrid.plans.registry import query
 from wattgrid.sources import logs as G
 from wattgrid.streaming import flows as S
-from wattgrid.streaming.runs import StreamTables, append_table, latest_table, new_folder
+from wattgrid.streaming.runs import StreamTables, append_table, latest_table, new_folder, replayed
 
 
 def _ntz(df):
@@ -54,23 +54,65 @@ def _(t):
     return _ntz(latest_table(rates, "rates", ["window_end", "node_id"]))
 
 
-_HELD = """
-select rule, series, min(ts) as since, min(case when epoch_us(ts) - s0 >= d * 1000000 then ts end) as fired_at from (
+def _final(sql: str, time: str, table: str, seconds: int) -> str:
+    """Of the rows of ``sql`` those whose ``when_us`` lies before the watermark that a drained stream ends with."""
+    return f"select * exclude (when_us) from ({sql}) where when_us < (select max(epoch_us({time})) // 1000 * 1000 - {seconds * 1000000} from {table})"
+
+
+def _counter_sql(window: int, step: int, lateness: int) -> str:
+    return _final(f"""
+with s as (select *, epoch_us(time) as us, lag(counter_value) over (partition by node_id order by time, sample_id) as pv,
+    (epoch_us(time) + {step * 1000000 - 1}) // {step * 1000000} as b from counter_samples),
+e as (select distinct node_id, b from s),
+p as (select e.node_id, e.b, s.us, s.counter_value as v, lag(s.counter_value) over (partition by e.node_id, e.b order by s.us, s.sample_id) as pv
+  from e join s on e.node_id = s.node_id and s.b > e.b - {window // step} and s.b <= e.b)
+select node_id, b * {step} as at_epoch, count(*) as samples,
+  case when max(us) > min(us) then sum(case when pv is null then 0 when v < pv then v else v - pv end) / ((max(us) - min(us)) / 1000000.0E0) end as rate,
+  b * {step * 1000000} as when_us
+from p group by node_id, b having count(*) > 1""", "time", "counter_samples", lateness)
+
+
+def _counter_rate(t, window, step, lateness):
+    samples = replayed(t.counter_samples.repartition(4, "sample_id"), "counter")
+    return append_table(S.counter_rate(samples, "counter_value", ["node_id"], window, step, f"{lateness} seconds"), "counter-rates")
+
+
+@query("r4_counter_rate", _counter_sql(300, 15, 300), r9="rate")
+def _(t):
+    return _counter_rate(t, 300, 15, 300)
+
+
+@query("r4_w7_counter_rate_6h", _counter_sql(6 * 3600, 3600, 3600), r9="rate")
+def _(t):
+    return _counter_rate(t, 6 * 3600, 3600, 3600)
+
+
+#: Lateness and idle time of the alert streams, in seconds.
+LATE, IDLE = 3600, 86400
+
+
+def _held_sql(judged: str, time: str, table: str) -> str:
+    """Fired alerts over the rows of CTE ``j``, up to the watermark."""
+    return _final(f"""
+with {judged}
+select rule, series, min(ts) as since, min(case when epoch_us(ts) - s0 >= d * 1000000 then ts end) as fired_at,
+  epoch_us(min(case when epoch_us(ts) - s0 >= d * 1000000 then ts end)) as when_us from (
   select *, first_value(epoch_us(ts)) over (partition by rule, series, island order by ts) as s0 from (
-    select *, sum(case when holds then 0 else 1 end) over (partition by rule, series order by ts) as island from j) where holds)
-group by rule, series, island having max(epoch_us(ts) - s0) >= any_value(d) * 1000000"""
+    select *, sum(case when holds and not idle then 0 else 1 end) over (partition by rule, series order by ts) as island from (
+      select *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by rule, series order by ts) > {IDLE * 1000000}, false) as idle from j)) where holds)
+group by rule, series, island having max(epoch_us(ts) - s0) >= any_value(d) * 1000000""", time, table, LATE)
 
 
-@query("r5_held_alerts", f"""
-with j as (select 'HighCPUTemperature' as rule, 120 as d, node_id as series, time as ts, cpu_temp > 80 as holds from node_metrics
+@query("r5_held_alerts", _held_sql("""
+j as (select 'HighCPUTemperature' as rule, 120 as d, node_id as series, time as ts, cpu_temp > 80 as holds from node_metrics
   union all select 'HighPowerConsumption', 300, node_id, time, power_consumption_watts > 200 from node_metrics
-  union all select 'CriticalCPUTemperature', 60, node_id, time, cpu_temp > 90 from node_metrics) {_HELD}""")
+  union all select 'CriticalCPUTemperature', 60, node_id, time, cpu_temp > 90 from node_metrics)""", "time", "node_metrics"))
 def _(t):
     n = _streams(t).node_metrics
     cell = lambda m, c: F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"))
     series = n.select(F.col("time").alias("ts"), F.col("node_id").alias("series"), F.inline(F.array(
         cell("cpu_temperature_celsius", "cpu_temp"), cell("cpu_power_watts", "power_consumption_watts"))))
-    return _ntz(append_table(S.held_alerts(series, rule_table(t.spark)), "alerts"))
+    return _ntz(append_table(S.held_alerts(series, rule_table(t.spark), f"{LATE} seconds", IDLE), "alerts"))
 
 
 @query("r6_threshold_events", """
@@ -81,24 +123,24 @@ def _(t):
     return _ntz(append_table(S.threshold_events(_streams(t).node_metrics), "heat"))
 
 
-@query("r7_silent_nodes", """
-select node_id, time as last_seen from (select node_id, time, coalesce(lead(time) over (partition by node_id order by time),
-  (select max(time) from node_metrics)) as nxt from node_metrics) where epoch_us(nxt) - epoch_us(time) > 600 * 1000000""")
+@query("r7_silent_nodes", _final("""
+select node_id, time as last_seen, epoch_us(time) + 600 * 1000000 as when_us from (select node_id, time, lead(time) over (partition by node_id order by time) as nxt
+  from node_metrics) where nxt is null or epoch_us(nxt) - epoch_us(time) > 600 * 1000000""", "time", "node_metrics", 60))
 def _(t):
-    return _ntz(append_table(S.silent_series(_streams(t).node_metrics, ["node_id"], 600), "silent"))
+    return _ntz(append_table(S.silent_series(_streams(t).node_metrics, ["node_id"], 600, "60 seconds"), "silent"))
 
 
-@query("r8_target_alerts", f"""
-with s as (select concat('target_', cast(user_id % 5 as varchar)) as series, ts, case when event_type = 'error' then 0 else 1 end as up, value / 20 as scrape from events),
+@query("r8_target_alerts", _held_sql("""
+s as (select concat('target_', cast(user_id % 5 as varchar)) as series, ts, case when event_type = 'error' then 0 else 1 end as up, value / 20 as scrape from events),
 j as (select 'NodeDown' as rule, 120 as d, series, ts, up = 0 as holds from s
-  union all select 'HighScrapeDuration', 300, series, ts, scrape > 10 from s) {_HELD}""")
+  union all select 'HighScrapeDuration', 300, series, ts, scrape > 10 from s)""", "ts", "events"))
 def _(t):
     e = _streams(t).raw("events")
     cell = lambda m, c: F.struct(F.lit(m).alias("metric"), c.alias("value"))
     up = F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)
     series = e.select("ts", F.concat(F.lit("target_"), (F.col("user_id") % 5).cast("string")).alias("series"), F.inline(F.array(
         cell("node_up", up), cell("scrape_duration_seconds", F.col("value") / 20))))
-    return _ntz(append_table(S.held_alerts(series, rule_table(t.spark)), "targets"))
+    return _ntz(append_table(S.held_alerts(series, rule_table(t.spark), f"{LATE} seconds", IDLE), "targets"))
 
 
 @query("r9_upsert_sink", """
@@ -109,12 +151,17 @@ def _(t):
 
 
 @query("r10_job_lifecycle", """
-select run_id, node_id, start_time, end_time, epoch_us(end_time) - epoch_us(start_time) as duration_us from job_runs
-where end_time >= start_time and end_time <= start_time + interval 2 day""")
+with e as (select run_id, end_time from job_runs where run_id % 11 <> 0),
+w as (select least((select max(epoch_us(start_time)) from job_runs), (select max(epoch_us(end_time)) from e)) // 1000 * 1000 - 3600000000 as mark),
+j as (select s.run_id, s.node_id, s.start_time, e.end_time, epoch_us(s.start_time) as b, epoch_us(e.end_time) as f from job_runs s left join e using (run_id))
+select run_id, node_id, start_time, case when f - b <= 300 * 1000000 or f <= mark then end_time end as end_time,
+  case when f - b <= 300 * 1000000 or f <= mark then 'ended' else 'unfinished' end as state, case when f - b <= 300 * 1000000 or f <= mark then f - b end as duration_us
+from j, w where f - b <= 300 * 1000000 or b + 300 * 1000000 <= mark""")
 def _(t):
     starts = _streams(t).job_runs.select("run_id", "node_id", "start_time")
-    ends = _streams(t).job_runs.select("run_id", "end_time")
-    return _ntz(append_table(S.job_lifecycle(starts, ends), "lifecycle"))
+    ends = _streams(t).job_runs.filter("run_id % 11 <> 0").select("run_id", "end_time")  # the others' last message never comes
+    parts = append_table(S.job_lifecycle(starts, ends, longest="5 minutes"), "lifecycle")
+    return _ntz(S.whole_runs(parts))
 
 
 def log_lines(events):

@@ -13,6 +13,23 @@ from pyspark.sql.streaming import StreamingQuery
 from wattgrid.session import own_folder
 from wattgrid.sources.adapters import Tables
 
+#: What a stream over files reads in one batch at most, so that a series' rows of one batch fit a task.
+BYTES_PER_BATCH = 4 << 30
+
+
+def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream over the files of a parquet table, in bounded batches, with event times that watermarks accept."""
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_BATCH).parquet(path)
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c, k in stream.dtypes if k == "timestamp_ntz"})
+
+
+def replayed(df: DataFrame, name: str) -> DataFrame:
+    """A table written to a folder of its own and read again as a stream."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(f"{folder}/rows")
+    return file_stream(df.sparkSession, f"{folder}/rows", df.schema)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return own_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
@@ -36,8 +53,7 @@ class StreamTables(Tables):
 
     def raw(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        stream = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
-        return stream.withColumns({c: F.col(c).cast("timestamp") for c, k in stream.dtypes if k == "timestamp_ntz"})
+        return file_stream(self.spark, f"{self.sf_dir}/{name}.parque[t]", schema)
 
 
 def append_table(stream: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
