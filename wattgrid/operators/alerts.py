@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattgrid.operators.joins import change_since, missing_intervals, ratio_by
-from wattgrid.operators.ordered import epoch_us, fill_gaps, running_sum, with_previous
+from wattgrid.operators.ordered import epoch_us, fill_gaps, running_sum, seconds_between, with_previous
 from wattgrid.operators.rollups import bucket
 
 # (rule, metric, comparison, threshold, hold seconds, severity, component): fixed values.
@@ -89,6 +90,49 @@ def _series(df: DataFrame, metric: str, series: Column, ts: str, value: Column)
     return df.select(F.col(ts).alias("ts"), series.alias("series"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
 
 
+def absence_series(samples: DataFrame, metric: str) -> DataFrame:
+    """For each hour of the samples' time span 1 if it has none, else 0."""
+    kind = samples.schema["time"].dataType
+    cluster = samples.select(F.lit("cluster").alias("all"), "time")
+    seen = cluster.select("all", F.window("time", "1 hour").start.alias("at")).distinct()
+    return reduce(DataFrame.unionByName, [
+        _series(df.withColumn("at", F.col("at").cast(kind)), metric, F.col("all"), "at", F.lit(absent))
+        for df, absent in ((seen, 0.0), (missing_intervals(cluster, ["all"]), 1.0))])
+
+
+def running_series(jobs: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
+    """Seconds run and joules used so far by each running job, at every full hour of the last ``hours`` up to ``as_of``.
+
+    ``jobs``: job_id, time (of the start), job_state, avg_power_watts. ``as_of`` is the latest time if not given. A job
+    gives at most ``hours`` + 1 rows a metric; of several rows of one job the largest value counts.
+    """
+    kind = jobs.schema["time"].dataType
+    hour = lambda c: F.date_trunc("hour", c).cast(kind)
+    now = hour(jobs.agg(F.max("time")).scalar() if as_of is None else F.lit(as_of).cast(kind))
+    step = F.expr("interval 1 hour")
+    begun = jobs.filter((F.col("job_state") == "RUNNING") & (F.col("time") <= now)).withColumn("first", F.greatest(now - F.expr(f"interval {hours} hour"), hour("time")))
+    points = begun.select("job_id", "time", "avg_power_watts", F.explode(F.sequence("first", now, step)).alias("at")).filter(F.col("at") >= F.col("time"))
+    seconds = seconds_between("at", "time")
+    so_far = points.groupBy("job_id", "at").agg(F.max(seconds).alias("seconds"), F.max(F.col("avg_power_watts") * seconds).alias("joules"))
+    cell = lambda metric, c: F.struct(F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value"))
+    return so_far.select(F.col("at").alias("ts"), F.col("job_id").alias("series"), F.inline(F.array(
+        cell("job_runtime_seconds", "seconds"), cell("job_energy_joules", "joules"))))
+
+
+def poll_series(polls: DataFrame, metric: str, target: str, time: str, up: str) -> DataFrame:
+    """Whether each poll of a target was answered."""
+    return _series(polls, metric, F.col(target), time, F.when(F.col(up), 1.0).otherwise(0.0))
+
+
+def job_and_exporter_series(jobs: DataFrame, polls: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
+    """Series of the rules on running jobs, on missing job samples and on exporters.
+
+    ``polls``: target, time, up. No series is made for ``gpu_temperature_celsius`` and ``disk_used_ratio``: no table has such a column.
+    """
+    parts = [running_series(jobs, as_of, hours), absence_series(jobs, "job_metrics_absent"), poll_series(polls, "exporter_up", "target", "time", "up")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def derived_series(samples: DataFrame, runs: DataFrame, jobs: DataFrame, **chunking) -> DataFrame:
     """Series of the rules that test a computed value.
 
@@ -103,10 +147,7 @@ def derived_series(samples: DataFrame, runs: DataFrame, jobs: DataFrame, **chunk
     gone = missing_intervals(samples.select("node_id", "time"), ["node_id"])
     for df, up in ((hours, 1.0), (gone, 0.0)):
         parts.append(_series(df.withColumn("at", F.col("at").cast(kind)), "node_up", F.col("node_id"), "at", F.lit(up)))
-    cluster = samples.select(F.lit("cluster").alias("all"), "time")
-    seen = cluster.select("all", F.window("time", "1 hour").start.alias("at")).distinct()
-    for df, absent in ((seen, 0.0), (missing_intervals(cluster, ["all"]), 1.0)):
-        parts.append(_series(df.withColumn("at", F.col("at").cast(kind)), "thermal_metrics_absent", F.col("all"), "at", F.lit(absent)))
+    parts.append(absence_series(samples, "thermal_metrics_absent"))
     moves = runs.select("run_id", F.inline(F.array(
         F.struct(F.col("submit_time").alias("at"), F.lit(1).alias("step")),
         F.struct(F.col("start_time").alias("at"), F.lit(-1).alias("step")))))

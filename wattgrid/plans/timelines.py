@@ -165,6 +165,22 @@ def _(t):
     return L.alerts(L.derived_series(n, t.job_runs, t.job_metrics), L.rule_table(t.spark))
 
 
+@query("w11_job_and_exporter_alerts", _alert_sql("""
+edge as (select date_trunc('hour', max(time)) as hi from job_metrics),
+grid as (select unnest(generate_series(hi - interval 24 hour, hi, interval 1 hour)) as moment from edge),
+pt as (select job_id, moment, max((epoch_us(moment) - epoch_us(time)) / 1000000.0E0) as secs, max(avg_power_watts * ((epoch_us(moment) - epoch_us(time)) / 1000000.0E0)) as joules
+  from (select * from job_metrics where job_state = 'RUNNING') join grid on moment >= time group by 1, 2),
+sh as (select distinct date_trunc('hour', time) as h from job_metrics),
+hours as (select unnest(generate_series(lo, hi, interval 1 hour)) as h from (select min(h) as lo, max(h) as hi from sh)),
+m as (select moment as ts, job_id as series, 'job_runtime_seconds' as metric, secs as value from pt
+  union all select moment, job_id, 'job_energy_joules', joules from pt
+  union all select g.h, 'cluster', 'job_metrics_absent', case when s.h is null then 1 else 0 end from hours g left join sh s on g.h = s.h
+  union all select ts, 'target_' || (user_id % 5), 'exporter_up', case when event_type = 'error' then 0 else 1 end from events)"""))
+def _(t):
+    polls = t.events.select(F.concat(F.lit("target_"), (F.col("user_id") % 5).cast("string")).alias("target"), F.col("ts").alias("time"), (F.col("event_type") != "error").alias("up"))
+    return L.alerts(L.job_and_exporter_series(t.job_metrics, polls), L.rule_table(t.spark))
+
+
 @query("w13_queue_length", """
 with e as (select run_id, submit_time as moment, 1 as step from job_runs union all select run_id, start_time, -1 from job_runs)
 select run_id, moment as start_time, cast(level as bigint) as queue_length from (
