@@ -272,6 +272,11 @@ def plain_verdict(url, rules):
     return host, path, best[3] if best else None, best[4] if best else "allow"
 
 
+def test_a_stray_quote_hides_no_text():
+    for tag in ("<p data-x=it's>", "<p title=\"it's\">", "<p class=a' id='b>c'>", "<p data-x = 'a>b'>", "<p '>"):
+        assert html_text.main_text(f"<article>{tag}one text of some words</p><p>that don't end here</p></article>") == "one text of some words\n\nthat don't end here"
+
+
 def test_url_rules(spark):
     rng = random.Random(5)
     names = ["com", "net", "a.com", "b.a.com", "xa.com", "c.net", "", "a.com:80"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,8 @@ HINTS = re.compile(
     r"recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|disclaimer|copyright|legal|pagination|pager|tags|skip|hidden|"
     r"contentinfo|complementary|search|dialog)(?:$|[\s_-])", re.I)
 TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|$))|<!\[CDATA\[|<[!?][^>]*(?:>|$)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S | re.I)
+    r"<!--.*?(?:-->|$)|<(" + "|".join(DROPPED) + r")\b(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*?(?:/>|>.*?(?:</\1\s*>|$))|<!\[CDATA\[|<[!?][^>]*(?:>|$)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|$)", re.S | re.I)  # a quote opens a value only after =
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOAKED = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -264,7 +263,6 @@ def shares(tree, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
 def block_tree():
     return grown(*labelled_table())
 
@@ -284,7 +282,8 @@ def extract_text(pages: DataFrame, page: str = "html", out: str = "text") -> Dat
     Every page is read whole, on its own; no shuffle. Broken and unclosed markup is read as far as
     it goes: an unclosed script, style, textarea, title or comment hides the rest of the page, no other element does.
     A head ends where flow content begins. Closed noscript, template, iframe, svg, select and button
-    elements are left out; math and what object, canvas, audio, video and map hold is text like any other.
+    elements are left out; math and what object, canvas, audio, video and map hold is text like any other. A header
+    element is a header wherever it stands, inside an article too. Null and empty pages have an empty text; repeated rows are pages of their own.
     """
     text_batches(pages)
     tree = block_tree()

@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, vec
     size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c_blocks, q_blocks = -(-size["n"] // CANDIDATES) or 1, -(-size["q"] // QUERIES) or 1
     dealt = F.xxhash64("row")
-    slim = ("id", "row", "vector")
+    slim = [F.col(c).alias(c) for c in ("id", "row", "vector")]  # columns of their own on either side
     left = rows.where("asks").select(*slim, F.pmod(dealt, F.lit(q_blocks)).alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint"))).alias("c"))
     right = rows.select(*slim, F.pmod(dealt, F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("q"))
 
