@@ -45,7 +45,7 @@ class Vocabulary:
     joined: np.ndarray  # the piece of each pair
     worth: np.ndarray  # pieces by score: larger is better, equal scores are equal
     _characters: np.ndarray | None = None
-    _maybe: np.ndarray | None = None
+    _tables: list | None = None
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> Vocabulary:
@@ -114,24 +114,43 @@ def skips(keys: np.ndarray, left: np.ndarray, right: np.ndarray, pieces: np.ndar
     return (mixed(mixed(keys ^ place) + place) >> np.uint64(11)).astype(np.float64) < rate * 2.0 ** 53
 
 
-FILTER_BITS = 20
+SLOT_BITS = 20
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
-def hashed_pair(want: np.ndarray) -> np.ndarray:
-    return ((want.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def slots(want: np.ndarray, factor: int) -> np.ndarray:
+    return ((want.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def slot_tables(v: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in tables by hash, each with those that the tables before had no place for, and the piece that they make."""
+    out, left = [], np.arange(len(v.pairs))
+    for factor in FACTORS:
+        place = np.full(1 << SLOT_BITS, -1, np.int64)
+        at = slots(v.pairs[left], factor)
+        place[at] = left
+        out.append((np.where(place >= 0, v.pairs[place], -1), np.where(place >= 0, v.joined[place], -1).astype(np.int32)))
+        left = left[place[at] != left]
+    if len(left):
+        raise ValueError("the tables have no place for some pairs")
+    return out
 
 
 def candidates(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The piece that two symbols make, or -1. Most pairs make none; a bit table tells most of these."""
-    if v._maybe is None:
-        v._maybe = np.zeros(1 << FILTER_BITS, bool)
-        v._maybe[hashed_pair(v.pairs)] = True
+    """The piece that two symbols make, or -1."""
+    if v._tables is None:
+        v._tables = slot_tables(v)
     out = np.full(len(left), -1, np.int32)
     want = left.astype(np.int64) * len(v.text) + right
-    look = np.flatnonzero(v._maybe[hashed_pair(want)] & (left >= 0) & (right >= 0))
-    want = want[look]
-    at = np.minimum(np.searchsorted(v.pairs, want), len(v.pairs) - 1)
-    out[look] = np.where(v.pairs[at] == want, v.joined[at], -1)
+    look = np.flatnonzero((left >= 0) & (right >= 0))
+    for (pairs, joined), factor in zip(v._tables, FACTORS):
+        at = slots(want[look], factor)
+        there = pairs[at]
+        same = there == want[look]
+        out[look[same]] = joined[at[same]]
+        look = look[~same & (there >= 0)]  # an empty slot has turned no pair away
+        if not len(look):
+            break
     return out
 
 
@@ -217,6 +236,24 @@ def segment_grid(v: Vocabulary, codes: np.ndarray, lengths: np.ndarray, keys: np
     return symbol, inside
 
 
+def written(v: Vocabulary, symbol: np.ndarray, used: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the symbols in use, row by row, and their number in each row; a character that is no piece goes byte by byte."""
+    ids = symbol[used]
+    bare = ids < 0
+    if not bare.any():
+        return ids, used.sum(1)
+    chars, which = np.unique(codes[used][bare], return_inverse=True)
+    spelled = [v.spelled(chr(c)) for c in chars]
+    sizes = np.array([len(x) for x in spelled])
+    each = np.ones(len(ids), np.int64)
+    each[bare] = sizes[which]
+    ends = np.cumsum(each)
+    out = np.repeat(ids, each)
+    within = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
+    out[np.repeat(ends[bare] - each[bare], sizes[which]) + within] = np.concatenate(spelled)[np.repeat((np.cumsum(sizes) - sizes)[which], sizes[which]) + within]
+    return out, np.bincount(np.nonzero(used)[0], each, len(used)).astype(np.int64)
+
+
 def segment(v: Vocabulary, codes: np.ndarray, heads: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the units (code points from ``heads`` on), one after another, and the number of ids of each."""
     counts = np.zeros(len(heads), np.int64)
@@ -230,13 +267,8 @@ def segment(v: Vocabulary, codes: np.ndarray, heads: np.ndarray, lengths: np.nda
             rows = group[k:k + ROWS_AT_ONCE]
             place = heads[rows, None] + np.minimum(np.arange(width), lengths[rows, None] - 1)
             symbol, used = segment_grid(v, codes[place], lengths[rows], keys[rows], rate)
-            odd = (used & (symbol < 0)).any(1)
-            for r in np.flatnonzero(odd):
-                places = np.flatnonzero(used[r])
-                alone[int(rows[r])] = [x for c, s in zip(places, symbol[r, places].tolist()) for x in ([s] if s >= 0 else v.spelled(chr(codes[heads[rows[r]] + c])))]
-            used[odd] = False
-            counts[rows] = used.sum(1)
-            found.append((rows, counts[rows], symbol[used]))
+            ids, counts[rows] = written(v, symbol, used, codes[place])
+            found.append((rows, counts[rows], ids))
     for u in np.flatnonzero(lengths > WIDTHS[-1]):
         unit = codes[heads[u]:heads[u] + lengths[u]].tobytes().decode("utf-32-le", "surrogatepass")
         alone[int(u)] = segment_one(v, unit, keys[u], rate)
@@ -314,6 +346,8 @@ class Encoder:
 def decoded(v: Vocabulary, ids: pa.ListArray) -> list[str]:
     """The text of each list of ids. Bytes that are no UTF-8 become replacement characters."""
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(flat) and (flat.min() < 0 or flat.max() >= len(v.text)):
+        raise ValueError("an id that the vocabulary does not have")
     lengths = np.array([len(t) for t in v.text])
     begins = np.cumsum(lengths) - lengths
     each = lengths[flat]
