@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,7 +59,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     path = own_folder(df.sparkSession, "tables", uuid.uuid4().hex)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._own_folder = path
+    return table
+
+
+def written_so_far() -> list[str]:
+    """Folders that are written and not yet deleted."""
+    return list(_WRITTEN)
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete ``checkpointed`` tables, or folders, that nothing reads any more, and let Spark clean the shuffles of finished steps.
+
+    Shuffle files go when the driver collects the plans that made them, which on its own happens only now and then.
+    """
+    for table in tables:
+        path = table if isinstance(table, str) else table._own_folder
+        if path in _WRITTEN:
+            _delete(spark, path)
+            _WRITTEN.remove(path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def own_folder(spark: SparkSession, *names: str) -> str:
@@ -72,6 +99,5 @@ def release(spark: SparkSession) -> int:
     """Delete what earlier queries wrote to the checkpoint folder, once their results are no longer read."""
     count = len(_WRITTEN)
     while _WRITTEN:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, _WRITTEN.pop())
     return count
