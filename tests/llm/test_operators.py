@@ -369,9 +369,9 @@ def near_copies(seed):
     return [*enumerate(rows), (500, None), (501, ""), (502, " \n"), (3, rows[7]), (None, rows[8]), (None, "alone and with no id"), (503, rows[0].upper())]
 
 
-@pytest.mark.parametrize("percent,width,limits", [(85, 4, (32, 64, 4, 2048)), (85, 4, (2, 1, 1, 7)), (80, 5, (4, 2, 1, 16))])
+@pytest.mark.parametrize("percent,width,limits", [(85, 4, (32, 3, 2048)), (85, 4, (2, 0, 7)), (85, 4, (2, 1, 3)), (80, 5, (4, 2, 16))])
 def test_join_equals_all_pairs(spark, monkeypatch, percent, width, limits):
-    for name, value in zip(("SHORT_LIST", "PIVOTS", "PIVOT_LISTS", "BLOCK"), limits):
+    for name, value in zip(("SHORT_LIST", "PIVOT_ROUNDS", "BLOCK"), limits):
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "FREQUENT", 10)
     rows = near_copies(len(limits) + percent)

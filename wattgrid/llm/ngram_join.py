@@ -9,8 +9,8 @@ scanning the inverted lists of their shingles: a similar pair shares one of the
 The boundary minimizes the two costs over the sizes that occur.
 
 Lists of up to ``SHORT_LIST`` classes give all their pairs. In a longer list (many near copies of
-one text) each class is first compared with a few pivots; what these links leave apart is compared
-within blocks of the list, where a parity sketch, a lower bound of the difference of two sets, passes over
+one text) each class first meets one pivot a round; what these links leave apart is compared in blocks, but never
+within the list's largest component. There a parity sketch, a lower bound of the difference of two sets, passes over
 almost all pairs that are not similar and equal components pass over the rest. Every pair that
 is linked is verified on the whole sets.
 """
@@ -23,18 +23,17 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattgrid.llm.common import fresh, quoted, text_batches, text_of, word_count
 from wattgrid.llm.components import components
 from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
-from wattgrid.session import checkpointed
+from wattgrid.session import checkpointed, discard
 
 SHORT_LIST = 32
-#: Pivots of a long list, and long lists in which a class meets them.
-PIVOTS = 52
-PIVOT_LISTS = 4
+#: Rounds in which a long list's classes meet one pivot.
+PIVOT_ROUNDS = 3
 #: Classes of a long list that are compared at once with as many.
 BLOCK = 2048
 #: A shingle that so many classes put first is frequent; the order puts at most ``MOST_FREQUENT`` such last.
@@ -215,6 +214,7 @@ def _frequent(docs: DataFrame, text: str, percent: int, words: int) -> tuple[np.
         least = r["g"]
     many = counts.where((F.col("count") > FREQUENT) & (F.floor(F.log2("count")) >= least)).select("key").toArrow()
     last = np.sort(many.column("key").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if len(many) else np.zeros(0, np.uint64)
+    discard(docs.sparkSession)
     usual = counts.where(F.col("count") <= FREQUENT).agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
     short = docs.select(F.greatest(word_count(text_of(text)) - (words - 1), F.lit(1)).alias("n")).where(F.col("n") <= LARGEST_SMALL * 100 // percent + 2)
     sizes = {r["n"]: r["count"] for r in short.groupBy("n").count().collect()}
@@ -244,20 +244,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a long list that lie in different components and may be similar.
 
-    ``members``: key, node, n, sketch, component, size (of the list). Members are dealt to blocks by hash;
-    each two blocks of a list meet in a group of their own.
+    ``members``: key, node, n, sketch, component. A list's largest component, by number, needs no comparison within
+    itself. So its members ("major") are dealt to blocks, once, the others ("minor") to chunks, and each block meets each chunk, as does
+    each chunk each other one. A list that is one component but for a few classes costs a row for each member.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("size"))
+    major = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    placed = members.join(major, "key").withColumn("is_major", F.col("component") == F.col("major"))
+    blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+    chunks = F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.lit(1))
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), blocks).otherwise(chunks)).cast("int")
+    placed = placed.withColumn("own", own)
+    # Groups are (block, chunk) with i below 0, and (chunk, chunk) with i not below j.
+    with_blocks = F.transform(spread(blocks), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j")))
+    with_chunks = F.transform(spread(chunks), lambda c: F.struct(F.greatest("own", c).alias("i"), F.least("own", c).alias("j")))
+    of_major = F.transform(spread(chunks), lambda c: F.struct((-1 - F.col("own")).alias("i"), c.alias("j")))
+    dealt = placed.select("key", "node", "n", "sketch", "component", "own", "is_major", F.inline(F.when(F.col("is_major"), of_major).otherwise(F.concat(with_blocks, with_chunks))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, n, parts, own = (group[c].to_numpy() for c in ("node", "n", "component", "own"))
+        nodes, n, parts, own, major = (group[c].to_numpy() for c in ("node", "n", "component", "own", "is_major"))
         order = np.argsort(n, kind="stable")
-        nodes, n, parts, own = nodes[order], n[order], parts[order], own[order]
+        nodes, n, parts, own, major = nodes[order], n[order], parts[order], own[order], major[order]
         sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"].to_numpy()[order]]
-        same_block = int(group["i"].iloc[0]) == int(group["j"].iloc[0])
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        side = major if i < 0 else own  # only pairs of unlike sides, but for a chunk with itself
         a, b = [], []
         at = 0
         while at < len(n):  # members of like size share a sketch size after folding
@@ -270,7 +281,7 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
             for k in range(at, until):
                 end = int(np.searchsorted(n, 100 * n[k] // percent, side="right"))
                 rest = np.arange(k + 1, end)
-                rest = rest[(parts[rest] != parts[k]) & (same_block | (own[rest] != own[k]))]
+                rest = rest[(parts[rest] != parts[k]) & ((i == j) | (side[rest] != side[k]))]
                 if len(rest):
                     differ = np.bitwise_count(grid[rest - at] ^ grid[k - at]).sum(1)
                     need = -(-percent * (n[k] + n[rest]) // (100 + percent))
@@ -294,37 +305,57 @@ def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str)
     classes = checkpointed(staged.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("id")))
     nodes = staged.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
     entries = nodes.select("node", "n", F.explode("keys").alias("key"))
-    lists = checkpointed(entries.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    lists = checkpointed(entries.join(sizes, "key"))
     sketches = checkpointed(nodes.select("node", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi"))
+    slim = checkpointed(staged.select("id", "mark", "n", "d1", "d2"))
+    discard(docs.sparkSession, staged)
 
-    def paired(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-        met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & condition & sizes_fit(F.col("l.n"), F.col("r.n"), percent))
-        return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    def likely(pairs: DataFrame) -> DataFrame:
+        one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+        two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+        return checkpointed(pairs.join(one, "a").join(two, "b").where(may_be_similar(percent)(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"))).select("a", "b"))
+
+    def ordered(one: Column, two: Column) -> list[Column]:
+        return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
     short = lists.where(F.col("size") <= SHORT_LIST)
-    long = lists.where(F.col("size") > SHORT_LIST)
-    by_node = Window.partitionBy("node").orderBy("key")
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-    entered = checkpointed(long.withColumn("place", F.row_number().over(by_node)).where(F.col("place") <= PIVOT_LISTS))
-    pivots = entered.withColumn("rank", F.row_number().over(by_key)).where(F.col("rank") <= PIVOTS)
-    pairs = paired(short, short, F.col("l.node") < F.col("r.node")).union(paired(entered, pivots, F.col("l.node") != F.col("r.node"))).distinct()
-    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    likely = checkpointed(pairs.join(one, "a").join(two, "b").where(may_be_similar(percent)(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"))).select("a", "b"))
-
-    needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
+    met = short.alias("l").join(short.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & sizes_fit(F.col("l.n"), F.col("r.n"), percent))
+    pairs = likely(met.select(*ordered(F.col("l.node"), F.col("r.node"))).distinct())
+    long = checkpointed(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "n"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
     sets = _sets_of(rows, "text", "id", classes.join(needed, "node", "left_semi"), words)
-    links = checkpointed(_verified(likely, sets, percent))
+    discard(docs.sparkSession, lists)
+    links = checkpointed(_verified(pairs, sets, percent))
     labels = checkpointed(components(links))
-    apart = long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_lists = apart.join(split, "key", "left_semi").join(sketches.select("node", "sketch"), "node")
-    further = checkpointed(_verified(_pairs_in_blocks(open_lists, percent), sets, percent))
+
+    def open_lists() -> DataFrame:
+        """Members of the long lists that still hold more than one component."""
+        apart = long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return apart.join(split, "key", "left_semi")
+
+    for _ in range(PIVOT_ROUNDS):
+        # Each class stands in its least open list; the pivot is the list's class of least hash outside its largest component.
+        least = open_lists().groupBy("node").agg(F.min(F.struct("key", "n", "component")).alias("at")).select("node", "at.*")
+        entered = checkpointed(least)
+        if entered.isEmpty():
+            break
+        largest = entered.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"))
+        chosen = entered.join(largest, "key").groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.struct(F.col("component") == F.col("major"), F.xxhash64("node"))).alias("p"))
+        met = entered.join(chosen, "key").where((F.col("component") != F.col("p.component")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
+        found = checkpointed(_verified(likely(met.select(*ordered(F.col("node"), F.col("p.node"))).distinct()), sets, percent))
+        if found.isEmpty():
+            break
+        links = checkpointed(links.union(found))
+        labels = checkpointed(components(links))
+    further = checkpointed(_verified(_pairs_in_blocks(open_lists().join(sketches.select("node", "sketch"), "node"), percent), sets, percent))
     if not further.isEmpty():
         labels = checkpointed(components(links.union(further)))
+    discard(docs.sparkSession, long, sets, sketches)
 
     placed = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    joined = checkpointed(staged.select("id", "mark", "n", "d1", "d2").join(placed, ["d1", "d2"], "left").select(
+    joined = checkpointed(slim.join(placed, ["d1", "d2"], "left").select(
         "id", "mark", "n", F.when(F.col("n") > 0, F.col("component")).alias("component")))
     names = joined.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     return joined.join(names, "component", "left").select("id", "mark", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
