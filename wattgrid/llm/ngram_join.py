@@ -246,8 +246,11 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
 
     ``members``: key, node, n, sketch, component. A list's largest component, by number, needs no comparison within
     itself. So its members ("major") are dealt to blocks, once, the others ("minor") to chunks, and each block meets each chunk, as does
-    each chunk each other one. A list that is one component but for a few classes costs a row for each member.
+    each chunk each other one. A list that is one component but for a few classes costs a row for each member. A pair
+    that meets in several lists comes from the least of them only, as each member brings the keys of its lists.
     """
+    of_node = members.groupBy("node").agg(F.collect_list("key").alias("in_lists"))
+    members = members.join(of_node, "node")
     parts = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     major = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"))
     placed = members.join(major, "key").withColumn("is_major", F.col("component") == F.col("major"))
@@ -260,13 +263,15 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     with_blocks = F.transform(spread(blocks), lambda b: F.struct((-1 - b).alias("i"), F.col("own").alias("j")))
     with_chunks = F.transform(spread(chunks), lambda c: F.struct(F.greatest("own", c).alias("i"), F.least("own", c).alias("j")))
     of_major = F.transform(spread(chunks), lambda c: F.struct((-1 - F.col("own")).alias("i"), c.alias("j")))
-    dealt = placed.select("key", "node", "n", "sketch", "component", "own", "is_major", F.inline(F.when(F.col("is_major"), of_major).otherwise(F.concat(with_blocks, with_chunks))))
+    dealt = placed.select("key", "node", "n", "sketch", "component", "own", "is_major", "in_lists", F.inline(F.when(F.col("is_major"), of_major).otherwise(F.concat(with_blocks, with_chunks))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         nodes, n, parts, own, major = (group[c].to_numpy() for c in ("node", "n", "component", "own", "is_major"))
         order = np.argsort(n, kind="stable")
         nodes, n, parts, own, major = nodes[order], n[order], parts[order], own[order], major[order]
         sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"].to_numpy()[order]]
+        lists = [frozenset(x.tolist()) for x in group["in_lists"].to_numpy()[order]]
+        here = int(group["key"].iloc[0])
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         side = major if i < 0 else own  # only pairs of unlike sides, but for a chunk with itself
         a, b = [], []
@@ -286,6 +291,7 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
                     differ = np.bitwise_count(grid[rest - at] ^ grid[k - at]).sum(1)
                     need = -(-percent * (n[k] + n[rest]) // (100 + percent))
                     good = rest[n[k] + n[rest] - 2 * need >= differ]
+                    good = np.array([r for r in good.tolist() if min(lists[k] & lists[r]) == here], np.int64)
                     a.append(np.full(len(good), nodes[k]))
                     b.append(nodes[good])
             at = until
@@ -322,7 +328,7 @@ def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str)
     short = lists.where(F.col("size") <= SHORT_LIST)
     met = short.alias("l").join(short.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & sizes_fit(F.col("l.n"), F.col("r.n"), percent))
     pairs = likely(met.select(*ordered(F.col("l.node"), F.col("r.node"))).distinct())
-    long = checkpointed(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "n"))
+    long = checkpointed(lists.where(F.col("size") > SHORT_LIST).select("key", "node", "n", "size"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(long.select("node")).distinct()
     sets = _sets_of(rows, "text", "id", classes.join(needed, "node", "left_semi"), words)
     discard(docs.sparkSession, lists)
@@ -335,14 +341,16 @@ def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str)
         split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return apart.join(split, "key", "left_semi")
 
+    degrees = checkpointed(long.groupBy("node").agg(F.count("*").alias("degree")))
     for _ in range(PIVOT_ROUNDS):
-        # Each class stands in its least open list; the pivot is the list's class of least hash outside its largest component.
-        least = open_lists().groupBy("node").agg(F.min(F.struct("key", "n", "component")).alias("at")).select("node", "at.*")
-        entered = checkpointed(least)
+        # Each class stands in its longest open list, where most of its likes stand too. The pivot is, outside the largest component, the class
+        # that is in most lists: it has the fewest shingles of its own, so it is nearest to what the others have in common.
+        stands = open_lists().groupBy("node").agg(F.max(F.struct("size", "key", "n", "component")).alias("at")).select("node", "at.key", "at.n", "at.component")
+        entered = checkpointed(stands.join(degrees, "node"))
         if entered.isEmpty():
             break
         largest = entered.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"))
-        chosen = entered.join(largest, "key").groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.struct(F.col("component") == F.col("major"), F.xxhash64("node"))).alias("p"))
+        chosen = entered.join(largest, "key").groupBy("key").agg(F.min_by(F.struct("node", "n", "component"), F.struct(F.col("component") == F.col("major"), -F.col("degree"), F.xxhash64("node"))).alias("p"))
         met = entered.join(chosen, "key").where((F.col("component") != F.col("p.component")) & sizes_fit(F.col("n"), F.col("p.n"), percent))
         found = checkpointed(_verified(likely(met.select(*ordered(F.col("node"), F.col("p.node"))).distinct()), sets, percent))
         if found.isEmpty():
@@ -352,7 +360,7 @@ def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str)
     further = checkpointed(_verified(_pairs_in_blocks(open_lists().join(sketches.select("node", "sketch"), "node"), percent), sets, percent))
     if not further.isEmpty():
         labels = checkpointed(components(links.union(further)))
-    discard(docs.sparkSession, long, sets, sketches)
+    discard(docs.sparkSession, long, degrees, sets, sketches)
 
     placed = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     joined = checkpointed(slim.join(placed, ["d1", "d2"], "left").select(
