@@ -3,6 +3,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,29 @@ def test_spread_brackets_the_trees(run):
     assert line.filter("abs(lower - prediction * 0.9) > 1e-9").isEmpty()
 
 
+def test_leaves_vote_as_the_trees_do(run):
+    model = run.models["random_forest"]
+    rows = run.test.limit(40).persist()
+    plain = [[r.prediction for r in tree.transform(rows.select("job_id", "features")).orderBy("job_id").collect()] for tree in model.trees]
+    found = [r.votes for r in M.tree_votes(model, rows, lambda votes: votes, "votes").orderBy("job_id").collect()]
+    assert np.allclose(np.array(plain).T, np.array(found))
+    band = M.tree_spread(model, rows).orderBy("job_id").collect()
+    assert np.allclose([r.upper for r in band], np.percentile(np.array(plain).T, 95, axis=1))
+    assert M.tree_votes(model, rows.limit(0), lambda votes: votes, "votes").collect() == []
+
+
+def test_stages_score_like_separate_fits(run):
+    from pyspark.ml.regression import GBTRegressor
+
+    boosting = GBTRegressor(featuresCol="features", labelCol=LABEL, maxDepth=2, seed=42)
+    staged = {r.params: r for r in M.staged_search(run.train, boosting, {"maxIter": [2, 5], "stepSize": [0.1, 0.3]}, LABEL, KEYS, folds=2, rows=300).collect()}
+    assert set(staged) == {f"maxIter={n}, stepSize={x}" for n in (2, 5) for x in (0.1, 0.3)}
+    rows = M.sample_exact(run.train, 300, KEYS, 42)
+    plain = M.search_table(rows.sparkSession, M.search(rows, boosting, {"maxIter": [2, 5], "stepSize": [0.1, 0.3]}, LABEL, KEYS, folds=2))
+    for r in plain.collect():
+        assert staged[r.params].mean_rmse == pytest.approx(r["mean"])
+
+
 def test_saved_model_predicts_the_same(run, tables, tmp_path):
     best = run.pipeline(run.best())
     M.save_model(best, str(tmp_path / "m"))

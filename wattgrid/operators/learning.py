@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from wattgrid.functions import power as P
 from wattgrid.operators.cleaning import hash_split
 from wattgrid.operators.ordered import position_in_order
-from wattgrid.operators.scans import available, finite, hash_order
+from wattgrid.operators.scans import available, finite, hash_order, sample_exact
 from wattgrid.operators.stats import regression_errors
 from wattgrid.session import checkpointed
 
@@ -68,7 +73,7 @@ def job_features(df: DataFrame, drop: Sequence[str] = ()) -> Features:
     plain = [*numeric, *derived]
     stages.append(Imputer(strategy="median", inputCols=[f"_{c}" for c in plain], outputCols=[f"_{c}_full" for c in plain]))
     columns = [f"_{c}_full" for c in plain] + [f"_{c}_code" for c in categorical]
-    stages.append(VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="keep"))  # nulls are filled before; no row is left out
     return Features(stages, plain + [f"{c}_encoded" for c in categorical])
 
 
@@ -98,6 +103,11 @@ BOOSTING_GRID = {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.15], "max
                  "subsamplingRate": [0.8, 0.9, 1.0]}
 
 
+#: Labelled rows that models and searches learn from at most, drawn by hash.
+TRAINING_ROWS = 100_000
+SEARCH_ROWS = 1_000
+
+
 @dataclass
 class Trained:
     """Fitted feature and regression models with their scores on the test rows."""
@@ -126,10 +136,14 @@ class Trained:
 
 def train_models(df: DataFrame, label: str, keys: Sequence[str], chosen: Sequence[str] | None = None, *,
                  trees: int = 100, drop: Sequence[str] = (), positive: bool = True, test_percent: int = 20,
-                 seed: int = 42) -> Trained:
-    """Fit every chosen regressor on the same prepared training rows and score each once."""
+                 seed: int = 42, most_rows: int = TRAINING_ROWS) -> Trained:
+    """Fit every chosen regressor on the same prepared training rows and score each once.
+
+    At most ``most_rows`` labelled rows (a documented bound), drawn by hash, are learned from; all test rows are scored.
+    """
     rows = df.filter(finite(label) & (F.col(label) > 0) if positive else finite(label))
     train, test = hash_split(rows, keys, test_percent, seed)
+    train = sample_exact(train, most_rows, keys, seed + 1)
     plan = job_features(df, drop)
     features = Pipeline(stages=[*plan.stages, scaler()]).fit(train)
     ready = features.transform(train).select(*keys, label, "features").persist()
@@ -226,33 +240,84 @@ def permutation_importance(model, df: DataFrame, names: Sequence[str], label: st
         (F.avg("mse") - base).alias("importance"), F.coalesce(F.stddev_pop("mse"), F.lit(0.0)).alias("importance_std"))
 
 
+def leaf_values(model) -> list[list[float]]:
+    """What each leaf of each tree predicts, in the order that ``leafCol`` numbers leaves (from left to right)."""
+    trees = re.split(r"^\s*Tree \d+ \(weight .*$", model.toDebugString, flags=re.M)[1:]
+    return [[float(x) for x in re.findall(r"Predict: (\S+)", tree)] for tree in trees]
+
+
+def tree_votes(model, df: DataFrame, summary: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """``df`` with the prediction and, as array ``name``, a summary of what each row's trees say (rows x trees in, rows x numbers out).
+
+    One pass whatever the number of trees: the model names each tree's leaf, and a table of leaf values says what it predicts.
+    """
+    values = leaf_values(model)
+    offsets = np.cumsum([0, *[len(v) for v in values[:-1]]])
+    table = np.concatenate([np.array(v) for v in values])
+    leaf = f"_leaf_{name}"
+
+    @F.pandas_udf("array<double>")
+    def summarised(leaves: pd.Series) -> pd.Series:
+        if not len(leaves):
+            return pd.Series([], dtype=object)
+        votes = table[np.stack(leaves.to_numpy()).astype(np.int64) + offsets]
+        return pd.Series(list(summary(votes)))
+
+    return model.copy({model.leafCol: leaf}).transform(df).withColumn(name, summarised(vector_to_array(leaf))).drop(leaf)
+
+
 def tree_spread(model, df: DataFrame) -> DataFrame:
     """Prediction with the 5th and 95th percentile and deviation over a forest's trees.
 
-    Models without trees give a band of 10 percent.
+    Models without trees, and boosting, whose trees are no votes, give a band of 10 percent.
     """
-    scored = model.transform(df)
-    trees = model.trees if isinstance(getattr(model, "trees", None), (list, tuple)) and hasattr(model, "treeWeights") else []
-    if not trees or "GBT" in type(model).__name__:
+    if not hasattr(model, "treeWeights") or "GBT" in type(model).__name__:
         p = F.col("prediction")
-        return scored.withColumns({"lower": p * 0.9, "upper": p * 1.1, "spread": F.lit(0.0)})
-    names = []
-    for i, tree in enumerate(trees):
-        scored = tree.copy({tree.predictionCol: f"_t{i}"}).transform(scored)
-        names.append(f"_t{i}")
-    n = len(names)
-    votes = F.array_sort(F.array(*names))
-    mean = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x) / n
-
-    def at(p: float) -> Column:
-        low = int(p * (n - 1))
-        share = p * (n - 1) - low
-        a, b = F.get("_votes", F.lit(low)), F.get("_votes", F.lit(min(low + 1, n - 1)))
-        return a + (b - a) * share
-
-    out = scored.withColumn("_votes", votes).withColumn("_mean", mean)
-    var = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
-    return out.withColumns({"lower": at(0.05), "upper": at(0.95), "spread": F.sqrt(var)}).drop("_votes", "_mean", *names)
+        return model.transform(df).withColumns({"lower": p * 0.9, "upper": p * 1.1, "spread": F.lit(0.0)})
+
+    def band(votes: np.ndarray) -> np.ndarray:
+        return np.column_stack([*np.percentile(votes, [5, 95], axis=1), votes.std(axis=1)])
+
+    out = tree_votes(model, df, band, "_band")
+    return out.withColumns({n: F.get("_band", F.lit(k)) for k, n in enumerate(("lower", "upper", "spread"))}).drop("_band")
+
+
+def staged_search(df: DataFrame, estimator: Estimator, grid: dict[str, list], label: str, keys: Sequence[str], *, folds: int = 5,
+                  rows: int | None = SEARCH_ROWS, seed: int = 42) -> DataFrame:
+    """Cross-validated search of a tree ensemble: params, mean and deviation of RMSE and of R2 over the folds.
+
+    For each setting of the other parameters one ensemble of the largest size is fitted a fold, and every smaller size in
+    the grid is scored on the first trees of it. Boosting adds its trees one after another, so a stage is the same as a fit of that
+    size; a forest's first trees are a forest of that size from the same draw. ``rows`` bounds the labelled rows, drawn by hash
+    (a documented bound; None takes all).
+    """
+    size = "numTrees" if "numTrees" in grid else "maxIter"
+    stages = sorted(grid[size])
+    others = [dict(zip([k for k in grid if k != size], v)) for v in itertools.product(*[v for k, v in grid.items() if k != size])]
+    drawn = df if rows is None else sample_exact(df, rows, keys, seed)
+    folded = drawn.withColumn("fold", fold_column(keys, folds, seed)).persist()
+
+    def scored(setting: dict, fold: int) -> list[tuple]:
+        chosen = estimator.copy({estimator.getParam(k): v for k, v in {**setting, size: stages[-1]}.items()})
+        model = chosen.fit(folded.filter(F.col("fold") != fold))
+        weights = np.array(model.treeWeights)
+
+        def at_stages(votes: np.ndarray) -> np.ndarray:
+            total = np.cumsum(votes * weights, axis=1)[:, np.array(stages) - 1]
+            return total / (np.cumsum(weights)[np.array(stages) - 1] if size == "numTrees" else 1.0)
+
+        held = tree_votes(model, folded.filter(F.col("fold") == fold), at_stages, "_stages")
+        error = held.select(label, F.posexplode("_stages").alias("k", "guess")).groupBy("k").agg(
+            F.avg((F.col(label) - F.col("guess")) ** 2).alias("mse"), F.var_pop(label).alias("variance"))
+        return [(", ".join(sorted(f"{a}={b}" for a, b in {**setting, size: stages[r.k]}.items())), float(r.mse) ** 0.5, 1 - r.mse / r.variance if r.variance else 0.0) for r in error.collect()]
+
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            found = [r for part in pool.map(lambda x: scored(*x), itertools.product(others, range(folds))) for r in part]
+    finally:
+        folded.unpersist()
+    table = df.sparkSession.createDataFrame(found, "params string, rmse double, r2 double")
+    return table.groupBy("params").agg(*[f(c).alias(f"{n}_{c}") for c in ("rmse", "r2") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 def schedule_advice(scored: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from wattgrid.plans.registry import query
 
 KEYS = ["job_id"]
 LABEL = "estimated_energy_wh"
+#: Labelled rows that these queries' models learn from at most; all rows are scored.
+ROWS = 2_000
 
 
 def jobs(t):
@@ -19,8 +21,8 @@ def jobs(t):
                                 "memory_usage", "io_read_mbps", "io_write_mbps", "avg_cpu_temp", "peak_cpu_temp", LABEL)
 
 
-def trained(t, *chosen, trees=20):
-    return M.train_models(jobs(t), LABEL, KEYS, chosen, trees=trees)
+def trained(t, *chosen):
+    return M.train_models(jobs(t), LABEL, KEYS, chosen, most_rows=ROWS)
 
 
 @query("m1_one_feature_regression", """
@@ -40,12 +42,12 @@ def _(t):
 
 @query("m7_train_temperature")
 def _(t):
-    return M.train_temperature(jobs(t), KEYS, chosen=["linear_regression", "random_forest"], trees=10).scores
+    return M.train_temperature(jobs(t), KEYS, chosen=["linear_regression", "random_forest"], most_rows=ROWS).scores
 
 
 @query("m6_mean_of_models")
 def _(t):
-    run = trained(t, "linear_regression", "random_forest", "gradient_boosting", trees=10)
+    run = trained(t, "linear_regression", "random_forest", "gradient_boosting")
     return regression_errors(M.mean_prediction(run.models, run.test), LABEL, "prediction")
 
 
@@ -59,9 +61,9 @@ def _(t):
 @query("m9_grid_search")
 def _(t):
     run = trained(t, "linear_regression")
-    forest = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=42)
-    found = M.search(run.train, forest, {"numTrees": [5, 10], "maxDepth": [4, 6]}, LABEL, KEYS, folds=3, metric="r2")
-    return M.search_table(t.spark, found)
+    forest = RandomForestRegressor(featuresCol="features", labelCol=LABEL, maxDepth=M.FOREST_GRID["maxDepth"][0], seed=42)
+    grid = {k: M.FOREST_GRID[k] for k in ("numTrees", "minInstancesPerNode")}  # depth 10; deeper trees take minutes a fit on a small machine
+    return M.staged_search(run.train, forest, grid, LABEL, KEYS, folds=3, rows=500)
 
 
 @query("m10_random_search")
@@ -92,7 +94,7 @@ def _(t):
 
 @query("m14_prediction_spread")
 def _(t):
-    run = trained(t, "random_forest", trees=20)
+    run = trained(t, "random_forest")
     return M.tree_spread(run.models["random_forest"], run.test).select("job_id", "prediction", "lower", "upper", "spread")
 
 
@@ -111,13 +113,13 @@ def _(t):
 
 @query("m17_temperature_profile")
 def _(t):
-    run = M.train_temperature(jobs(t), KEYS, chosen=["linear_regression"])
+    run = M.train_temperature(jobs(t), KEYS, chosen=["linear_regression"], most_rows=ROWS)
     return M.temperature_profile(run.pipeline("linear_regression"), jobs(t))
 
 
 @query("m18_explain_predictions")
 def _(t):
-    run = trained(t, "random_forest", trees=10)
+    run = trained(t, "random_forest")
     ranking = M.importances(t.spark, run.models["random_forest"], run.names)
     scored = run.pipeline("random_forest").transform(jobs(t))
     columns = [c for c in M.NUMERIC if c in scored.columns]
@@ -134,7 +136,7 @@ def _(t):
 
 @query("m20_schedule_advice")
 def _(t):
-    run = trained(t, "random_forest", trees=20)
+    run = trained(t, "random_forest")
     scored = M.tree_spread(run.models["random_forest"], run.features.transform(jobs(t)))
     return M.schedule_advice(scored).select(
         "job_id", "predicted_energy_wh", "lower", "upper", "estimated_cost_usd", "estimated_co2_kg", "priority_score",

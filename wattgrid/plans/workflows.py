@@ -29,7 +29,7 @@ def analyse(jobs: DataFrame, usage: DataFrame | None = None, thermals: DataFrame
     combined, _ = combined_efficiency(joined)
     combined = checkpointed(combined.fillna(0))
     numeric = [c for c in numeric_columns(combined) if c != key]
-    trained = M.train_models(combined, target, [key], ["linear_regression", "random_forest"], trees=20)
+    trained = M.train_models(combined, target, [key], ["linear_regression", "random_forest"], most_rows=M.SEARCH_ROWS)
     grouped = [c for c in [*M.CLUSTERED, "cpu_usage", "memory_usage"] if c in combined.columns]
     spark = combined.sparkSession
     return {
