@@ -11,6 +11,8 @@ that bound is set between the part not trained on and the same texts with their
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +25,8 @@ from wattgrid.llm.common import fresh, quoted, text_batches, text_of, without
 BUCKETS = 8192
 SIZES = (2, 3, 4)
 WIDTH = 16
-#: Labelled rows drawn in all, and languages learned at most (the most frequent).
+#: Labelled rows drawn in all, and so the most languages that can be learned.
 SAMPLE_ROWS = 6000
-MOST_LANGUAGES = 200
 EPOCHS = 12
 #: Bytes looked at in one piece.
 PIECE = 1 << 20
@@ -78,7 +79,40 @@ class Model:
         return float(counts @ self.known / max(counts.sum(), 1)) if self.known is not None else 0.0
 
 
-def shares_of(counts: np.ndarray) -> np.ndarray:
+class Rows:
+    """Subword counts of texts, packed; a few rows at a time are written out as numbers for each bucket."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for one in self.packed:
+            yield unpacked(one)
+
+    def take(self, chosen: np.ndarray) -> Rows:
+        return Rows([self.packed[k] for k in (np.flatnonzero(chosen) if chosen.dtype == bool else chosen).tolist()])
+
+    def dense(self, chosen: np.ndarray) -> np.ndarray:
+        return np.stack([unpacked(self.packed[k]) for k in chosen.tolist()]).astype(np.float32)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.diff(at, prepend=0).astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    data = zlib.decompress(value)
+    n = len(data) // 6
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.int64)] = np.frombuffer(data, np.uint32, n, 2 * n) if n else []
+    return counts
+
+
+def shares_of(counts: Rows) -> np.ndarray:
     """Log share of each bucket, every row counting the same; buckets never seen get a little."""
     seen = np.full(BUCKETS, 1e-3)
     for row in counts:
@@ -92,8 +126,8 @@ def shuffled(text: str) -> str:
     return np.random.default_rng(len(points)).permutation(points).tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def train(counts: np.ndarray, marks: np.ndarray, languages: list[str], seed: int = 1) -> Model:
-    """Embeddings and softmax by stochastic gradient descent with a falling rate; ``counts`` is rows x BUCKETS."""
+def train(counts: Rows, marks: np.ndarray, languages: list[str], seed: int = 1) -> Model:
+    """Embeddings and softmax by stochastic gradient descent with a falling rate; ``counts`` stays packed but for a batch."""
     rng = np.random.default_rng(seed)
     kinds = len(languages)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -105,7 +139,7 @@ def train(counts: np.ndarray, marks: np.ndarray, languages: list[str], seed: int
         order = rng.permutation(len(marks))
         for at in range(0, len(order), 32):
             rows = order[at:at + 32]
-            x = counts[rows].astype(np.float32)
+            x = counts.dense(rows)
             x /= np.maximum(x.sum(1, keepdims=True), 1)
             z = x @ embed
             logits = z @ weight + bias
@@ -123,7 +157,7 @@ def train(counts: np.ndarray, marks: np.ndarray, languages: list[str], seed: int
     return Model(languages, (embed @ weight).astype(np.float64), bias.astype(np.float64))
 
 
-def calibrate(model: Model, counts: np.ndarray, marks: np.ndarray, junk: np.ndarray | None = None) -> Model:
+def calibrate(model: Model, counts: Rows, marks: np.ndarray, junk: Rows | None = None) -> Model:
     """Set the temperature (least log loss), the threshold and, with rows of ``junk``, the least likeness.
 
     The threshold is the lowest score above which the asked accuracy holds, but never so high that
@@ -145,7 +179,7 @@ def calibrate(model: Model, counts: np.ndarray, marks: np.ndarray, junk: np.ndar
     spared = float(np.quantile(best[right], LOST_SHARE)) if right.any() else 0.0
     model.threshold = min(risky, spared)
     if junk is not None and len(junk) and right.any():
-        clean = np.array([model.likeness(c) for c in counts[right]])
+        clean = np.array([model.likeness(c) for c in counts.take(right)])
         bad = np.array([model.likeness(c) for c in junk])
         model.least_known = min(float(np.quantile(bad, CAUGHT_SHARE)), float(np.quantile(clean, LOST_SHARE, method="lower")))
     return model
@@ -165,50 +199,37 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     text_batches(docs)
     usable = docs.select(quoted(lang).cast("string").alias("lang"), text_of(text).alias("text"), quoted(doc_id).alias("id"),
                          remainder(quoted(doc_id)).alias("part")).where("lang is not null and part > 0 and text != ''")
-    per = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    per = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     if not per:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     share = SAMPLE_ROWS / len(per)
     space = 1 << 30
     rate = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int(min(1.0, share / r["count"]) * space)))])
 
-    def pack(text: str) -> bytes:
-        c = subword_counts(text)
-        at = np.flatnonzero(c)
-        return at.astype(np.uint16).tobytes() + np.minimum(c[at], 65535).astype(np.uint16).tobytes()
-
     @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([pack(t.as_py()) for t in texts], pa.binary())
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([packed(subword_counts(t.as_py())) for t in texts], pa.binary())
 
     @F.arrow_udf("binary")
-    def packed_shuffled(texts: pa.Array) -> pa.Array:
-        return pa.array([pack(shuffled(t.as_py())) if t.is_valid and has_letter(t.as_py()) else None for t in texts], pa.binary())
+    def counted_shuffled(texts: pa.Array) -> pa.Array:
+        return pa.array([packed(subword_counts(shuffled(t.as_py()))) if t.is_valid and has_letter(t.as_py()) else None for t in texts], pa.binary())
 
     place = F.pmod(F.xxhash64("id", "text"), F.lit(space))
     drawn = usable.withColumn("place", place).where(F.col("place") < F.element_at(rate, F.col("lang")))
     # Rows alike share a place, so the draw alone is no bound; the limit is.
     junk = F.when(F.col("part") == 4, F.col("text"))
-    rows = drawn.select("lang", "part", "place", "id", packed("text").alias("counts"), packed_shuffled(junk).alias("junk")).orderBy("place", "id").limit(2 * SAMPLE_ROWS).collect()
-    rows = [r for r in rows if len(r["counts"])]
+    rows = drawn.select("lang", "part", "place", "id", counted("text").alias("counts"), counted_shuffled(junk).alias("junk")).orderBy("place", "id").limit(2 * SAMPLE_ROWS).toArrow().to_pylist()
+    rows = [r for r in rows if unpacked(r["counts"]).any()]
     languages = sorted({r["lang"] for r in rows})
-
-    def unpacked(values: list[bytes]) -> np.ndarray:
-        counts = np.zeros((len(values), BUCKETS), np.uint16)
-        for k, value in enumerate(values):
-            at, n = np.frombuffer(value, np.uint16).reshape(2, -1)
-            counts[k, at] = n
-        return counts
-
-    counts = unpacked([r["counts"] for r in rows])
-    marks = np.array([languages.index(r["lang"]) for r in rows], int)
-    held = np.array([r["part"] == 4 for r in rows], bool)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    counts = Rows([r["counts"] for r in rows])
+    marks = np.array([languages.index(r["lang"]) for r in rows], int)
+    held = np.array([r["part"] == 4 for r in rows], bool)
     taught = ~held if (~held).any() else held
-    model = train(counts[taught], marks[taught], languages)
-    model.known = shares_of(counts[taught])
-    return calibrate(model, counts[held], marks[held], unpacked([r["junk"] for r in rows if r["junk"]]))
+    model = train(counts.take(taught), marks[taught], languages)
+    model.known = shares_of(counts.take(taught))
+    return calibrate(model, counts.take(held), marks[held], Rows([r["junk"] for r in rows if r["junk"] and unpacked(r["junk"]).any()]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_rejected")) -> DataFrame:
