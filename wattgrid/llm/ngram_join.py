@@ -32,8 +32,8 @@ from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
 from wattgrid.session import checkpointed, discard
 
 SHORT_LIST = 32
-#: Rounds in which a long list's classes meet one pivot.
-PIVOT_ROUNDS = 3
+#: Rounds in which a long list's classes meet one pivot. The first finds most of what pivots can; each costs its own joins and components.
+PIVOT_ROUNDS = 1
 #: Classes of a long list that are compared at once with as many.
 BLOCK = 2048
 #: A shingle that so many classes put first is frequent; the order puts at most ``MOST_FREQUENT`` such last.
@@ -116,7 +116,9 @@ def lists_of(sets: list[np.ndarray]) -> pa.ListArray:
 
 def in_parts(texts: pa.Array, some) -> pa.Array:
     """``some`` of a few texts at a time, so that a batch is never held in several forms at once."""
-    return pa.concat_arrays([some(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)])
+    found = pa.concat_arrays([some(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)])
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 FEATURES = "struct<n:bigint,d1:bigint,d2:bigint,sketch:binary,keys:array<bigint>>"
