@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattgrid.operators import series as W
 from wattgrid.operators.alerts import sustained
 from wattgrid.operators.joins import change_since
-from wattgrid.operators.ordered import fill_gaps, over_rows, position_in_order, running_sum
+from wattgrid.operators.ordered import CHUNK, HALO, chunk_window, chunked, fill_gaps, over_rows, position_in_order, running_sum
 from wattgrid.operators import quantiles as K
 from wattgrid.operators.quantiles import exact_percentiles
 from wattgrid.operators.stats import ks_statistic
@@ -153,3 +153,40 @@ def test_backward_fill_is_linear(spark):
     filled = fill_gaps(rows, ["v"], ["node"], "t")
     # Forward first: only what lies before the first value is filled from behind.
     assert filled.where("v is null or v <> case when id < 49999 then 49999 when id < 99999 then 49999 else 99999 end").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40, 10_000])
+@pytest.mark.parametrize("grain", [60, 3600])
+def test_lookback_by_time(hot, rows, grain):
+    at = hot.withColumn("at", F.unix_seconds("t"))
+    frame = lambda w: F.sum("v").over(w.rangeBetween(-900, 0))
+    cut = chunked(at, ["node"], "at", lookback=900, rows_per_chunk=rows, grain=grain)
+    got = cut.withColumn("sum", frame(chunk_window(["node"], "at"))).filter(~F.col(HALO)).drop(CHUNK, HALO)
+    same(got, at.withColumn("sum", frame(Window.partitionBy("node").orderBy("at"))))
+
+
+def test_a_crowded_slice_is_cut(spark):
+    """One series with all its rows in one hour lies in many chunks; rows of one instant stay together."""
+    df = spark.range(20_000).select(F.lit("a").alias("node"), "id", F.timestamp_micros(F.col("id") * 170_000).alias("t"))
+    sizes = [r["count"] for r in chunked(df, ["node"], "t", rows_per_chunk=500).groupBy(CHUNK).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 600
+    instant = df.withColumn("t", F.timestamp_seconds(F.lit(5)))
+    got = running_sum(instant, "id", "sum", ["node"], "t", ["id"], rows_per_chunk=500).agg(F.max("sum")).first()[0]
+    assert got == 20_000 * 19_999 // 2
+
+
+@pytest.mark.parametrize("rows", [3, 50])
+def test_rate_in_small_chunks(hot, rows):
+    counter = hot.withColumn("c", F.col("id") % 97)
+    at = dict(keys=["node"], time="t", ties=["id"], window_seconds=3600, step_seconds=600)
+    same(W.rate(counter, "c", **at, rows_per_chunk=rows, grain=1200), W.rate(counter, "c", **at, rows_per_chunk=10**6))
+
+
+def test_values_are_not_shuffled_by_a_few_names(spark):
+    """Distances and bins meet their groups' totals by broadcast, as these are written and known to be small."""
+    from wattgrid.operators.stats import histogram
+
+    df = spark.range(5000).select((F.col("id") % 2).cast("string").alias("name"), (F.col("id") * 37 % 501).cast("double").alias("v"), (F.col("id") % 3 > 0).alias("a"))
+    for out in (ks_statistic(df, "v", F.col("a"), ["name"]), histogram(df, "v", 30, ["name"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -12,7 +12,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 USUAL = ["a1_job_metrics_hourly", "a4_prediction_accuracy", "a24_ks_statistic", "a42_validation_score", "j1_j2_combined_dataset",
          "j4_align_by_hour", "j7_power_change_5m", "j12_samples_during_runs", "w3_w4_w5_rolling_features", "w7_counter_rate", "w11_alerts",
-         "w13_queue_length", "c4_iqr_filter", "s18_upsert", "f35_row_statistics", "r2_hourly_load", "r5_held_alerts"]
+         "w13_queue_length", "w9_busy_percent", "f49_scaled_rate", "a12_load_statistics", "a30_node_specs", "a39_value_histograms", "f34_polynomials",
+         "f37_f38_thermal_messages", "a41_compare_recorded", "t5_top_recorded", "s24_saved_model", "m2_normal_equations", "m19_a20_cluster_members", "c4_iqr_filter", "s18_upsert", "f35_row_statistics", "r2_hourly_load", "r5_held_alerts"]
 
 
 @pytest.fixture(scope="module")

@@ -199,3 +199,20 @@ def test_keys_are_cut_before_the_shuffle(spark):
     plan = S.one_per_key(df, ["k"], [F.desc("id")])
     assert sorted(r.id for r in plan.collect()) == [97, 98, 99]
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spreads_and_bounds_of_several_columns(spark):
+    draw = np.random.default_rng(3)
+    rows = [(str(k % 3), float(a), float(b) if k % 7 else None) for k, (a, b) in enumerate(draw.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {r.g: r for r in A.spreads(df, {"a": "a_", "b": "b_"}, ["g"], {"p95": 0.95, "p50": 0.5}).collect()}
+    for g, r in got.items():
+        for k, c in ((1, "a"), (2, "b")):
+            own = [x[k] for x in rows if x[0] == g and x[k] is not None]
+            assert [r[f"{c}_{n}"] for n in ("avg", "std", "p95", "p50")] == pytest.approx([np.mean(own), np.std(own, ddof=1), *np.percentile(own, [95, 50])])
+    kept = C.iqr_filter(df, ["a", "b"], reach=0.2)
+    lo, hi = np.percentile([x[1] for x in rows], [15, 85])
+    first = [x for x in rows if lo - 0.2 * (hi - lo) <= x[1] <= hi + 0.2 * (hi - lo)]
+    lo, hi = np.percentile([x[2] for x in first if x[2] is not None], [15, 85])
+    want = [x for x in first if x[2] is not None and lo - 0.2 * (hi - lo) <= x[2] <= hi + 0.2 * (hi - lo)]
+    assert sorted((r.g, r.a, r.b) for r in kept.collect()) == sorted(want)

@@ -35,18 +35,21 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], low: float = 0.15, high: f
 
     Columns are treated one after another: the bounds of each come from the rows
     the earlier ones left, which takes one job per column and two numbers back
-    on the driver.  The bounds then are literals, so the scan can use them.
+    on the driver.  The bounds then are literals, so the scan can use them.  Those jobs read
+    a slim copy of the treated columns, written once.
     ``one_pass`` takes all bounds from the unfiltered rows instead.  Rows with a
     null in a treated column are dropped.
     """
     names = {"lo": low, "hi": high}
     fixed = column_percentiles(df, columns, names) if one_pass else {}
+    slim = df if one_pass else checkpointed(df.select(*columns))
     for c in columns:
-        got = fixed.get(c) or exact_percentiles(df, c, names).first()
+        got = fixed.get(c) or exact_percentiles(slim, c, names).first()
         if got.lo is None:
             return df.filter(F.lit(False))
         margin = reach * (got.hi - got.lo)
-        df = df.filter((F.col(c) >= got.lo - margin) & (F.col(c) <= got.hi + margin))
+        inside = (F.col(c) >= got.lo - margin) & (F.col(c) <= got.hi + margin)
+        df, slim = df.filter(inside), slim.filter(inside)
     return df
 
 

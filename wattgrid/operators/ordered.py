@@ -3,18 +3,21 @@
 A plain window over ``partitionBy(node)`` puts a whole node into one task.  Here
 each series is cut along time into chunks of about ``rows_per_chunk`` rows:
 
-1. count rows per (series, time slice) - a map-side combined aggregate;
+1. count rows per (series, time slice) - a map-side combined aggregate, written as a small table - and
+   once more by finer parts in the slices that hold more rows than a chunk should;
 2. a prefix sum over those slice counts gives every slice its chunk number, and
    gives every chunk whatever it must know of the earlier ones (a *carry*);
 3. rows join the slice table and are shuffled once, by (series, chunk).
 
-Functions that look back ``k`` rows get the last ``k`` rows before their chunk
+Functions that look back ``k`` rows, or a span of time, get the rows before their chunk
 as extra *halo* rows, which are removed after the window.  The slice table has
-one row per series and slice, so it grows with the time span, not the row count.
+one row per series and slice, so it grows with the time span, not the row count; a crowded
+slice adds at most ``PARTS`` rows for more than a chunk of rows. Rows of one instant stay together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -31,7 +34,10 @@ ROWS_PER_CHUNK = 20_000
 GRAIN_SECONDS = 3600
 GRAIN_SECONDS_OF_ALL = 60
 
-CHUNK, HALO, SLICE = "_chunk", "_halo", "_slice"
+# Parts of a slice with more rows than a chunk: seconds of an hour.
+PARTS = 3600
+
+CHUNK, HALO, SLICE, PART = "_chunk", "_halo", "_slice", "_part_of_slice"
 
 
 @dataclass(frozen=True)
@@ -54,38 +60,61 @@ def seconds_between(later: Column | str, earlier: Column | str) -> Column:
     return (epoch_us(later) - epoch_us(earlier)) / F.lit(1_000_000.0)
 
 
-def _slice_of(df: DataFrame, order: str, grain: float) -> Column:
+def _place(df: DataFrame, order: str, grain: float) -> tuple[Column, float]:
+    """The order as a number, and the width of a slice in its unit."""
     if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(epoch_us(order) / F.lit(int(grain * 1_000_000)))
-    return F.floor(F.col(order) / F.lit(grain))
+        return epoch_us(order), int(grain * 1_000_000)
+    return F.col(order), grain
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_k_{c}"]) for c in columns))
 
 
+def _slices(df: DataFrame, keys: Sequence[str], at: Column, width: float, sums: Sequence[Column], rows_per_chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the slice and part of each row, and the table of what each holds."""
+    rows = df.withColumn(SLICE, F.floor(at / F.lit(width)))
+    table = checkpointed(rows.groupBy(*keys, SLICE).agg(*sums))
+    whole = F.lit(0).cast("bigint")
+    crowded = F.col("_n") > F.lit(int(rows_per_chunk))
+    if table.filter(crowded).isEmpty():
+        return rows.withColumn(PART, whole), table.withColumn(PART, whole)
+    split = table.filter(crowded).select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, SLICE)], F.lit(True).alias("_split"))
+    part = F.floor((at - F.col(SLICE) * F.lit(width)) / F.lit(width) * PARTS).cast("bigint")
+    part = F.greatest(F.lit(0), F.least(part, F.lit(PARTS - 1)))
+    rows = rows.join(split, _same(rows, split, [*keys, SLICE]), "left").drop(*split.columns[:-1])
+    rows = rows.withColumn(PART, F.coalesce(F.when(F.col("_split"), part), whole))
+    fine = rows.filter("_split").groupBy(*keys, SLICE, PART).agg(*sums)
+    table = checkpointed(table.filter(~crowded).withColumn(PART, whole).unionByName(fine))
+    return rows.drop("_split"), table
+
+
 def chunked(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     *,
     lookback_rows: int = 0,
+    lookback: float = 0,
     carries: Sequence[Carry] = (),
     rows_per_chunk: int = ROWS_PER_CHUNK,
     grain: float | None = None,
 ) -> DataFrame:
-    """Add ``_chunk``, ``_halo`` and one ``_carry_<name>`` column per carry."""
+    """Add ``_chunk``, ``_halo`` and one ``_carry_<name>`` column per carry.
+
+    Halo rows are the ``lookback_rows`` rows before a chunk, or all rows up to ``lookback`` before it
+    (seconds for times, else units of the order; whole slices, so some reach further back).
+    """
     grain = grain or (GRAIN_SECONDS if keys else GRAIN_SECONDS_OF_ALL)
-    if lookback_rows and carries:
-        raise ValueError("a carry counts each row once, so it cannot be used with halo rows")
-    sliced = df.withColumn(SLICE, _slice_of(df, order, grain))
-    table = sliced.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias("_n"), *[c.partial.alias(f"_p_{c.name}") for c in carries]
-    )
+    if bool(lookback_rows) + bool(lookback) + bool(carries) > 1:
+        raise ValueError("a carry counts each row once, so it cannot be used with halo rows, which go back by rows or by a span")
+    at, width = _place(df, order, grain)
+    sums = [F.count(F.lit(1)).alias("_n"), *[c.partial.alias(f"_p_{c.name}") for c in carries]]
+    sliced, table = _slices(df, keys, at, width, sums, rows_per_chunk)
     series = Window.partitionBy(*keys)
-    earlier = series.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = series.orderBy(SLICE, PART).rowsBetween(Window.unboundedPreceding, -1)
     # Later slices are the earlier ones of the reversed order: a growing frame, where one up to the end starts anew for each row.
-    later = series.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    later = series.orderBy(F.desc(SLICE), F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     size = F.lit(int(rows_per_chunk))
     table = table.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     for c in carries:
@@ -93,20 +122,24 @@ def chunked(
         table = table.withColumn(f"_q_{c.name}", c.combine(F.col(f"_p_{c.name}")).over(frame))
     table = table.withColumn(CHUNK, F.floor(F.col("_before") / size))
     within = Window.partitionBy(*keys, CHUNK)
-    whole = within.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = within.orderBy(SLICE, PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for c in carries:
         pick = F.last if c.backward else F.first
         table = table.withColumn(f"_carry_{c.name}", pick(f"_q_{c.name}").over(whole))
-    last_chunk = F.floor((F.col("_before") + F.col("_n") + F.lit(lookback_rows - 1)) / size)
-    if lookback_rows:
+    if lookback_rows or lookback:
+        if lookback:
+            last_chunk = F.max(CHUNK).over(series.orderBy(SLICE).rangeBetween(0, math.ceil(lookback / grain)))
+        else:
+            last_chunk = F.floor((F.col("_before") + F.col("_n") + F.lit(lookback_rows - 1)) / size)
+        table = table.withColumn("_last", last_chunk)
         table = (
             table.withColumn("_own", F.col(CHUNK))
-            .withColumn(CHUNK, F.explode(F.sequence("_own", F.greatest(last_chunk, F.col("_own")))))
+            .withColumn(CHUNK, F.explode(F.sequence("_own", F.greatest("_last", "_own"))))
             .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
         )
     else:
         table = table.withColumn(HALO, F.lit(False))
-    joined_on = [*keys, SLICE]
+    joined_on = [*keys, SLICE, PART]
     table = table.select(
         *[F.col(k).alias(f"_k_{k}") for k in joined_on],
         CHUNK,
@@ -114,7 +147,7 @@ def chunked(
         *[f"_carry_{c.name}" for c in carries],
     )
     joined = sliced.join(table, _same(sliced, table, joined_on), "inner")
-    return joined.drop(SLICE, *[f"_k_{k}" for k in joined_on])
+    return joined.drop(SLICE, PART, *[f"_k_{k}" for k in joined_on])
 
 
 def chunk_window(keys: Sequence[str], order: str, ties: Sequence[str] = ()) -> WindowSpec:

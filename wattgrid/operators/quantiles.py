@@ -137,12 +137,17 @@ def _attach(base: DataFrame, state: DataFrame, group: Sequence[str], fields: Seq
     return base.join(renamed, on).drop(*[f"_k_{k}" for k in group])
 
 
-def column_percentiles(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> dict[str, Row]:
-    """Exact percentiles of several columns in one go, as one small row per column.
+def percentiles_by_column(df: DataFrame, columns: Sequence[str], names: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles of several columns, by group: one row per key and ``column``.
 
     The columns become (column, value) rows, so that all share the same few passes.
     """
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    long = df.select(F.inline(F.array(*cells)))
-    found = {r["column"]: r for r in exact_percentiles(long, "value", names, ["column"]).collect()}
+    long = df.select(*keys, F.inline(F.array(*cells)))
+    return exact_percentiles(long, "value", names, [*keys, "column"])
+
+
+def column_percentiles(df: DataFrame, columns: Sequence[str], names: dict[str, float]) -> dict[str, Row]:
+    """Exact percentiles of several columns in one go, as one small row per column."""
+    found = {r["column"]: r for r in percentiles_by_column(df, columns, names).collect()}
     return {c: Row(*names)(*[found[c][n] if c in found else None for n in names]) for c in columns}

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from wattgrid.operators.ordered import (
     CHUNK,
+    GRAIN_SECONDS,
     HALO,
+    chunk_window,
     chunked,
     epoch_us,
     over_rows,
@@ -68,7 +70,8 @@ def rate(samples: DataFrame, counter: str, keys: Sequence[str], time: str, ties:
     """Per-second rise over (T - window, T] at each step T that received a sample.
 
     Samples are first reduced to one row per series and step; the sliding window
-    runs over those rows only.  The divisor is the span the window's samples cover.
+    runs over those rows only, in chunks that know the window's span before them.  The divisor is the
+    span the window's samples cover.
     """
     if window_seconds % step_seconds:
         raise ValueError("the window must be a whole number of steps")
@@ -83,12 +86,15 @@ def rate(samples: DataFrame, counter: str, keys: Sequence[str], time: str, ties:
         F.coalesce(F.sum(F.when(enters, F.col("increase"))), F.lit(0)).alias("_entering"),
         F.min(epoch_us(time)).alias("_first"), F.max(epoch_us(time)).alias("_last"),
     )
-    w = Window.partitionBy(*keys).orderBy("_step").rangeBetween(-(window_seconds // step_seconds - 1), 0)
+    reach = window_seconds // step_seconds - 1
+    steps = {**chunking, "grain": max(1, (chunking.get("grain") or GRAIN_SECONDS) // step_seconds)}
+    cells = chunked(cells, keys, "_step", lookback=reach, **steps)
+    w = chunk_window(keys, "_step").rangeBetween(-reach, 0)
     rise = F.coalesce(F.sum("_sum").over(w), F.lit(0)) - F.first("_entering").over(w)
     span = (F.max("_last").over(w) - F.min("_first").over(w)) / 1_000_000.0
-    out = cells.select(*keys, (F.col("_step") * step_seconds).alias("at_epoch"), F.sum("_n").over(w).alias("samples"),
+    out = cells.select(*keys, HALO, (F.col("_step") * step_seconds).alias("at_epoch"), F.sum("_n").over(w).alias("samples"),
                        F.try_divide(rise.cast("double"), span).alias("rate"))
-    return out.filter(F.col("samples") > 1)
+    return out.filter(~F.col(HALO) & (F.col("samples") > 1)).drop(HALO)
 
 
 def instant_rate(samples: DataFrame, counter: str, keys: Sequence[str], time: str, ties: Sequence[str] = (),

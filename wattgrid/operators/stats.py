@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattgrid.operators.ordered import position_in_order
-from wattgrid.operators.quantiles import exact_percentiles
+from wattgrid.operators.quantiles import exact_percentiles, percentiles_by_column
+from wattgrid.session import checkpointed
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,6 +45,15 @@ def spread(df: DataFrame, value: str, keys: Sequence[str] = (), percentiles: dic
     return join_on(basic, exact, keys)
 
 
+def spreads(df: DataFrame, columns: dict[str, str], keys: Sequence[str], percentiles: dict[str, float]) -> DataFrame:
+    """``spread`` of several columns (column -> prefix), whose percentiles share the same passes."""
+    measures = {"avg": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}
+    basic = df.groupBy(*keys).agg(*[f(c).alias(f"{p}{n}") for c, p in columns.items() for n, f in measures.items()])
+    exact = percentiles_by_column(df, list(columns), percentiles, keys).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("column") == c, F.col(n))).alias(f"{p}{n}") for c, p in columns.items() for n in percentiles])
+    return join_on(basic, exact, keys)
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, as rows (i, j, r).
 
@@ -134,10 +144,11 @@ def ks_statistic(df: DataFrame, value: str, is_first: Column, keys: Sequence[str
     counts = base.groupBy(*keys, value).agg(
         F.count_if(is_first).alias("_a"), F.count_if(~is_first).alias("_b"))
     summed = position_in_order(counts, [*keys, value], "_pos", {"_ca": "_a", "_cb": "_b"})
-    # Totals per key; the window over them only sees one row per key.
+    # Totals per key, written so that their size is known: Spark broadcasts them if it is small, and the values stay where they are.
+    totals = checkpointed(summed.groupBy(*keys).agg(F.sum("_a").alias("n"), F.sum("_b").alias("m")))
+    # This window only sees one row per key.
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys).agg(F.sum("_a").alias("n"), F.sum("_b").alias("m")).withColumns({
-        "_ba": F.coalesce(F.sum("n").over(before), F.lit(0)), "_bb": F.coalesce(F.sum("m").over(before), F.lit(0))})
+    totals = totals.withColumns({"_ba": F.coalesce(F.sum("n").over(before), F.lit(0)), "_bb": F.coalesce(F.sum("m").over(before), F.lit(0))})
     gap = F.abs((F.col("_ca") - F.col("_ba")) / F.col("n") - (F.col("_cb") - F.col("_bb")) / F.col("m"))
     out = summed.join(totals, keys).groupBy(*keys, "n", "m").agg(F.max(gap).alias("ks_statistic"))
     out = out.withColumns({
@@ -217,7 +228,8 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     width = (F.col("_hi") - F.col("_lo")) / bins
     cell = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0)), F.lit(bins - 1))
     if keys:
-        ranged = known.join(edges, list(keys))
+        # Written, so that their size is known and small ones are broadcast.
+        ranged = known.join(checkpointed(edges), list(keys))
     else:
         bounds = edges.select(F.struct("_lo", "_hi")).scalar()
         ranged = known.select(value, bounds.alias("_e")).select(value, "_e.*")
@@ -260,10 +272,10 @@ def cluster_power(samples: DataFrame) -> DataFrame:
 
 def node_specs(samples: DataFrame) -> DataFrame:
     """Node capacity estimated from its busiest samples."""
-    cpu = exact_percentiles(samples, "cpu_usage", {"p95_cpu": 0.95}, ["node_id"])
-    memory = exact_percentiles(samples, "memory_usage", {"p95_memory": 0.95}, ["node_id"])
+    busy = percentiles_by_column(samples, ["cpu_usage", "memory_usage"], {"p95": 0.95}, ["node_id"]).groupBy("node_id").agg(*[
+        F.max(F.when(F.col("column") == f"{c}_usage", F.col("p95"))).alias(f"p95_{c}") for c in ("cpu", "memory")])
     power = samples.groupBy("node_id").agg(F.max("power_consumption_watts").alias("max_power"))
-    return cpu.join(memory, "node_id").join(power, "node_id").select(
+    return busy.join(power, "node_id").select(
         "node_id",
         F.greatest(F.lit(4), F.floor(F.col("p95_cpu") / 10)).cast("int").alias("cpu_cores"),
         F.greatest(F.lit(8000), F.floor("p95_memory")).cast("int").alias("memory_mb"),

@@ -269,9 +269,9 @@ def _(t):
 
 
 @query("f34_polynomials", "select job_id, " + ", ".join(
-    f'{a} * {b} as "poly_{a}{"^2" if a == b else " " + b}"' for i, a in enumerate(_FIVE[:3]) for b in _FIVE[i:3]) + " from job_metrics")
+    f'{a} * {b} as "poly_{a}{"^2" if a == b else " " + b}"' for i, a in enumerate(_FIVE) for b in _FIVE[i:]) + " from job_metrics")
 def _(t):
-    df, added = X.polynomials(t.job_metrics, _FIVE[:3])
+    df, added = X.polynomials(t.job_metrics, _FIVE)
     return df.select("job_id", *added)
 
 

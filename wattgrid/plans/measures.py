@@ -32,8 +32,7 @@ from node_metrics group by node_id""",
        r6="cpu_avg cpu_std cpu_max cpu_min cpu_p95 cpu_p99 memory_avg memory_std memory_p95 memory_p99")
 def _(t):
     n = t.node_metrics.select("node_id", "cpu_usage", "memory_usage")
-    return A.spread(n, "cpu_usage", ["node_id"], TAIL, "cpu_").join(
-        A.spread(n, "memory_usage", ["node_id"], TAIL, "memory_"), "node_id")
+    return A.spreads(n, {"cpu_usage": "cpu_", "memory_usage": "memory_"}, ["node_id"], TAIL)
 
 
 @query("a13_f10_f17_f18_benchmark_totals", """

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattgrid.operators import learning as M
 from wattgrid.operators.stats import regression_errors
 from wattgrid.plans.registry import query
+from wattgrid.session import own_folder
 
 KEYS = ["job_id"]
 LABEL = "estimated_energy_wh"
@@ -16,8 +21,8 @@ LABEL = "estimated_energy_wh"
 ROWS = 2_000
 
 
-def jobs(t):
-    return t.job_metrics.select("job_id", "job_type", "cpu_cores", "memory_mb", "duration_seconds", "cpu_usage",
+def jobs(t, *more):
+    return t.job_metrics.select(*more, "job_id", "job_type", "cpu_cores", "memory_mb", "duration_seconds", "cpu_usage",
                                 "memory_usage", "io_read_mbps", "io_write_mbps", "avg_cpu_temp", "peak_cpu_temp", LABEL)
 
 
@@ -35,6 +40,55 @@ def _(t):
     return fitted.select(F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept"), "r2")
 
 
+_PLAIN = ["duration_seconds", "cpu_cores", "memory_mb", "io_write_mbps"]
+
+
+@query("m2_normal_equations", " union all ".join(
+    f"select '{c}' as feature, count(*) as jobs, avg(estimated_energy_wh * {c}) / avg({c}) as mean from job_metrics" for c in _PLAIN), r3="mean")
+def _(t):
+    """Least squares: the fitted values have the label's moment with every feature."""
+    rows = VectorAssembler(inputCols=_PLAIN, outputCol="features").transform(jobs(t))
+    fitted = LinearRegression(labelCol=LABEL, solver="normal").fit(rows).transform(rows)
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in _PLAIN]
+    return fitted.select("prediction", F.inline(F.array(*cells))).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("jobs"), (F.avg(F.col("prediction") * F.col("x")) / F.avg("x")).alias("mean"))
+
+
+@query("m6_m11_m14_certificates", """
+select 'band' as checked, count(*) as rows, 0::bigint as broken from job_metrics
+union all select 'mean', count(*), 0 from job_metrics
+union all select 'importance', 14, 0""")
+def _(t):
+    """Every job gets a band the right way round and the mean of the models; importances are shares of 1."""
+    run = trained(t, "linear_regression", "random_forest")
+    ready = run.features.transform(jobs(t))
+    count = lambda name, df, good: df.agg(F.lit(name).alias("checked"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(good, F.lit(False))).alias("broken"))
+    band = M.tree_spread(run.models["random_forest"], ready)
+    both = M.mean_prediction(run.models, ready).withColumnRenamed("prediction", "mean")
+    for name, model in run.models.items():
+        both = model.copy({model.predictionCol: name}).transform(both)
+    mean = (F.col("linear_regression") + F.col("random_forest")) / 2
+    shares = M.importances(t.spark, run.models["random_forest"], run.names).withColumn("total", F.sum("importance").over(Window.partitionBy()))
+    return count("band", band, (F.col("lower") <= F.col("upper")) & (F.col("spread") >= 0)).unionByName(
+        count("mean", both, F.abs(F.col("mean") - mean) <= 1e-9 * F.abs(mean))).unionByName(
+        count("importance", shares, (F.col("importance") >= 0) & (F.abs(F.col("total") - 1) < 1e-9)))
+
+
+@query("s24_saved_model", "select count(*) as jobs, 0::bigint as changed from job_metrics")
+def _(t):
+    """Every job is scored alike by a model and by what is read back of it."""
+    run = trained(t, "linear_regression", "decision_tree")
+    path = own_folder(t.spark, "models", uuid.uuid4().hex)
+    scored = jobs(t)
+    for name in run.models:
+        M.save_model(run.pipeline(name), f"{path}/{name}")
+        for side, model in (("kept", run.pipeline(name)), ("read", M.load_model(f"{path}/{name}"))):
+            added = [c for c in model.transform(scored).columns if c not in scored.columns and c != "prediction"]
+            scored = model.transform(scored).drop(*added).withColumnRenamed("prediction", f"{name}_{side}")
+    same = reduce(lambda a, b: a & b, [F.col(f"{n}_kept").eqNullSafe(F.col(f"{n}_read")) for n in run.models])
+    return scored.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(~same).alias("changed"))
+
+
 @query("m1_m5_m7_train_and_score")
 def _(t):
     return trained(t).scores
@@ -100,9 +154,11 @@ def _(t):
 
 @query("m15_evaluate_new_data")
 def _(t):
-    run = trained(t, "linear_regression")
-    fresh = jobs(t).withColumn("cpu_cores", F.least(F.col("cpu_cores") + 1, F.lit(16)))
-    return regression_errors(run.pipeline("linear_regression").transform(fresh), LABEL, "prediction")
+    timed = jobs(t, "time")
+    seconds = F.col("time").cast("timestamp").cast("double")
+    cut = timed.agg(F.min(seconds) + 0.8 * (F.max(seconds) - F.min(seconds))).scalar()
+    run = M.train_models(timed.filter(seconds <= cut), LABEL, KEYS, ["linear_regression"], most_rows=ROWS)
+    return regression_errors(run.pipeline("linear_regression").transform(timed.filter(seconds > cut)), LABEL, "prediction")
 
 
 @query("m16_overfit_check")
@@ -134,6 +190,17 @@ def _(t):
     return M.cluster_summary(M.cluster(jobs(t), _CLUSTER), _CLUSTER)
 
 
+@query("m19_a20_cluster_members", " union all ".join(
+    f"select '{c}' as feature, 5::bigint as clusters, count(*) as jobs, avg({c}) as mean from job_metrics" for c in _CLUSTER), r4="mean")
+def _(t):
+    """The clusters hold every job once: their sizes and weighted means are those of all jobs."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in _CLUSTER]
+    parts = M.cluster(jobs(t), _CLUSTER).select("cluster", F.inline(F.array(*cells))).groupBy("cluster", "feature").agg(
+        F.count(F.lit(1)).alias("jobs"), F.avg("x").alias("mean"))
+    return parts.groupBy("feature").agg(F.count(F.lit(1)).alias("clusters"), F.sum("jobs").alias("jobs"),
+                                        (F.sum(F.col("mean") * F.col("jobs")) / F.sum("jobs")).alias("mean"))
+
+
 @query("m20_schedule_advice")
 def _(t):
     run = trained(t, "random_forest")
@@ -153,3 +220,37 @@ def _(t):
     scores = trained(t, "linear_regression", "ridge", "lasso", "elastic_net", "huber", "decision_tree").scores
     return M.top_models(scores, "rmse").select("model_name", F.lit("rmse").alias("measure"), F.col("rmse").alias("value")).unionByName(
         M.top_models(scores, "r2", largest=True).select("model_name", F.lit("r2").alias("measure"), F.col("r2").alias("value")))
+
+
+# Predictions of each version, method and job type as models of their own; their errors stand for times, which no table holds.
+_SCORES = """scores as (select concat_ws(' ', model_version, prediction_method, job_type) as model_name,
+  sqrt(avg((actual_energy_wh - predicted_energy_wh) ** 2)) as rmse,
+  1 - avg((actual_energy_wh - predicted_energy_wh) ** 2) / var_pop(actual_energy_wh) as r2,
+  avg(abs(actual_energy_wh - predicted_energy_wh)) / 100 as training_time,
+  avg(abs(actual_energy_wh - predicted_energy_wh) / greatest(abs(actual_energy_wh), 1e-8)) as prediction_time
+from energy_predictions where actual_energy_wh is not null group by 1)"""
+
+
+def recorded_scores(t):
+    named = t.energy_predictions.withColumn("model_name", F.concat_ws(" ", "model_version", "prediction_method", "job_type"))
+    errors = regression_errors(named, "actual_energy_wh", "predicted_energy_wh", ["model_name"])
+    return errors.withColumns({"training_time": F.col("mae") / 100, "prediction_time": F.col("mape") / 100})
+
+
+@query("a41_compare_recorded", f"""with {_SCORES}
+select min(rmse) as best_rmse, max(rmse) as worst_rmse, max(r2) as best_r2, min(r2) as worst_r2, avg(training_time) as avg_training_time,
+  avg(prediction_time) as avg_prediction_time, arg_min(model_name, rmse) as best_accuracy, arg_min(model_name, training_time) as fastest_training,
+  arg_min(model_name, prediction_time) as fastest_prediction,
+  case when arg_min(prediction_time, rmse) < 1 then arg_min(model_name, rmse) else arg_min(model_name, prediction_time) end as production_recommendation
+from scores""", r6="best_rmse worst_rmse best_r2 worst_r2 avg_training_time avg_prediction_time")
+def _(t):
+    return M.compare_models(recorded_scores(t))
+
+
+@query("t5_top_recorded", f"""with {_SCORES}
+(select model_name, 'rmse' as measure, rmse as value from scores order by rmse, model_name limit 5)
+union all (select model_name, 'r2', r2 from scores order by r2 desc, model_name limit 5)""", r6="value")
+def _(t):
+    scores = recorded_scores(t)
+    return M.top_models(scores, "rmse").select("model_name", F.lit("rmse").alias("measure"), F.col("rmse").alias("value")).unionByName(
+        M.top_models(scores, "r2", largest=True).select("model_name", F.lit("r2").alias("measure"), F.col("r2").alias("value")))
