@@ -24,6 +24,7 @@ from wattgrid.operators.ordered import (
     seconds_between,
     with_previous,
 )
+from wattgrid.session import checkpointed
 
 LAGS = (1, 2, 3, 6, 12, 24)
 WINDOWS = (3, 6, 12, 24)
@@ -88,7 +89,7 @@ def rate(samples: DataFrame, counter: str, keys: Sequence[str], time: str, ties:
     )
     reach = window_seconds // step_seconds - 1
     steps = {**chunking, "grain": max(1, (chunking.get("grain") or GRAIN_SECONDS) // step_seconds)}
-    cells = chunked(cells, keys, "_step", lookback=reach, **steps)
+    cells = chunked(checkpointed(cells), keys, "_step", lookback=reach, **steps)
     w = chunk_window(keys, "_step").rangeBetween(-reach, 0)
     rise = F.coalesce(F.sum("_sum").over(w), F.lit(0)) - F.first("_entering").over(w)
     span = (F.max("_last").over(w) - F.min("_first").over(w)) / 1_000_000.0
