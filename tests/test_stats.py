@@ -1,7 +1,8 @@
 """Statistics, cleaning, joins and models on small frames and their edge cases."""
 
 import math
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -103,6 +104,35 @@ def test_interval_join_crosses_buckets(spark):
     assert got == [(1, i) for i in range(1, 7)] + [(2, 4)]
 
 
+def test_run_statistics_without_pairs(spark):
+    draw = random.Random(5)
+    at = lambda seconds: datetime(2024, 1, 1) + timedelta(seconds=seconds)
+    nodes = ["a", "b", None]
+    samples = [(draw.choice(nodes), at(draw.randrange(40_000)) if i % 50 else None, None if i % 7 == 0 else draw.random() * 100) for i in range(1500)]
+    spans = [(draw.randrange(40_000), draw.randrange(-200, 30_000)) for _ in range(150)]
+    runs = [(i // 2 if i % 9 else None, draw.choice(nodes), at(s), at(s + d) if i % 13 else None) for i, (s, d) in enumerate(spans)] * 2
+    runs += [(900, "a", samples[3][1] or at(0), samples[3][1] or at(0)), (901, "a", at(50_000), at(60_000))]
+    s = spark.createDataFrame(samples, "node_id string, time timestamp, x double").cache()
+    r = spark.createDataFrame(runs, "run_id int, node_id string, start_time timestamp, end_time timestamp")
+    pairs = J.during_runs(s, r).groupBy("run_id").agg(F.avg("x"), F.sum("x"), F.max("x"), F.stddev_samp("x"), F.count("x"))
+    expected = {row[0]: row[1:] for row in pairs.collect()}
+    for rows_per_chunk in (30, 20_000):
+        stats = J.stats_during_runs(s, r, ["x"], rows_per_chunk=rows_per_chunk)
+        got = {row[0]: row[1:] for row in stats.select("run_id", J.mean_of("x"), J.sum_of("x"), J.largest_of("x"), J.deviation_of("x"), "x_n").collect()}
+        assert got.keys() == expected.keys()
+        for k, row in got.items():
+            assert row == pytest.approx(expected[k], rel=1e-9, abs=1e-6), (k, rows_per_chunk)
+
+
+def test_run_statistics_grow_with_the_rows(spark):
+    """All runs cover all samples: the pairs would be 25 million."""
+    at = F.timestamp_seconds(F.col("id") * 10)
+    s = spark.range(5000).select(F.lit("a").alias("node_id"), at.alias("time"), F.col("id").cast("double").alias("x"))
+    r = spark.range(5000).select(F.col("id").alias("run_id"), F.lit("a").alias("node_id"), F.timestamp_seconds(-F.col("id")).alias("start_time"), F.timestamp_seconds(F.lit(10**6)).alias("end_time"))
+    stats = J.stats_during_runs(s, r, ["x"], rows_per_chunk=500)
+    assert stats.groupBy("x_n", "x_sum", "x_max").count().collect() == [(5000, 4999 * 2500.0, 4999.0, 5000)]
+
+
 def test_formulas_guard_zero(spark):
     df = spark.createDataFrame([(0.0,)], "z double")
     row = df.select(P.efficiency_score("z", "z", "z").alias("e"), P.performance_per_watt("z", "z", "z").alias("p"),
