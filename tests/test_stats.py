@@ -246,3 +246,20 @@ def test_spreads_and_bounds_of_several_columns(spark):
     lo, hi = np.percentile([x[2] for x in first if x[2] is not None], [15, 85])
     want = [x for x in first if x[2] is not None and lo - 0.2 * (hi - lo) <= x[2] <= hi + 0.2 * (hi - lo)]
     assert sorted((r.g, r.a, r.b) for r in kept.collect()) == sorted(want)
+
+
+def test_training_joins_once_and_in_few_tasks(tables):
+    run = M.train_models(jobs(tables).repartition(7), LABEL, KEYS, ["linear_regression"], most_rows=300)
+    assert run.train.count() == 300 and run.train.rdd.getNumPartitions() == 1
+    assert "Join" not in run.test._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sample_numbers_few_rows(spark, monkeypatch):
+    numbered = []
+    whole = S.position_in_order
+    monkeypatch.setattr(S, "position_in_order", lambda df, *a: numbered.append(df.count()) or whole(df, *a))
+    df = spark.range(40_000)
+    got = {r.id for r in S.sample_exact(df, 100, ["id"], 7).collect()}
+    order = [r.id for r in df.orderBy(S.hash_order(["id"], 7), "id").limit(100).collect()]
+    assert got == set(order) and numbered[0] < 200
+    assert S.sample_exact(df, 0, ["id"]).count() == 0 and S.sample_exact(df.limit(5), 9, ["id"]).count() == 5

@@ -9,6 +9,7 @@ from wattgrid.operators import cleaning as C
 from wattgrid.operators import series as W
 from wattgrid.operators.scans import sample_exact, union_all
 from wattgrid.plans.registry import query
+from wattgrid.session import checkpointed
 
 _GAPPY = """gappy as (select sample_id, time, node_id, case when cpu_temp > 60 then null else cpu_temp end as cpu_temp,
   case when memory_usage < 50 then null else memory_usage end as memory_usage,
@@ -189,8 +190,9 @@ def _(t):
 
 @query("c17_feature_selection")
 def _(t):
-    names = C.varied_features(t.job_metrics, [*_FEATURES, "avg_cpu_temp", "avg_power_watts"])
-    return t.job_metrics.select("job_id", *names)
+    wanted = [*_FEATURES, "avg_cpu_temp", "avg_power_watts"]
+    rows = checkpointed(t.job_metrics.select("job_id", *wanted))  # joined once for all passes
+    return rows.select("job_id", *C.varied_features(rows, wanted))
 
 
 @query("c18_usable_jobs", """
