@@ -16,6 +16,7 @@ from wattgrid.operators import learning as M
 from wattgrid.operators import scans as S
 from wattgrid.operators import stats as A
 from wattgrid.plans.models import KEYS, LABEL, jobs
+from wattgrid.session import SMALL_GROUPS, checkpointed
 
 
 def test_published_score(spark):
@@ -263,3 +264,12 @@ def test_sample_numbers_few_rows(spark, monkeypatch):
     order = [r.id for r in df.orderBy(S.hash_order(["id"], 7), "id").limit(100).collect()]
     assert got == set(order) and numbered[0] < 200
     assert S.sample_exact(df, 0, ["id"]).count() == 0 and S.sample_exact(df.limit(5), 9, ["id"]).count() == 5
+
+
+def test_written_rows_are_read_by_several_tasks(spark):
+    """One file of 2 million rows, each costly to score, is no single task."""
+    wide = spark.range(0, 2_000_000, 1, 1).select("id", F.rand(1).alias("x"), F.rand(2).alias("y"))
+    read = checkpointed(wide, SMALL_GROUPS)
+    assert len(read.inputFiles()) == 1
+    rows = [r[0] for r in read.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(rows) == 2_000_000 and len(rows) > 3 and max(rows) < 1_000_000
