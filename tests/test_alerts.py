@@ -51,3 +51,23 @@ def test_every_rule_has_a_series_or_is_named(spark, tables):
         L.job_and_exporter_series(tables.job_metrics, polls).select("metric"))
     missing = {r[1] for r in L.RULES} - {r.metric for r in made.distinct().collect()} - {"scrape_duration_seconds"}  # a stream's, see r8
     assert missing == {"gpu_temperature_celsius", "disk_used_ratio"}
+
+
+def test_short_series_in_one_row_fire_like_long_ones(spark):
+    from pyspark.sql import functions as F
+
+    values = {"a": [2, 2, 0, 2, None, 2, 2, 2], "b": [0, 0], "c": [2], None: [2, 2, 2], "d": [2] * 6}
+    rows = [(at(h), s, "m", float(v) if v is not None else None) for s, vs in values.items() for h, v in enumerate(vs)]
+    long = spark.createDataFrame(rows, "ts timestamp_ntz, series string, metric string, value double")
+    rules = L.rule_table(spark, [("over", "m", ">", 1.0, 3600, "warning", "x"), ("at once", "m", "=", 2.0, 0, "info", "y")])
+    whole = long.groupBy("series", "metric").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("whole"))
+    mixed = long.filter("series = 'd'").unionByName(whole.filter("not series <=> 'd'"), allowMissingColumns=True)
+    told = lambda df: sorted(map(str, L.alerts(df, rules).collect()))
+    assert told(mixed) == told(long) and len(told(long)) == 10
+
+
+def test_running_jobs_are_shuffled_once_a_job(spark):
+    jobs = jobs_of(spark, [(f"j{k}", at(0), "RUNNING", 1.0) for k in range(50)])
+    polls = spark.createDataFrame([("x", at(0), True)], "target string, time timestamp_ntz, up boolean")
+    series = L.job_and_exporter_series(jobs, polls, as_of=at(40))
+    assert series.filter("metric = 'job_runtime_seconds'").count() == 50
