@@ -190,3 +190,10 @@ def test_values_are_not_shuffled_by_a_few_names(spark):
     for out in (ks_statistic(df, "v", F.col("a"), ["name"]), histogram(df, "v", 30, ["name"])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_in_order_are_shuffled_once(hot):
+    numbered = position_in_order(hot.select("id", "v"), [F.desc("v"), "id"])
+    assert [r.id for r in numbered.orderBy("position").collect()] == [r.id for r in hot.orderBy(F.desc("v"), "id").collect()]
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "PARTITIONED" not in plan.upper().replace("REPARTITIONED", "")
