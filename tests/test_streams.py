@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,27 @@ def test_sliding_rate_counts_each_window(spark, samples):
     for r in df.collect()[:40]:
         inside = [x.counter for x in data if x.node_id == r.node_id and r["at"] - timedelta(minutes=2) <= x.time < r["at"]]
         assert r.samples == len(inside) and r.rate == pytest.approx(sum(inside) / 120)
+
+
+def test_a_series_of_flags_is_held_as_one_number_a_sample(monkeypatch):
+    rng = np.random.default_rng(1)
+    us, ok = rng.integers(0, 5_000_000, 4_000), rng.random(4_000) < 0.9
+    parts = [pd.DataFrame({"us": us[k::4], "holds": ok[k::4]}) for k in range(4)]
+    (due_us, due_ok), (late_us, late_ok) = E.in_order(parts, ([7], [True]), ("us", "holds"), 4_000_000)
+    due, waiting = E.flags_in_order(parts, ([7], [True]), ("us", "holds"), 4_000_000)
+    assert due.dtype == np.int64 and due.nbytes == 8 * len(due_us)
+    for packed, times, flags in ((due, due_us, due_ok), (waiting, late_us, late_ok)):
+        assert E.unpacked(packed)[0].tolist() == times.tolist() and E.unpacked(packed)[1].tolist() == flags.astype(bool).tolist()
+    want = E.held_runs(due_us, due_ok.astype(bool), 10_000, 50_000, None, False, None)
+    monkeypatch.setattr(E, "SAMPLES_AT_ONCE", 97)
+    begun, met, since, fired, last = E.packed_runs(due, 10_000, 50_000, None, False, None)
+    assert (begun.tolist(), met.tolist(), since, fired, last) == (want[0].tolist(), want[1].tolist(), want[2], want[3], int(due_us[-1])) and len(begun) > 50
+    assert E.packed_runs(due[:0], 10_000, 50_000, 5, True, 9)[2:] == (5, True, 9)
+
+
+def test_held_alerts_pass_over_samples_without_a_time(spark, tmp_path):
+    rows_in = [(START + timedelta(minutes=k), "s", "cpu_temperature_celsius", 95.0) for k in range(6)] + [(None, "s", "cpu_temperature_celsius", 1.0)]
+    df = spark.createDataFrame(rows_in, "ts timestamp, series string, metric string, value double")
+    df.write.parquet(f"{tmp_path}/in")
+    got = R.append_table(S.held_alerts(R.file_stream(spark, f"{tmp_path}/in", df.schema), rule_table(spark), "0 seconds"), "alerts")
+    assert {r.since for r in got.collect()} == {START} and {r.rule for r in got.collect()} == {"HighCPUTemperature", "CriticalCPUTemperature"}
