@@ -247,3 +247,17 @@ def test_alignment_of_very_long_texts_and_of_nothing(spark):
     rows = {r["doc_id"]: r for r in alignment.weigh_links(alignment.align(docs, a, b), len(b.bytes)).collect()}
     assert all(r["n_a"] > 0 and r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] for r in rows.values())
     assert alignment.weigh_links(alignment.align(docs.limit(0), a, b), len(b.bytes)).collect() == []
+
+
+def test_alignment_lays_texts_together(monkeypatch):
+    one = alignment.Aligner(alignment.ByteLevel(), alignment.Pieces())
+    texts = [*TEXTS, "", "the the the", "\U0001f600 </s> x\x00y", "", "word " * 40]
+    texts = [t or "" for t in texts]
+    alone = [one.align([t]).to_pylist()[0] for t in texts]
+    monkeypatch.setattr(alignment, "PART_LENGTH", 60)
+    parts = alignment.parts_of(texts)
+    assert [t for p in parts for t in p] == texts and 2 < len(parts) < len(texts)
+    assert max(sum(map(len, p)) for p in parts if len(p) > 1) <= 60
+    for together in ([one.align(p) for p in parts], [one.align(texts)]):
+        assert [row for found in together for row in found.to_pylist()] == alone
+    assert len(one.align([])) == 0

@@ -2,8 +2,8 @@
 
 Both tokenizations of a text are laid over its bytes. Where a token of either ends at the same byte,
 the text is cut; what lies between two cuts is a group of ids of each kind. The cuts are the
-intersection of two dictionaries from cumulative end to index; the sorted common ends slice both lists
-of ids, and each slice is expanded into links, the pairs of tokens whose bytes overlap.
+intersection of two dictionaries from cumulative end to index, held as arrays over the bytes of a few texts; the sorted
+common ends slice both lists of ids, and the slices are expanded into links, the pairs of tokens whose bytes overlap.
 
 Counts over the corpus are kept by block of rows: a block's distinct pairs are far fewer than its
 links, so only those are shuffled to be counted, and only those come back to the block's rows.
@@ -12,7 +12,6 @@ links, so only those are shuffled to be counted, and only those come back to the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,10 @@ BYTES_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed value: how byte-level pre-tokenizers cut a text into words.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts worked on at once, and rows of a block.
+#: Texts, and their characters, worked on at once (a longer text alone), and rows of a block.
 PART = 128
+PART_LENGTH = 1 << 20
 BLOCK_BITS = 12
-#: Groups of one token each that a task keeps written out.
-MOST_SAID = 500_000
 #: Longer texts go through the other library, whose matching needs no stack for long runs.
 LONG = 200_000
 
@@ -67,9 +65,6 @@ class ByteLevel:
             self._quick = tiktoken.Encoding("bytes", pat_str=CUT, mergeable_ranks=self.ranks, special_tokens={})
         return [self._quick.encode_ordinary(t) if len(t) <= LONG else self._slowly(t) for t in texts]
 
-    def joined(self, ids: list[int]) -> bytes:
-        return self._quick.decode_bytes(ids)
-
     def _slowly(self, text: str) -> list[int]:
         if self._patient is None:
             from tokenizers import Tokenizer
@@ -102,81 +97,110 @@ class Pieces:
             self._model = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
         return self._model.encode(texts, num_threads=1)
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
-
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """Index after the last token, of either list, at each byte where tokens of both end."""
-    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
+def end_to_index(ends: np.ndarray, size: int) -> np.ndarray:
+    """At each byte the index after the token that ends there, 0 where none does."""
+    at = np.zeros(size + 1, np.int64)
+    at[ends] = np.arange(1, len(ends) + 1)
+    return at
 
 
-def slice_links(ends_a: list[int], ends_b: list[int], i: int, j: int) -> Iterator[tuple[int, int]]:
-    """Places of the tokens whose bytes overlap, in the slice from ``i`` and ``j`` on; it ends where two tokens end together."""
-    while True:
-        yield i, j
-        a, b = ends_a[i], ends_b[j]
-        if a < b:
-            i += 1
-        elif b < a:
-            j += 1
-        else:
-            return
+def edges(counts: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(counts)].astype(np.int64)
 
 
-class Said(dict):
-    """Groups of one token each, written out, by their pair; begun anew when there are many."""
+def of_each(text_ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each text."""
+    return np.diff(np.r_[0, np.searchsorted(places, text_ends, side="right")].astype(np.int64))
 
-    def __init__(self, width: int) -> None:
-        super().__init__({-1: ""})
-        self.width = width
 
-    def __missing__(self, pair: int) -> str:
-        if len(self) > MOST_SAID:
-            self.__init__(self.width)
-        self[pair] = said = f"{pair // self.width}|{pair % self.width}"
-        return said
+def taken(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+    """The values at these places, one after the other, and where each begins."""
+    found = values.take(pa.array(at))
+    _, offsets, data = found.buffers()
+    begins = np.frombuffer(offsets, np.int32, len(at) + 1) if len(at) else np.zeros(1, np.int32)
+    return begins, data if data is not None else pa.py_buffer(b"")
 
 
 class Aligner:
     def __init__(self, a: ByteLevel, b: Pieces) -> None:
         self.a, self.b = a, b
+        self.spelled = [pa.array(v.bytes, pa.binary()) for v in (a, b)]
         self.sizes = [np.array([len(x) for x in v.bytes]) for v in (a, b)]
-        self.names = [str(k) for k in range(max(len(a.bytes), len(b.bytes)))]
-        self.said = Said(len(b.bytes))
+        # Ids written out with what follows them: more of their group, the group's other kind, another group, nothing.
+        self.ids = max(len(a.bytes), len(b.bytes))
+        self.said = pa.array([f"{k}{after}" for after in (",", "|", ";", "") for k in range(self.ids)], pa.string())
 
     def __reduce__(self):
         return Aligner, (self.a, self.b)
 
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
-        """Of each text: tokens of either, groups, links, the groups written out, distinct pairs and how often each is linked."""
-        spaced = [" " + t if t else "" for t in texts]
-        for text, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(texts)):
-            yield self._one(text, a, b)
-
-    def _one(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        plain = text.encode("utf-8", "surrogatepass")
-        if not plain or self.a.joined(a) != plain or self.b.joined(b) != plain:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids_a, ids_b = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
-        ends_a, ends_b = (np.cumsum(size[ids]).tolist() for size, ids in zip(self.sizes, (ids_a, ids_b)))
-        upto = np.stack([np.fromiter(x, np.int64, len(x)) for x in common_ends(ends_a, ends_b)])
-        begin = np.concatenate([np.zeros((2, 1), np.int64), upto[:, :-1]], axis=1)
-        single = (upto - begin == 1).all(0)
-        links = np.where(single, ids_a[begin[0]] * len(self.b.bytes) + ids_b[begin[1]], -1)
-        written = list(map(self.said.__getitem__, links.tolist()))
-        names, places = self.names, []
-        others = np.flatnonzero(~single)
-        for g, i, j, k, m in zip(others.tolist(), *begin[:, others].tolist(), *upto[:, others].tolist()):
-            written[g] = ",".join([names[x] for x in a[i:k]]) + "|" + ",".join([names[x] for x in b[j:m]])
-            places += slice_links(ends_a, ends_b, i, j)
-        at = np.array(places, np.int64).reshape(-1, 2)
-        distinct, times = np.unique(np.r_[links[single], ids_a[at[:, 0]] * len(self.b.bytes) + ids_b[at[:, 1]]], return_counts=True)
-        return len(a), len(b), len(written), int(times.sum()), ";".join(written), distinct, times
-
+    def align(self, texts: list[str]) -> pa.StructArray:
+        """Of each text: tokens of either, groups, links, the groups written out, distinct pairs and how often each is linked.
 
+        The texts are laid one after the other; each ends with a token of either kind, so no group or link crosses its end.
+        """
+        spaced = [" " + t if t else "" for t in texts]
+        plain = [t.encode("utf-8", "surrogatepass") for t in spaced]
+        good = np.array([len(p) > 0 for p in plain], bool)
+        encoded = []
+        for spelled, lists in zip(self.spelled, (self.a.encode(spaced), self.b.encode(texts))):
+            n = np.array([len(x) for x in lists], np.int64)
+            ids = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(x, np.int64, len(x)) for x in lists]])
+            begins, data = taken(spelled, ids)
+            at = begins[edges(n)].tolist()
+            good &= np.array([data[i:j].to_pybytes() == p for i, j, p in zip(at, at[1:], plain)], bool)
+            encoded.append((n, ids))
+        (n_a, a), (n_b, b) = ((n * good, ids[np.repeat(good, n)]) for n, ids in encoded)
+        text_ends = np.cumsum([len(p) if g else 0 for p, g in zip(plain, good)]).astype(np.int64)
+        return self._aligned(n_a, a, n_b, b, text_ends)
+
+    def _aligned(self, n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray, text_ends: np.ndarray) -> pa.StructArray:
+        size = int(text_ends[-1]) if len(text_ends) else 0
+        at_a, at_b = (end_to_index(np.cumsum(s[ids]), size) for s, ids in zip(self.sizes, (a, b)))
+        common = np.flatnonzero((at_a > 0) & (at_b > 0))
+        upto_a, upto_b = at_a[common], at_b[common]
+        n_groups = of_each(text_ends, common)
+
+        # A slice has a link for each byte where a token of either kind ends: the pair that covers the byte.
+        ends = np.flatnonzero((at_a > 0) | (at_b > 0))
+        n_links = of_each(text_ends, ends)
+        last_a, last_b = at_a[ends] > 0, at_b[ends] > 0
+        links = a[np.cumsum(last_a) - last_a] * len(self.b.bytes) + b[np.cumsum(last_b) - last_b]
+        span = len(self.a.bytes) * len(self.b.bytes)
+        keyed = np.sort(np.repeat(np.arange(len(text_ends)), n_links) * span + links)
+        first = np.flatnonzero(np.r_[True, keyed[1:] != keyed[:-1]][:len(keyed)])
+        times = np.diff(np.r_[first, len(keyed)]).astype(np.int32)
+        of_text, pairs = np.divmod(keyed[first], span)
+        starts = pa.array(edges(np.bincount(of_text, minlength=len(text_ends))).astype(np.int32))
+
+        # A group's ids of A stand after all ids of B before the group, its ids of B after all of A up to its end.
+        written = np.empty(len(a) + len(b), np.int64)
+        said_a, said_b = a.copy(), b.copy()
+        said_a[upto_a - 1] += self.ids
+        said_b[upto_b - 1] += 2 * self.ids
+        said_b[np.cumsum(n_b)[n_b > 0] - 1] += self.ids
+        written[np.arange(len(a)) + np.repeat(np.r_[0, upto_b][:-1], np.diff(np.r_[0, upto_a]))] = said_a
+        written[np.arange(len(b)) + np.repeat(upto_a, np.diff(np.r_[0, upto_b]))] = said_b
+        begins, data = taken(self.said, written)
+        groups = pa.StringArray.from_buffers(len(text_ends), pa.py_buffer(begins[edges(n_a + n_b)]), data)
+
+        lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (pairs, times)]
+        return pa.StructArray.from_arrays([*map(pa.array, (n_a, n_b, n_groups, n_links)), groups, *lists], NAMES)
+
+
+def parts_of(texts: list[str]) -> list[list[str]]:
+    """The texts in order, a few at a time."""
+    parts, length = [[]], 0
+    for t in texts:
+        if parts[-1] and (len(parts[-1]) == PART or length + len(t) > PART_LENGTH):
+            parts.append([])
+            length = 0
+        parts[-1].append(t)
+        length += len(t)
+    return parts
+
+
+NAMES = ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
 FOUND = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups:string,pairs:array<bigint>,times:array<int>>"
 
 
@@ -193,16 +217,7 @@ def align(docs: DataFrame, a: ByteLevel, b: Pieces, text: str = "text", doc_id:
 
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array) -> pa.Array:
-        parts = []
-        for k in range(0, max(1, len(texts)), PART):
-            rows = list(aligner.align(texts.slice(k, PART).to_pylist()))
-            columns = [pa.array([r[n] for r in rows], pa.int64()) for n in range(4)] + [pa.array([r[4] for r in rows], pa.string())]
-            starts = pa.array(np.r_[0, np.cumsum([len(r[5]) for r in rows])].astype(np.int32))
-            for n, kind in ((5, np.int64), (6, np.int32)):
-                values = np.concatenate([r[n] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
-                columns.append(pa.ListArray.from_arrays(starts, pa.array(values)))
-            parts.append(pa.StructArray.from_arrays(columns, ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]))
-        return pa.concat_arrays(parts)
+        return pa.concat_arrays([aligner.align(part) for part in parts_of(texts.to_pylist())])
 
     return docs.select(quoted(doc_id).alias(doc_id), found(text_of(text)).alias("found")).select(quoted(doc_id), "found.*")
 
