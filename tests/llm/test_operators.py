@@ -381,6 +381,28 @@ def test_join_equals_all_pairs(spark, monkeypatch, percent, width, limits):
     assert sorted(map(tuple, got), key=key) == sorted(plain_components(rows, percent, width), key=key)
 
 
+@pytest.mark.parametrize("block,block_items", [(2048, 4_000_000), (7, 4_000_000), (2048, 500)])
+def test_blocks_tell_a_tree_of_links(spark, monkeypatch, block, block_items):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_ITEMS", block_items)
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 64, 120, np.uint64)
+    sets = [np.r_[base[:n], draw.integers(0, 1 << 64, k, np.uint64)] for n, k in [(120, 3)] * 40 + [(60, 3)] * 20 + [(100, 40)]]
+    nodes = [(k, len(s), bytearray(ngram_join.sketch_of(s)), s.view(np.int64).tolist()) for k, s in enumerate(sets)]
+    rows = [(key, *row[:3], 0 if row[0] < 4 else row[0]) for row in nodes for key in (1, 2)]
+    members = spark.createDataFrame(rows, "key long, node long, n long, sketch binary, component long")
+    items = spark.createDataFrame([(r[0], r[3]) for r in nodes], "node long, items array<long>")
+    links = [(r["a"], r["b"]) for r in ngram_join._links_in_blocks(members, items, 85).collect()]
+    similar = {(a, b) for b in range(61) for a in range(b) if 100 * (c := len(set(nodes[a][3]) & set(nodes[b][3]))) >= 85 * (nodes[a][1] + nodes[b][1] - c)}
+    assert set(links) <= similar and len(similar) == 40 * 39 // 2 + 20 * 19 // 2
+    of = [0 if k < 4 else k for k in range(61)]
+    for a, b in links:
+        of = [of[a] if x == of[b] else x for x in of]
+    assert len({*of[:40]}) == len({*of[40:60]}) == 1 and len({*of}) == 3
+    if (block, block_items) == (2048, 4_000_000):
+        assert len(links) == 36 + 35 + 19  # the others with the largest component, then among themselves
+
+
 def test_boundary_and_subsets():
     assert ngram_join.best_boundary({3: 10}, 2.0, 85) >= 3 and ngram_join.best_boundary({}, 1.0, 85) == 0
     for a in range(1, 17):

@@ -11,12 +11,13 @@ The boundary minimizes the two costs over the sizes that occur.
 Lists of up to ``SHORT_LIST`` classes give all their pairs. In a longer list (many near copies of
 one text) each class first meets one pivot a round; what these links leave apart is compared in blocks, but never
 within the list's largest component. There a parity sketch, a lower bound of the difference of two sets, passes over
-almost all pairs that are not similar and equal components pass over the rest. Every pair that
-is linked is verified on the whole sets.
+almost all pairs that are not similar; the others are verified there on the whole sets, and a link that joins nothing new is left out, so
+a block tells fewer links than it has classes, however many pairs are similar. Every pair that is linked is verified on the whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -36,6 +37,8 @@ SHORT_LIST = 32
 PIVOT_ROUNDS = 1
 #: Classes of a long list that are compared at once with as many.
 BLOCK = 2048
+#: Shingles of a block's sets together, beyond which it is a smaller one.
+BLOCK_ITEMS = 4_000_000
 #: A shingle that so many classes put first is frequent; the order puts at most ``MOST_FREQUENT`` such last.
 FREQUENT = 48
 MOST_FREQUENT = 500_000
@@ -243,21 +246,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a long list that lie in different components and may be similar.
+def shared_with(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items the sorted set ``s`` shares with each of the others."""
+    found = np.concatenate(others)
+    place = np.minimum(np.searchsorted(s, found), len(s) - 1)
+    return np.add.reduceat(s[place] == found, np.r_[0, np.cumsum([len(x) for x in others])[:-1]], dtype=np.int64)
 
-    ``members``: key, node, n, sketch, component. A list's largest component, by number, needs no comparison within
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the long lists that tie their components as all of their links do.
+
+    ``members``: key, node, n, sketch, component; ``sets``: node, items. A list's largest component, by number, needs no comparison within
     itself. So its members ("major") are dealt to blocks, once, the others ("minor") to chunks, and each block meets each chunk, as does
     each chunk each other one. A list that is one component but for a few classes costs a row for each member. A pair
-    that meets in several lists comes from the least of them only, as each member brings the keys of its lists.
+    that meets in several lists comes from the least of them only, as each member brings the keys of its lists. Of a group's links
+    those stay that tie two components which earlier ones have left apart: fewer than the group has members.
     """
     of_node = members.groupBy("node").agg(F.collect_list("key").alias("in_lists"))
     members = members.join(of_node, "node")
-    parts = members.groupBy("key", "component").agg(F.count("*").alias("size"))
-    major = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
+    major = parts.groupBy("key").agg(F.max_by(F.struct("component", "size", "items"), F.struct("size", "component")).alias("p"), F.sum("size").alias("all"), F.sum("items").alias("all_items"))
+    major = major.select("key", "all", "all_items", F.col("p.component").alias("major"), F.col("p.size").alias("most"), F.col("p.items").alias("most_items"))
     placed = members.join(major, "key").withColumn("is_major", F.col("component") == F.col("major"))
-    blocks = F.ceil(F.col("most") / BLOCK).cast("int")
-    chunks = F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.lit(1))
+    cut = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS), F.lit(1)).cast("int")
+    blocks = cut(F.col("most"), F.col("most_items"))
+    chunks = cut(F.col("all") - F.col("most"), F.col("all_items") - F.col("most_items"))
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), blocks).otherwise(chunks)).cast("int")
     placed = placed.withColumn("own", own)
@@ -267,16 +280,14 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
     of_major = F.transform(spread(chunks), lambda c: F.struct((-1 - F.col("own")).alias("i"), c.alias("j")))
     dealt = placed.select("key", "node", "n", "sketch", "component", "own", "is_major", "in_lists", F.inline(F.when(F.col("is_major"), of_major).otherwise(F.concat(with_blocks, with_chunks))))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, n, parts, own, major = (group[c].to_numpy() for c in ("node", "n", "component", "own", "is_major"))
-        order = np.argsort(n, kind="stable")
-        nodes, n, parts, own, major = nodes[order], n[order], parts[order], own[order], major[order]
-        sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"].to_numpy()[order]]
-        lists = [frozenset(x.tolist()) for x in group["in_lists"].to_numpy()[order]]
+    def candidates(group: pd.DataFrame, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each member of a group, by size, the later ones of other ``parts`` that it may be similar to."""
+        n, own, major = (group[c].to_numpy() for c in ("n", "own", "is_major"))
+        sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"]]
+        lists = [frozenset(x.tolist()) for x in group["in_lists"]]
         here = int(group["key"].iloc[0])
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         side = major if i < 0 else own  # only pairs of unlike sides, but for a chunk with itself
-        a, b = [], []
         at = 0
         while at < len(n):  # members of like size share a sketch size after folding
             size = len(sketches[at])
@@ -293,14 +304,37 @@ def _pairs_in_blocks(members: DataFrame, percent: int) -> DataFrame:
                     differ = np.bitwise_count(grid[rest - at] ^ grid[k - at]).sum(1)
                     need = -(-percent * (n[k] + n[rest]) // (100 + percent))
                     good = rest[n[k] + n[rest] - 2 * need >= differ]
-                    good = np.array([r for r in good.tolist() if min(lists[k] & lists[r]) == here], np.int64)
-                    a.append(np.full(len(good), nodes[k]))
-                    b.append(nodes[good])
+                    yield k, np.array([r for r in good.tolist() if min(lists[k] & lists[r]) == here], np.int64)
             at = until
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+
+    def involved(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", kind="stable")
+        seen = np.zeros(len(group), bool)
+        for k, good in candidates(group, group["component"].to_numpy()):
+            seen[good] = True
+            seen[k] |= len(good) > 0
+        return group[seen]
+
+    def tied(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", kind="stable")
+        nodes, n = group["node"].to_numpy(), group["n"].to_numpy()
+        items = [np.sort(x) for x in group["items"]]
+        parts = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        a, b = [], []
+        for k, good in candidates(group, parts):
+            if len(good):
+                common = shared_with(items[k], [items[r] for r in good.tolist()])
+                for r in good[100 * common >= percent * (n[k] + n[good] - common)].tolist():
+                    if parts[r] != parts[k]:
+                        parts[parts == parts[r]] = parts[k]
+                        a.append(nodes[k])
+                        b.append(nodes[r])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    # Whole sets go to the groups of the classes that have a candidate there only.
+    left = checkpointed(dealt.groupBy("key", "i", "j").applyInPandas(involved, dealt.schema))
+    return left.join(sets, "node").groupBy("key", "i", "j").applyInPandas(tied, "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str) -> DataFrame:
@@ -359,7 +393,7 @@ def _grouped(docs: DataFrame, percent: int, words: int, text: str, doc_id: str)
             break
         links = checkpointed(links.union(found))
         labels = checkpointed(components(links))
-    further = checkpointed(_verified(_pairs_in_blocks(open_lists().join(sketches.select("node", "sketch"), "node"), percent), sets, percent))
+    further = checkpointed(_links_in_blocks(open_lists().join(sketches.select("node", "sketch"), "node"), sets, percent))
     if not further.isEmpty():
         labels = checkpointed(components(links.union(further)))
     discard(docs.sparkSession, long, degrees, sets, sketches)
