@@ -5,7 +5,10 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +89,26 @@ def test_dropout_varies_repeats_and_decodes(spark, odd, none, vocabulary):
     assert null.select(pieces.decode(F.col("ids"), vocabulary).alias("t")).first()["t"] is None
 
 
+def test_encoding_keeps_little_memory():
+    """What a worker still holds after a batch: the vocabulary's tables, not the arrays of the largest batch."""
+    code = """
+import random, re
+import pyarrow as pa
+from wattgrid.llm import pieces
+held = lambda: int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+draw = random.Random(1)
+words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 9))) for _ in range(3000)]
+texts = pa.array([" ".join(draw.choices(words, k=600)) for _ in range(1500)])
+encoder = pieces.Encoder(pieces.Vocabulary.load(), 0.1, 1)
+list(encoder.encode(texts.slice(0, 5).to_pylist(), range(5)))
+before = held()
+ids = encoder.encode_all(texts, pa.array(range(len(texts))))
+print(held() - before - ids.nbytes // 1_000_000)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout
+    assert int(out) < 40
+
+
 def test_each_occurrence_draws(vocabulary):
     """Far more than a handful of segmentations of one word, as often plain as the rate says, in one document and over many."""
     word, rate, n = "international", 0.1, 4000

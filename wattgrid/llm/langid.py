@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, text_batches, text_of, without
+from wattgrid.llm.common import fresh, give_back, quoted, text_batches, text_of, without
 
 BUCKETS = 8192
 SIZES = (2, 3, 4)
@@ -208,11 +208,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     @F.arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array([packed(subword_counts(t.as_py())) for t in texts], pa.binary())
+        out = pa.array([packed(subword_counts(t.as_py())) for t in texts], pa.binary())
+        give_back()
+        return out
 
     @F.arrow_udf("binary")
     def counted_shuffled(texts: pa.Array) -> pa.Array:
-        return pa.array([packed(subword_counts(shuffled(t.as_py()))) if t.is_valid and has_letter(t.as_py()) else None for t in texts], pa.binary())
+        out = pa.array([packed(subword_counts(shuffled(t.as_py()))) if t.is_valid and has_letter(t.as_py()) else None for t in texts], pa.binary())
+        give_back()
+        return out
 
     place = F.pmod(F.xxhash64("id", "text"), F.lit(space))
     drawn = usable.withColumn("place", place).where(F.col("place") < F.element_at(rate, F.col("lang")))
@@ -257,6 +261,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
                 p = model.scores(counts)
                 k = int(p.argmax())
                 out.append((model.languages[k], float(min(1.0, p[k])), bool(p[k] < model.threshold or model.likeness(counts) < model.least_known)))
+        give_back()
         names, scores, rejected = zip(*out) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import fresh, quoted, text_batches, text_of, word_count
+from wattgrid.llm.common import fresh, give_back, quoted, text_batches, text_of, word_count
 from wattgrid.llm.components import components
 from wattgrid.llm.shingles import WIDTH, Powers, mixed, shingle_sets
 from wattgrid.session import checkpointed, discard
@@ -120,7 +120,7 @@ def lists_of(sets: list[np.ndarray]) -> pa.ListArray:
 def in_parts(texts: pa.Array, some) -> pa.Array:
     """``some`` of a few texts at a time, so that a batch is never held in several forms at once."""
     found = pa.concat_arrays([some(texts.slice(k, PART).to_pylist()) for k in range(0, max(1, len(texts)), PART)])
-    pa.default_memory_pool().release_unused()
+    give_back()
     return found
 
 
@@ -194,6 +194,7 @@ def may_be_similar(percent: int):
             size = min(len(s), len(t))
             differ = int(np.bitwise_count(folded(s, size) ^ folded(t, size)).sum())
             out.append(x + y - 2 * shared_least(x, y, percent) >= differ)
+        give_back()
         return pa.array(out, pa.bool_())
 
     return passes

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattgrid.llm.common import quoted, text_batches, text_of, without
+from wattgrid.llm.common import give_back, quoted, text_batches, text_of, without
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -27,7 +27,7 @@ SPACE = "▁"
 WIDTHS = (6, 10, 16, 32)
 ROWS_AT_ONCE = 16_384
 #: Bytes of texts whose units are gone through at once, and texts that are decoded at once.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 TEXTS_AT_ONCE = 500
 NONE = -(1 << 31)
 MASK = (1 << 64) - 1
@@ -304,6 +304,14 @@ class Encoder:
         if waiting:
             yield self.together(waiting, np.array(keys, np.uint64))
 
+    def encode_all(self, texts: pa.Array, documents: pa.Array) -> pa.Array:
+        """Ids of the texts as one array."""
+        parts = list(self.encode((t.as_py() for t in texts), (d.as_py() for d in documents)))
+        out = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        del parts
+        give_back()
+        return out
+
     def together(self, texts: list[bytes], documents: np.ndarray) -> pa.ListArray:
         data = b"".join(texts)
         if not data:
@@ -371,8 +379,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, rate: float = 0.1, seed: int
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        parts = list(Encoder(vocabulary, rate, seed, variants).encode((t.as_py() for t in texts), (k.as_py() for k in keys)))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        return Encoder(vocabulary, rate, seed, variants).encode_all(texts, keys)
 
     return without(docs, out).withColumn(out, ids_of(text_of(text), F.xxhash64(quoted(doc_id))))
 
