@@ -273,3 +273,16 @@ def test_written_rows_are_read_by_several_tasks(spark):
     assert len(read.inputFiles()) == 1
     rows = [r[0] for r in read.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(rows) == 2_000_000 and len(rows) > 3 and max(rows) < 1_000_000
+
+
+def test_long_runs_are_not_repeated_per_bucket(spark):
+    """A run of ten thousand years touches more seconds than an array can hold."""
+    at = lambda k: datetime(2024, 1, 1) + timedelta(seconds=k)
+    samples = [(k, "ab"[k % 2], at(7 * k % 50), float(k)) for k in range(60)] + [(60, None, at(1), 0.0), (61, "a", None, 0.0), (62, "a", at(7), 1.0)]
+    runs = [(0, "a", datetime(1, 1, 2), datetime(9999, 12, 30)), (1, "a", at(7), at(7)), (1, "a", at(7), at(7)), (2, "b", at(3), at(31)), (3, "b", at(9), at(8)),
+            (4, "c", at(0), at(50)), (5, None, at(0), at(50)), (6, "b", None, at(50)), (7, "a", at(60), at(70))]
+    s = spark.createDataFrame(samples, "sample_id long, node_id string, time timestamp_ntz, x double")
+    r = spark.createDataFrame(runs, "run_id long, node_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    got = sorted((p.run_id, p.sample_id) for p in J.during_runs(s, r, 1, samples_per_cell=4).collect())
+    assert got == sorted((i, k) for i, n, b, e in runs for k, m, t, _ in samples if n and n == m and t and b and b <= t <= e)
+    assert J.during_runs(s, r).count() == len(got)
