@@ -15,7 +15,8 @@ from wattgrid.operators import joins as J
 from wattgrid.operators import learning as M
 from wattgrid.operators import scans as S
 from wattgrid.operators import stats as A
-from wattgrid.plans.models import KEYS, LABEL, jobs
+from wattgrid.plans.models import KEYS, LABEL, jobs, trained
+from wattgrid.plans.registry import REGISTRY
 from wattgrid.session import SMALL_GROUPS, checkpointed
 
 
@@ -286,3 +287,20 @@ def test_long_runs_are_not_repeated_per_bucket(spark):
     got = sorted((p.run_id, p.sample_id) for p in J.during_runs(s, r, 1, samples_per_cell=4).collect())
     assert got == sorted((i, k) for i, n, b, e in runs for k, m, t, _ in samples if n and n == m and t and b and b <= t <= e)
     assert J.during_runs(s, r).count() == len(got)
+
+
+def labelled(df):
+    return df.filter(S.finite(LABEL) & (F.col(LABEL) > 0))
+
+
+def test_registered_models_learn_from_all_rows(tables):
+    run = trained(tables, "linear_regression")
+    assert run.train.count() == C.hash_split(labelled(jobs(tables)), KEYS, 20, 42)[0].count() > 3000
+
+
+def test_many_rows_are_learned_in_several_equal_tasks(spark):
+    df = spark.range(130_000).select(F.col("id").cast("string").alias("job_id"), (F.col("id") % 97).cast("int").alias("duration_seconds"), (F.col("id") % 97 + 1.0).alias(LABEL))
+    runs = [M.train_models(x, LABEL, KEYS, ["linear_regression"]) for x in (df, df.repartition(5))]
+    place = lambda run: [[r.job_id for r in p] for p in run.train.rdd.glom().collect()]
+    assert place(runs[0]) == place(runs[1]) and len(place(runs[0])) == 5
+    assert sum(map(len, place(runs[0]))) == C.hash_split(df, KEYS, 20, 42)[0].count() > 100_000
