@@ -293,6 +293,15 @@ def labelled(df):
     return df.filter(S.finite(LABEL) & (F.col(LABEL) > 0))
 
 
+@pytest.mark.parametrize("name", ["m15_evaluate_new_data"])
+def test_models_learn_from_all_rows(tables, monkeypatch, name):
+    runs, whole = [], M.train_models
+    monkeypatch.setattr(M, "train_models", lambda df, *a, **k: runs.append((df, whole(df, *a, **k))) or runs[-1][1])
+    REGISTRY[name](tables.spark, tables.sf_dir)
+    df, run = runs[0]
+    assert run.train.count() + run.test.count() == df.filter(S.finite(run.label)).count() and run.train.count() > 3000
+
+
 def test_registered_models_learn_from_all_rows(tables):
     run = trained(tables, "linear_regression")
     assert run.train.count() == C.hash_split(labelled(jobs(tables)), KEYS, 20, 42)[0].count() > 3000
