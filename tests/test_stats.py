@@ -293,7 +293,7 @@ def labelled(df):
     return df.filter(S.finite(LABEL) & (F.col(LABEL) > 0))
 
 
-@pytest.mark.parametrize("name", ["m15_evaluate_new_data"])
+@pytest.mark.parametrize("name", ["m15_evaluate_new_data", "m17_temperature_profile"])
 def test_models_learn_from_all_rows(tables, monkeypatch, name):
     runs, whole = [], M.train_models
     monkeypatch.setattr(M, "train_models", lambda df, *a, **k: runs.append((df, whole(df, *a, **k))) or runs[-1][1])
