@@ -313,3 +313,11 @@ def test_many_rows_are_learned_in_several_equal_tasks(spark):
     place = lambda run: [[r.job_id for r in p] for p in run.train.rdd.glom().collect()]
     assert place(runs[0]) == place(runs[1]) and len(place(runs[0])) == 5
     assert sum(map(len, place(runs[0]))) == C.hash_split(df, KEYS, 20, 42)[0].count() > 100_000
+
+
+def test_grid_search_takes_all_rows(tables, monkeypatch):
+    searched, whole = [], M.fold_column
+    monkeypatch.setattr(M, "FOREST_GRID", {"numTrees": [2], "maxDepth": [2], "minInstancesPerNode": [1]})
+    monkeypatch.setattr(M, "sample_exact", None)
+    monkeypatch.setattr(M, "fold_column", lambda *a: searched.append(a) or whole(*a))
+    assert len(REGISTRY["m9_grid_search"](tables.spark, tables.sf_dir).collect()) == 1 and searched
