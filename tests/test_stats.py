@@ -321,3 +321,25 @@ def test_grid_search_takes_all_rows(tables, monkeypatch):
     monkeypatch.setattr(M, "sample_exact", None)
     monkeypatch.setattr(M, "fold_column", lambda *a: searched.append(a) or whole(*a))
     assert len(REGISTRY["m9_grid_search"](tables.spark, tables.sf_dir).collect()) == 1 and searched
+
+
+def test_forests_predict_by_arrays_as_mllib_does(run):
+    model = run.models["random_forest"]
+    both = M.predicted(model.copy({model.predictionCol: "own"}), model.transform(run.test))
+    assert both.filter("own != prediction").isEmpty() and both.count() == run.test.count()
+    plan = M.tree_spread(model, run.test.select("features"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("summarised(") == 0 and plan.count("walked(") == 1
+    assert M.predicted(model, run.test.limit(0)).collect() == []
+
+
+def test_trees_that_split_by_category_vote(spark):
+    from pyspark.ml.feature import VectorAssembler, VectorIndexer
+    from pyspark.ml.regression import RandomForestRegressor
+
+    df = spark.createDataFrame([(float(k % 5), k / 100, float([3, 9, 1, 7, 5][k % 5])) for k in range(200)], "a double, b double, y double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="raw").transform(df)
+    df = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=8).fit(df).transform(df)
+    model = RandomForestRegressor(labelCol="y", numTrees=3, seed=1).fit(df)
+    assert M.tree_walk(model) is None
+    rows = M.tree_votes(model, df, lambda votes: votes, "votes").collect()
+    assert all(r.prediction == pytest.approx(np.mean(r.votes)) for r in rows)
